@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import mixing, sharding
+from weftgraph.llm import media, mixing, packing, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +15,21 @@ def _over(table: str, build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
+def _packed(documents: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(documents, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_prefix_sum_sharding": _over("documents", sharding.shard_documents),
+        "op2_warc_index_merge": _over("pages", warc.archive_round_trip),
+        "op6_png_cosine_hash": _over("documents", media.media_query),
+        "op9_certified_packing": _over("documents", _packed),
         "op10_poisson_mixing": _over("documents", mixing.mix_query),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_poisson_mixing": mixing.MIX_SQL}
+    return {"op2_warc_index_merge": warc.WARC_SQL, "op10_poisson_mixing": mixing.MIX_SQL}
