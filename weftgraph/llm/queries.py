@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import media, mixing, packing, sharding, warc
+from weftgraph.llm import media, mixing, neardup, packing, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op1_prefix_sum_sharding": _over("documents", sharding.shard_documents),
         "op2_warc_index_merge": _over("pages", warc.archive_round_trip),
         "op6_png_cosine_hash": _over("documents", media.media_query),
+        "op8_bayes_minhash_dedup": _over("documents", lambda documents: neardup.near_duplicates(documents, 3, 85)),
         "op9_certified_packing": _over("documents", _packed),
         "op10_poisson_mixing": _over("documents", mixing.mix_query),
     }
