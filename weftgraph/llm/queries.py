@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import embeddings, media, mixing, neardup, packing, sharding, warc
+from weftgraph.llm import embeddings, langid, media, mixing, neardup, packing, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_prefix_sum_sharding": _over("documents", sharding.shard_documents),
         "op2_warc_index_merge": _over("pages", warc.archive_round_trip),
+        "op3_string_kernel_langid": _over("documents", langid.identify),
         "op4_cell_cosine_dedup": _over("embeddings", embeddings.near_vectors),
         "op6_png_cosine_hash": _over("documents", media.media_query),
         "op8_bayes_minhash_dedup": _over("documents", lambda documents: neardup.near_duplicates(documents, 3, 85)),
