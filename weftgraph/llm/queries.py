@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import embeddings, langid, media, mixing, neardup, packing, sharding, warc
+from weftgraph.llm import embeddings, langid, media, mixing, neardup, packing, quality, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,11 @@ def _packed(documents: DataFrame) -> DataFrame:
     return packing.pack_documents(documents, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return quality.score_quality(documents, labels)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_prefix_sum_sharding": _over("documents", sharding.shard_documents),
@@ -28,6 +33,7 @@ def queries() -> dict[str, Query]:
         "op3_string_kernel_langid": _over("documents", langid.identify),
         "op4_cell_cosine_dedup": _over("embeddings", embeddings.near_vectors),
         "op6_png_cosine_hash": _over("documents", media.media_query),
+        "op7_pu_quality": _scored,
         "op8_bayes_minhash_dedup": _over("documents", lambda documents: neardup.near_duplicates(documents, 3, 85)),
         "op9_certified_packing": _over("documents", _packed),
         "op10_poisson_mixing": _over("documents", mixing.mix_query),
