@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import embeddings, langid, media, mixing, neardup, packing, quality, sharding, warc
+from weftgraph.llm import embeddings, langid, media, mixing, neardup, packing, quality, secrets, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,7 @@ def queries() -> dict[str, Query]:
         "op2_warc_index_merge": _over("pages", warc.archive_round_trip),
         "op3_string_kernel_langid": _over("documents", langid.identify),
         "op4_cell_cosine_dedup": _over("embeddings", embeddings.near_vectors),
+        "op5_secret_ownership": _over("documents", secrets.secret_query),
         "op6_png_cosine_hash": _over("documents", media.media_query),
         "op7_pu_quality": _scored,
         "op8_bayes_minhash_dedup": _over("documents", lambda documents: neardup.near_duplicates(documents, 3, 85)),
