@@ -14,7 +14,7 @@ from weftgraph.llm.tokens import tokenizer
 from weftgraph.session import stash
 
 #: Pieces in a partition, texts encoded at a time, and rounds of exchange at most.
-PART_PIECES, GROUP, MOST_ROUNDS = 30_000, 128, 4
+PART_PIECES, GROUP, MOST_ROUNDS = 30_000, 1024, 4
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = _PIECES + ", sequence_id long, offset long, part int, bins int, bound int, room long"
 
