@@ -42,6 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python gets at most ``rows`` rows of texts at a time: a worker's memory then follows the text, not 10,000 rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
