@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.shingles import overlap, permutations, shingle_set, signature
+from weftgraph.operators.bitmaps import thin
 from weftgraph.operators.components import connected_components
 from weftgraph.operators.skew import join_facts
-from weftgraph.session import stash
+from weftgraph.session import small_batches, stash
 
-#: Hashes in a band and in a batch of the sequential test; documents in a block of a crowded bucket.
-BAND, BATCH, BLOCK = 5, 25, 256
+#: Hashes in a band and in a batch of the sequential test; documents in a block of a crowded bucket,
+#: and further leaders that a bucket over one block is compared with first.
+BAND, BATCH, BLOCK, LEADERS = 5, 25, 512, 3
 
 
 def bands_for(similarity: float, miss: float, band: int = BAND) -> int:
@@ -73,12 +75,12 @@ def _bands(count: int) -> Callable:
         for batch in batches:
             if not len(batch):
                 continue
-            sigs = np.frombuffer(b"".join(batch["sig"]), "<u4").reshape(len(batch), -1).astype("uint64")
+            sigs = np.frombuffer(b"".join(batch["sig"]), "<u2").reshape(len(batch), -1).astype("uint64")
             keys = np.zeros((len(batch), count), "uint64")
             for k in range(BAND):  # a polynomial in each band's values, started with its number
                 keys = (keys ^ (keys >> np.uint64(29))) * factors[k] + sigs[:, k : count * BAND : BAND] + np.arange(count, dtype="uint64")[None, :] * factors[0]
             keys ^= keys >> np.uint64(32)
-            yield pd.DataFrame({"key": keys.view("int64").ravel(), "id": np.repeat(batch["id"].to_numpy("int64"), count)})
+            yield pd.DataFrame({"key": keys.view("int64").ravel(), "id": np.repeat(batch["id"].to_numpy("int64"), count), "band": np.tile(np.arange(count, dtype="int16"), len(batch))})
 
     return run
 
@@ -87,42 +89,95 @@ def _prune(steps: list[tuple[int, int]]) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                a, b = (np.frombuffer(b"".join(batch[c]), "<u4").reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
+                a, b = (np.frombuffer(b"".join(batch[c]), "<u2").reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
                 yield batch.loc[survives(a, b, steps), ["a", "b"]]
 
     return run
 
 
-def _blocks(steps: list[tuple[int, int]]) -> Callable:
-    """Rows come sorted by (key, low, high): one block, or two to compare; pairs of different components that survive."""
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        ids, comps, own = group["id"].to_numpy(), group["comp"].to_numpy(), group["block"].to_numpy()
-        sigs = np.frombuffer(b"".join(group["sig"]), "<u4").reshape(len(group), -1)
-        one = group["low"].iloc[0] == group["high"].iloc[0]
-        found = []
-        for i in range(len(group)):
-            others = np.arange(i + 1, len(group))
-            others = others[comps[others] != comps[i]] if one else others[(comps[others] != comps[i]) & (own[others] != own[i])]
-            if len(others):
-                others = others[survives(np.broadcast_to(sigs[i], (len(others), sigs.shape[1])), sigs[others], steps)]
-                found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in others]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def _grouped(compare: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable:
+    """Rows come sorted by (key, low, high): ``compare`` gets one such group, a block or two, after the other."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
         for batch in batches:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            groups = [g for _, g in rows.groupby(["key", "low", "high"], sort=False)]
-            for group in groups[:-1]:
-                yield compare(group)
-            held = groups[-1] if groups else None
+            if not len(rows):
+                continue
+            names = rows[["key", "low", "high"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+            for start, end in zip(cuts[:-2], cuts[1:]):
+                yield compare(rows.iloc[start:end])
+            held = rows.iloc[cuts[-2] :]
         if held is not None:
             yield compare(held)
 
     return run
 
 
+def _hopeful(steps: list[tuple[int, int]]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The rows of a group that have a partner: of another component, past the test, and meeting in no earlier band."""
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        comps, own, band = group["comp"].to_numpy(), group["block"].to_numpy(), int(group["band"].iloc[0])
+        sigs = np.frombuffer(b"".join(group["sig"]), "<u2").reshape(len(group), -1)
+        apart = comps[:, None] != comps[None]
+        if group["low"].iloc[0] != group["high"].iloc[0]:
+            apart &= own[:, None] != own[None]
+        i, j = np.nonzero(np.triu(apart, 1))
+        for k in range(band):
+            if not len(i):
+                break
+            earlier = (sigs[i, k * BAND : (k + 1) * BAND] == sigs[j, k * BAND : (k + 1) * BAND]).all(axis=1)
+            i, j = i[~earlier], j[~earlier]
+        keep = np.zeros(len(group), bool)
+        for start in range(0, len(i), 4096):
+            a, b = i[start : start + 4096], j[start : start + 4096]
+            fine = survives(sigs[a], sigs[b], steps)
+            keep[a[fine]] = keep[b[fine]] = True
+        return group.loc[keep, ["key", "low", "high", "id", "comp"]]
+
+    return compare
+
+
+def _linked_in_block(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Edges that span the verified links of a group: whole sets are compared, no pair leaves."""
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        ids, comps = group["id"].to_numpy(), group["comp"].to_numpy()
+        sets = [np.frombuffer(x, "uint64") for x in group["shingles"]]
+        sizes = np.array([len(x) for x in sets])
+        every, at = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        shared = np.bincount(at, minlength=len(every)) > 1
+        place = np.cumsum(shared) - 1
+        hit = shared[at]
+        row, at = row[hit], place[at[hit]]
+        order = np.argsort(at, kind="stable")
+        row, at = row[order], at[order]
+        both = np.zeros((len(sets), len(sets)), "float32")
+        for start in range(0, int(shared.sum()), 4096):  # exact: counts stay far under 2 ** 24
+            low, high = np.searchsorted(at, [start, start + 4096])
+            has = np.zeros((len(sets), 4096), "float32")
+            has[row[low:high], at[low:high] - start] = 1
+            both += has @ has.T
+        links = (100 * both >= percent * (sizes[:, None] + sizes[None] - both)) & (comps[:, None] != comps[None])
+        i, j = np.nonzero(links)
+        root = np.arange(len(sets))
+        while len(i):
+            before = root.copy()
+            low = np.minimum(root[i], root[j])
+            np.minimum.at(root, i, low)
+            np.minimum.at(root, j, low)
+            root = root[root]
+            if (before == root).all():
+                break
+        moved = np.flatnonzero(root != np.arange(len(sets)))
+        return pd.DataFrame({"src": ids[root[moved]], "dst": ids[moved]}, dtype="int64")
+
+    return compare
+
+
 def _sets(words: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -154,14 +209,17 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, mis
     with equal sets are one representative from the start. Representatives sharing a band of their signatures are
     candidates; ``bands_for`` makes the chance to share none ``miss`` at the threshold. In each bucket all are first
     compared with one leader, so that a crowd of copies costs its size; buckets whose members are then one component
-    are settled, for no further link could change the result. From the others every pair of different components is
-    compared, in blocks of BLOCK rows by signatures alone. Candidates pass the sequential test of ``least_matches``,
-    and only survivors are verified, on their whole sets, made again from the text.
+    are settled, for no further link could change the result. In the others every pair of different components is
+    compared, in blocks of BLOCK rows and where the pair first meets; what leaves a block are rows with a hope and, once
+    their sets are there, edges that span the links, never pairs. Candidates pass the sequential test of
+    ``least_matches``, and only survivors are verified, on their whole sets. These are made again from the texts of
+    documents that share a bucket with another; a bitmap thins the others out, so most texts are never shuffled.
 
     A null text or one without words has an empty set, links with nothing and stays. A null doc_id stays with a null
     component. Repeated rows have the same result; rows that share a doc_id but not a text are one vertex. Empty input
     gives an empty result. Columns but doc_id and text are ignored.
     """
+    small_batches(documents.sparkSession)
     similarity = percent / 100
     bands = bands_for(similarity, miss)
     hashes = bands * BAND
@@ -171,44 +229,50 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, mis
     real = sketch.where("n_shingles > 0 and doc_id is not null")
     facts = stash(real.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
     sigs = join_facts(real.select("doc_id", "digest", "sig"), facts, "digest", "n", "inner").where("doc_id = id").select("id", "digest", "sig")
-    sigs = stash(sigs.dropDuplicates(["digest"]))
-    banded = stash(sigs.select("id", "sig").mapInPandas(_bands(bands), "key long, id long"))
+    repeated = not real.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    sigs = stash(sigs.dropDuplicates(["digest"]) if repeated else sigs)  # else one row each already
+    banded = stash(sigs.select("id", "sig").mapInPandas(_bands(bands), "key long, id long, band short"))
     crowded = stash(banded.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    buckets = stash(join_facts(banded, crowded, "key", "n", "inner"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Verified links (src, dst) of pairs (a, b), which passed the test already."""
-        pairs = stash(pairs)
-        needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = docs.join(needed, "doc_id", "left_semi").mapInPandas(_sets(words), "id long, digest binary, shingles binary")
-        sets = stash(sets.join(sigs.select("id", "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id"]).select("id", "shingles"))
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
-        return stash(both.select("a", "b", "set_a", "set_b").mapInPandas(_verify(percent), "a long, b long").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-
-    def tested(pairs: DataFrame) -> DataFrame:
-        pairs = stash(pairs.distinct())
-        both = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-        return both.select("a", "b", "sig_a", "sig_b").mapInPandas(_prune(steps), "a long, b long")
-
-    links = linked(tested(buckets.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))))
+    buckets = stash(join_facts(stash(thin(banded, crowded.select("key"), "key")), crowded, "key", "n", "inner"))
+    crowd = stash(buckets.select("id").distinct())
+    core = stash(thin(sigs, crowd, "id").join(crowd, "id", "left_semi"))  # what may link with anything
+    again = thin(docs, crowd.select(F.col("id").alias("doc_id")), "doc_id").mapInPandas(_sets(words), "id long, digest binary, shingles binary")
+    if repeated:
+        again = again.join(core.select("id", "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id"])
+    sets = stash(again.select("id", "shingles"))  # and a few that no pair asks for
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Links (src, dst) among the pairs (a, b): the sequential test on signatures, then the whole sets."""
+        for side in "ab":
+            pairs = pairs.join(core.select(F.col("id").alias(side), F.col("sig").alias(f"sig_{side}")), side)
+        tested = pairs = stash(pairs.select("a", "b", "sig_a", "sig_b").mapInPandas(_prune(steps), "a long, b long"))
+        for side in "ab":
+            asked = tested.select(F.col(side).alias("id")).distinct()
+            pairs = pairs.join(thin(sets, asked, "id").select(F.col("id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
+        return stash(pairs.select("a", "b", "set_a", "set_b").mapInPandas(_verify(percent), "a long, b long").toDF("src", "dst"))
+
+    links = verified(buckets.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
     components = stash(connected_components(links))
     mixed = _mixed(buckets, components)
-    if not mixed.where(f"n > {BLOCK}").isEmpty():  # a second leader each, before crowds are compared in blocks
-        second = mixed.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id")).alias("lead"), F.max("n").alias("n"))
-        led = join_facts(mixed.drop("n"), stash(second), "key", "n", "inner").where("comp <> lead.comp")
-        more = led.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
-        links = links.unionByName(linked(tested(more)))
+    for turn in range(LEADERS):  # further leaders for the crowds, before what is left is compared in blocks
+        crowds = mixed.where(F.col("n") > BLOCK)
+        if crowds.isEmpty():
+            break
+        lead = crowds.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(turn))).alias("lead"), F.max("n").alias("n"))
+        led = join_facts(crowds.drop("n"), stash(lead), "key", "n", "inner").where("comp <> lead.comp")
+        links = links.unionByName(verified(led.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()))
         components = stash(connected_components(links))
-        mixed = _mixed(mixed.select("key", "id", "n"), components)
+        mixed = _mixed(mixed, components)
     if not mixed.isEmpty():
         n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        dealt = mixed.withColumn("block", F.pmod(F.xxhash64("id", "key"), n_blocks).cast("int"))
+        dealt = mixed.join(core.select("id", "sig"), "id").withColumn("block", F.pmod(F.xxhash64("id", "key"), n_blocks).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-        dealt = dealt.select("key", "id", "comp", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        dealt = dealt.join(sigs.select("id", "sig"), "id")
+        dealt = dealt.select("key", "band", "id", "comp", "sig", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
         parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         dealt = dealt.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
-        links = links.unionByName(linked(dealt.mapInPandas(_blocks(steps), "a long, b long").distinct()))
+        hopeful = stash(dealt.mapInPandas(_grouped(_hopeful(steps)), "key long, low int, high int, id long, comp long"))
+        whole = hopeful.join(thin(sets, hopeful.select("id").distinct(), "id"), "id").repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+        links = links.unionByName(stash(whole.mapInPandas(_grouped(_linked_in_block(percent)), "src long, dst long")))
         components = stash(connected_components(links))
     found = facts.join(components.select(F.col("vertex").alias("id"), "component"), "id", "left")
     found = stash(found.select("digest", F.coalesce("component", "id").alias("component_id"), "n"))
@@ -219,11 +283,11 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, mis
 
 
 def _mixed(buckets: DataFrame, components: DataFrame) -> DataFrame:
-    """(key, id, comp, n) of the buckets that still hold more than one component."""
-    labelled = buckets.select("key", "id", "n").join(components.select(F.col("vertex").alias("id"), "component"), "id", "left")
-    labelled = stash(labelled.select("key", "id", F.coalesce("component", "id").alias("comp"), "n"))
-    open_ = labelled.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo < _hi")
-    return stash(join_facts(labelled, stash(open_.select("key", "_n")), "key", "_n", "inner").select("key", "id", "comp", "n"))
+    """(key, band, id, comp, n) of the buckets that still hold more than one component."""
+    labelled = buckets.select("key", "band", "id").join(components.select(F.col("vertex").alias("id"), "component"), "id", "left")
+    labelled = stash(labelled.select("key", "band", "id", F.coalesce("component", "id").alias("comp")))
+    open_ = labelled.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("n")).where("_lo < _hi")
+    return stash(join_facts(labelled, stash(open_.select("key", "n")), "key", "n", "inner").select("key", "band", "id", "comp", "n"))
 
 
 def keep_one(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -232,3 +296,19 @@ def keep_one(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     kept = documents.join(result.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti")
     again = result.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
     return kept if again.isEmpty() else kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, list_slice(w, i, i + 2) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) AS i FROM w WHERE len(w) > 0)
+), k AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL)
+    JOIN k p ON p.doc_id = a JOIN k q ON q.doc_id = b WHERE 100 * common >= 85 * (p.n + q.n - common)
+), r AS (SELECT DISTINCT a AS id, a AS root FROM l UNION SELECT r.id, l.b FROM r JOIN l ON r.root = l.a
+), c AS (SELECT id, min(root) AS component FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(d.doc_id = coalesce(component, d.doc_id), TRUE) AS kept
+FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN c ON d.doc_id = c.id
+"""
