@@ -42,4 +42,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_index_merge": warc.WARC_SQL, "op10_poisson_mixing": mixing.MIX_SQL}
+    return {
+        "op2_warc_index_merge": warc.WARC_SQL,
+        "op4_cell_cosine_dedup": embeddings.NEAR_SQL,
+        "op5_secret_ownership": secrets.SECRET_SQL,
+        "op8_bayes_minhash_dedup": neardup.NEAR_SQL,
+        "op10_poisson_mixing": mixing.MIX_SQL,
+    }

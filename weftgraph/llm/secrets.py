@@ -148,3 +148,30 @@ def _merged(found: Column) -> Column:
         return F.when(overlaps, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(one)))
 
     return F.aggregate(found, empty, step)
+
+
+def _sql_spans(kind: str, pattern: str, group: int, least: int) -> str:
+    """(doc_id, source, rank, start_, end_, secret) of one kind: pieces between matches give the positions here too."""
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT doc_id, source, {_KINDS.index(kind)} AS rank, g AS start_, g + length(m) AS end_, s AS secret FROM (
+    SELECT doc_id, source, m[i] AS m, s[i] AS s, list_sum(list_transform(list_slice(p, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), lambda x: length(x))), 0) AS g FROM (
+      SELECT doc_id, source, unnest(range(1, len(m) + 1)) AS i, m, s, p FROM (
+        SELECT doc_id, source, regexp_extract_all(t, '{quoted}', 0) AS m, regexp_extract_all(t, '{quoted}', {group}) AS s, string_split_regex(t, '{quoted}') AS p FROM d) WHERE len(m) > 0))
+  WHERE length(s) >= {least}"""
+
+
+SECRET_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce('+' || source, '-') AS source, coalesce(text, '') AS t FROM documents
+), base AS ({" UNION ALL ".join(_sql_spans(*b) for b in BASE)}
+), more AS (SELECT * FROM ({_sql_spans(*OPAQUE)}) o WHERE regexp_matches(secret, '[A-Z]') AND regexp_matches(secret, '[a-z]') AND regexp_matches(secret, '[0-9]')
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = o.doc_id AND b.start_ < o.end_ AND o.start_ < b.end_)
+), every AS (SELECT * FROM base UNION ALL SELECT * FROM more
+), facts AS (SELECT secret, count(DISTINCT source) <= {MOST_OWNERS} AND count(*) <= {MOST_DOCUMENTS} AS live FROM every GROUP BY secret
+), rated AS (SELECT *, ['{"', '".join(_KINDS)}'][rank + 1] || ':' || CAST(start_ AS BIGINT) || ':' || CAST(end_ AS BIGINT) AS shown FROM every JOIN facts USING (secret) WHERE rank < {len(BASE)} OR live
+), folded AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (rank = {k}) AS n_{b[0]}" for k, b in enumerate(BASE))},
+    coalesce(string_agg(shown, ',' ORDER BY start_, rank) FILTER (rank < {len(BASE)}), '') AS base, string_agg(shown, ',' ORDER BY start_, rank) AS spans, count(*) FILTER (live) AS n_live
+  FROM rated GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{b[0]}, 0) AS n_{b[0]}" for b in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN folded USING (doc_id)
+"""
