@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.session import small_batches
+
 #: n-grams of 1 to SPECTRUM characters. Training texts and landmarks for each language, the longest training text in
 #: characters, and the ridge: these bound the sample that the driver fits on.
 SPECTRUM, PER_LANGUAGE, LANDMARKS, MOST_CHARS, RIDGE = 3, 300, 60, 20_000, 1e-3
@@ -150,6 +152,7 @@ def identify(documents: DataFrame, model: KernelModel | None = None) -> DataFram
     letter, is ``und`` with score 0, as is everything when there is nothing to learn from. Null and repeated ids are
     kept; equal texts have equal predictions; other columns are ignored.
     """
+    small_batches(documents.sparkSession)
     model = train(documents) if model is None else model
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", 5) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
@@ -172,6 +175,7 @@ def _accept(model: KernelModel, languages: frozenset[str] | None, least: float,
 def keep_identified(documents: DataFrame, languages: list[str] | None = None, least: float = 0.0) -> DataFrame:
     """``documents`` without those in no known language: ``und``, not among ``languages`` (None: any that was learned),
     or with a score under ``least``."""
+    small_batches(documents.sparkSession)
     model = train(documents)
     chosen = None if languages is None else frozenset(languages)
     return documents.mapInPandas(_accept(model, chosen, least, documents.columns), documents.schema)

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.session import small_batches
+
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Image width in samples, bytes in an IDAT chunk, and deflate's level.
 WIDTH, IDAT_BYTES, LEVEL = 64, 65_536, 6
@@ -157,6 +159,7 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def to_images(documents: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, png): each text's UTF-8 bytes, with zeros up to a positive multiple of WIDTH, as a PNG of that width."""
+    small_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_store, _STORED)
 
 

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.tokens import tokenizer
-from weftgraph.session import stash
+from weftgraph.session import small_batches, stash
 
 #: Pieces in a partition, texts encoded at a time, and rounds of exchange at most.
-PART_PIECES, GROUP, MOST_ROUNDS = 30_000, 1024, 4
+PART_PIECES, GROUP, MOST_ROUNDS = 30_000, 1000, 4
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = _PIECES + ", sequence_id long, offset long, part int, bins int, bound int, room long"
 
@@ -42,6 +42,7 @@ def _cut(path: str, capacity: int, end_id: int) -> Callable:
 
 def cut_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): a document's ids and ``end_id``, cut only where they pass ``capacity``."""
+    small_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_cut(tokenizer_path, capacity, end_id), _PIECES)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.langid import remainder
+from weftgraph.session import small_batches
 
 #: The bounded sample that the driver fits on: positives and unlabelled texts at most, and the longest in characters.
 POSITIVES, UNLABELLED, MOST_CHARS = 4000, 8000, 20_000
@@ -137,6 +138,7 @@ def score_quality(documents: DataFrame, labels: DataFrame, least: float = 0.7) -
     Null texts score as empty ones. Without positive labels every score is 0.5. Null and repeated ids are kept; equal
     texts have equal scores; other columns are ignored. No shuffle but for the bounded training sample.
     """
+    small_batches(documents.sparkSession)
     model = train(documents, labels)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", 4) == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(_score(model), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= least).cast("int"))
