@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from weftgraph.llm.tokens import tokenizer
 from weftgraph.session import small_batches, stash
 
-#: Pieces in a partition, texts encoded at a time, and rounds of exchange at most.
-PART_PIECES, GROUP, MOST_ROUNDS = 30_000, 1000, 4
+#: Pieces in a partition, texts encoded at a time, rounds of exchange at most, and the part of a bin's capacity whose room
+#: opens the bin again.
+PART_PIECES, GROUP, MOST_ROUNDS, LOOSE = 30_000, 1000, 4, 32
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = _PIECES + ", sequence_id long, offset long, part int, bins int, bound int, room long"
 
@@ -81,9 +82,16 @@ def lower_bound(lengths: np.ndarray, capacity: int, most_k: int = 32) -> int:
     f_k, k up to half the capacity, counts pieces over capacity - k as whole bins and drops those under k; u_k rounds
     (k + 1) x / capacity down to whole k-ths. Both are evaluated on the histogram of lengths.
     """
-    if not len(lengths):
+    sizes, counts = np.unique(lengths, return_counts=True)
+    return lower_bound_of(dict(zip(sizes.tolist(), counts.tolist())), capacity, most_k)
+
+
+def lower_bound_of(histogram: dict[int, int], capacity: int, most_k: int = 32) -> int:
+    """lower_bound of the lengths that the histogram counts."""
+    if not histogram:
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype("int64")
+    count = np.zeros(capacity + 1, "int64")
+    count[list(histogram)] = list(histogram.values())
     x = np.arange(capacity + 1)
     n, total = np.cumsum(count), np.cumsum(count * x)
     k = np.arange(0, capacity // 2 + 1)
@@ -126,25 +134,33 @@ def pack(pieces: DataFrame, capacity: int = 2048, rounds: int = MOST_ROUNDS) ->
     """``pieces`` (as cut_pieces gives them) with sequence_id and offset; no sequence passes ``capacity``.
 
     Pieces are dealt evenly to partitions of about PART_PIECES (bounded memory), each packed best-fit decreasing and
-    certified by dual feasible functions. Partitions with more bins than their bound exchange: the pieces of their bins
-    that are not full are dealt anew, among as many fewer partitions as they fill, and packed again. An exchange that
-    saves no bin is dropped and ends the rounds. Each round reads and writes only what the last one left open.
+    certified by dual feasible functions. Rounds follow while there are more bins than the bound of all lengths together
+    (a histogram of at most ``capacity`` rows). In a round partitions with more bins than their own bound exchange the
+    pieces of bins that are not full, and every partition those of bins with a LOOSE-th of room or more, which its own
+    bound can't tell from need. These pieces are dealt anew, among as many fewer partitions as they fill, and packed
+    again. A round that saves no bin is dropped and ends them; each reads and writes only what the last left open.
     """
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    histogram = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    n = sum(r["n"] for r in histogram)
+    least = lower_bound_of({r["length"]: r["n"] for r in histogram}, capacity)
     done: list[DataFrame] = []
-    n = pieces.count()
     now = _packed(pieces, n, capacity, 0)
+    total = now.agg(F.countDistinct("sequence_id")).first()[0]
+    loose = F.expr(f"room > 0 and (bins > bound or room * {LOOSE} >= {capacity})")
     for turn in range(1, rounds + 1):
-        open_ = now.where("bins > bound and room > 0")
+        if total <= least:
+            break
+        open_ = now.where(loose)
         n, used = open_.agg(F.count(F.lit(1)), F.countDistinct("sequence_id")).first()
         if not n:
             break
-        # evenly shuffled anew: the number of partitions differs, and so does the deal
         again = _packed(open_.select(*columns[:5]), n, capacity, turn)
-        if again.agg(F.countDistinct("sequence_id")).first()[0] >= used:
+        saved = used - again.agg(F.countDistinct("sequence_id")).first()[0]
+        if saved <= 0:
             break
-        done.append(now.where("not (bins > bound and room > 0)").select(*columns))
-        now = again
+        done.append(now.where(~loose).select(*columns))
+        now, total = again, total - saved
     out = now.select(*columns)
     for part in done:
         out = out.unionByName(part)
