@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from weftgraph.functions.lexicon import ACTIONS, action_group, grammar
+from weftgraph.functions.lexicon import ACTIONS, action_group, any_of, escaped, grammar
 from weftgraph.operators.triples import extract_triples, max_depth
 
 #: Statement, and its reactions as subject | agent | action | target.
@@ -69,3 +69,8 @@ def test_lexicon():
     assert len(ACTIONS) == 115 and len(set(ACTIONS)) == 115
     assert all(re.compile(p) for p in grammar().values())
     assert re.fullmatch(action_group(), "which binds to").group(1) == "which binds to"
+    plain = "(?:" + "|".join(map(escaped, ACTIONS)) + ")"
+    for text in [a + e for a in ACTIONS for e in ("", " x", "x")] + ["results in", "affects the", "Caproate binds", "co-treated with binds to"]:
+        both = [re.match(p, text) for p in (plain, any_of(ACTIONS))]
+        assert (both[0] and both[0].group()) == (both[1] and both[1].group())
+    assert any_of(("a b", "a b c", "d")) == "(?:a b|a b c|d)"

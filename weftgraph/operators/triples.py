@@ -58,11 +58,12 @@ def parse(text: Column, index: Column, compat: bool = False, actions: tuple[str,
             content.alias("text"), number(k).alias("subject"), (k + 1).alias("k"), F.lit(False).alias("done"),
             F.concat(acc["out"], _reaction(own, part(now, "nested", 1), part(now, "nested", 2), aim)).alias("out"))
         simple = F.concat(acc["out"], _reaction(own, part(now, "simple", 1), part(now, "simple", 2), part(now, "simple", 3)))
+        closed = now.endswith("]")  # what the patterns ask for at the ends, asked first
         return (
             F.when(acc["done"], acc)
-            .when(now.rlike(shapes["inverse"]), ended(inverse))
-            .when(now.rlike(shapes["nested"]), nested)
-            .when(now.rlike(shapes["simple"]), ended(simple))
+            .when(now.startswith("[") & now.rlike(shapes["inverse"]), ended(inverse))
+            .when(closed & now.rlike(shapes["nested"]), nested)
+            .when(~closed & now.rlike(shapes["simple"]), ended(simple))
             .otherwise(ended(acc["out"]))
         )
 

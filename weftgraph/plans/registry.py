@@ -236,18 +236,18 @@ def max_depth(spark, sf_dir):
 
 @_register("recover_chemicals", f"WITH {sql.triples()}{sql.RESOLVED} SELECT index, object, id FROM rc WHERE triple_object_type = 'chemical'")
 def recover_chemicals(spark, sf_dir):
-    rows = resolve.recover_chemicals(_triples(spark, sf_dir), star.chemicals(spark, sf_dir))
+    rows = resolve.recover_chemicals(algorithms.stash(_triples(spark, sf_dir)), star.chemicals(spark, sf_dir))
     return rows.where("triple_object_type = 'chemical'").select("index", "object", "id")
 
 
 @_register("recover_proteins", f"WITH {sql.triples()}{sql.RESOLVED} SELECT index, object, id FROM rc WHERE triple_object_type = 'protein'")
 def recover_proteins(spark, sf_dir):
-    rows = resolve.recover(_triples(spark, sf_dir), star.chemicals(spark, sf_dir))
+    rows = resolve.recover(algorithms.stash(_triples(spark, sf_dir)), star.chemicals(spark, sf_dir))
     return rows.where("triple_object_type = 'protein'").select("index", "object", "id")
 
 
 def _mapped(spark, sf_dir):
-    rows = resolve.recover(_triples(spark, sf_dir), star.chemicals(spark, sf_dir))
+    rows = resolve.recover(algorithms.stash(_triples(spark, sf_dir)), star.chemicals(spark, sf_dir))
     return resolve.map_genes(resolve.map_chemicals(rows, star.chemicals(spark, sf_dir)), star.genes(spark, sf_dir))
 
 
