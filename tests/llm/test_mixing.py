@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from weftgraph.llm.mixing import poisson_copies, replicate
+from weftgraph.llm.mixing import mix_rows, poisson_copies, replicate
 
 
 def uniform(text):
@@ -25,7 +25,9 @@ def test_matches_brute_force(spark):
     rows = [(i, "hot" if i % 3 else f"s{i % 7}") for i in range(600)] + [(None, None), (None, "s1"), (3, ""), (3, "")]
     table = spark.createDataFrame([(d, s, f"text {d}", 1, 2) for d, s in rows], "doc_id long, source string, text string, copy int, _mx_n int")
     got = replicate(table, seed=0)
-    assert got.columns == ["doc_id", "source", "text", "n_copies", "copy", "mix_key", "rate"]
+    assert got.columns == ["doc_id", "source", "text", "_mx_n", "n_copies", "copy", "mix_key", "rate"]
+    plain = mix_rows(table, seed=0)
+    assert plain.columns == table.columns and plain.count() == got.count() and plain.first()["copy"] == 1
     counts = Counter(s for _, s in rows)
     weights = {s: math.sqrt(n) for s, n in counts.items()}
     want = Counter()

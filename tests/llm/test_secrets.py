@@ -55,5 +55,11 @@ def test_redaction(spark):
     assert got == sorted([(1, "é a [secret] z", "s", 14), (1, "é a [secret] z", "s", 14), (2, None, "s", None), (3, "clean", None, 5)], key=str)
 
 
+def test_redaction_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, f"password={HEX}", "s", 1, "a", "b", "c")], "doc_id long, text string, source string, spans int, _own string, _id string, _doc string")
+    out = secrets.redact(rows)
+    assert out.columns == rows.columns and tuple(out.first()) == (1, "[secret]", "s", 1, "a", "b", "c")
+
+
 def test_empty(spark):
     assert secrets.secret_query(table(spark, [])).count() == 0

@@ -61,6 +61,21 @@ def poisson_copies(rate, uniform):
     return F.aggregate(F.sequence(F.lit(1), last), start, step)["k"]
 
 
+def _mixed(documents: DataFrame, by: str, weights: dict[str, float] | None, alpha: float, total: int | None, seed: int, id_column: str, most_rate: float) -> DataFrame:
+    """_mx_doc (a document's columns in one, so that none can clash), _mx_copies, _mx_copy, _mx_order, _mx_rate."""
+    rates = stash(target_rates(documents, by, weights, alpha, total))
+    named = F.coalesce(F.col("_mx_id").cast("string"), F.lit(""))
+    uniform = _digits(F.concat(F.lit(f"{seed}:u:"), named)) / F.lit(float(2**UNIFORM_BITS))
+    sure = F.floor(F.greatest(F.col("_mx_rate") - F.lit(most_rate), F.lit(0.0)))
+    packed = documents.select(F.expr("struct(*)").alias("_mx_doc"), F.col(id_column).alias("_mx_id"), _key(by).alias("_mx_key"))
+    rated = join_facts(packed, rates, "_mx_key", "_mx_n", "inner").withColumn("_mx_sure", sure)
+    drawn = rated.withColumn("_mx_copies", F.col("_mx_sure").cast("int") + poisson_copies(F.col("_mx_rate") - F.col("_mx_sure"), uniform))
+    copies = drawn.where("_mx_copies > 0").withColumn("_mx_copy", F.explode(F.sequence(F.lit(0), F.col("_mx_copies") - 1)))
+    keyed = copies.withColumn("_mx_order", _digits(F.concat(F.lit(f"{seed}:k:"), named, F.lit(":"), F.col("_mx_copy").cast("string"))))
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartitionByRange(parts, "_mx_order").sortWithinPartitions("_mx_order", "_mx_id", "_mx_copy")
+
+
 def replicate(documents: DataFrame, by: str = "source", weights: dict[str, float] | None = None, alpha: float = 0.5, total: int | None = None, seed: int = 0, id_column: str = "doc_id", most_rate: float = 500.0) -> DataFrame:
     """Each document as often as a Poisson number with its source's rate says, in one global random order.
 
@@ -70,26 +85,19 @@ def replicate(documents: DataFrame, by: str = "source", weights: dict[str, float
     Copies are ordered by ``mix_key``, a 52-bit hash of seed, id and copy number, and dealt out by its ranges, which
     are even whatever the sources are; the id and then the copy number break ties.
 
-    Returns the columns of ``documents`` and n_copies, copy (from 0), mix_key, rate; input columns with these names or
-    starting with _mx_ are dropped. Sources may hold any share of the rows: the hot ones' rates are broadcast (at
-    most 1000 rows), the others' joined. No rows, or no weight at all, give no rows.
+    Returns the columns of ``documents`` and n_copies, copy (from 0), mix_key, rate, which replace columns of these
+    names. Sources may hold any share of the rows: the hot ones' rates are broadcast (at most 1000 rows), the others'
+    joined. No rows, or no weight at all, give no rows.
     """
-    documents = documents.drop("n_copies", "copy", "mix_key", "rate", *[c for c in documents.columns if c.startswith("_mx_")])
-    rates = stash(target_rates(documents, by, weights, alpha, total))
-    named = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
-    uniform = _digits(F.concat(F.lit(f"{seed}:u:"), named)) / F.lit(float(2**UNIFORM_BITS))
-    sure = F.floor(F.greatest(F.col("_mx_rate") - F.lit(most_rate), F.lit(0.0)))
-    rated = join_facts(documents.withColumn("_mx_key", _key(by)), rates, "_mx_key", "_mx_n", "inner")
-    drawn = rated.withColumn("_mx_sure", sure).withColumn("n_copies", F.col("_mx_sure").cast("int") + poisson_copies(F.col("_mx_rate") - F.col("_mx_sure"), uniform))
-    copies = drawn.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    keyed = copies.withColumn("mix_key", _digits(F.concat(F.lit(f"{seed}:k:"), named, F.lit(":"), F.col("copy").cast("string"))))
-    return _shuffle(keyed, id_column).select(*documents.columns, "n_copies", "copy", "mix_key", F.col("_mx_rate").alias("rate"))
+    own = {"n_copies": "_mx_copies", "copy": "_mx_copy", "mix_key": "_mx_order", "rate": "_mx_rate"}
+    rows = _mixed(documents, by, weights, alpha, total, seed, id_column, most_rate)
+    kept = [F.col("_mx_doc").getField(c).alias(c) for c in documents.columns if c not in own]
+    return rows.select(*kept, *[F.col(v).alias(k) for k, v in own.items()])
 
 
-def _shuffle(keyed: DataFrame, id_column: str) -> DataFrame:
-    """By ranges of mix_key. The key is uniform by making, so its ranges are known and no sampling pass is needed."""
-    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartitionByRange(parts, "mix_key").sortWithinPartitions("mix_key", id_column, "copy")
+def mix_rows(documents: DataFrame, by: str = "source", weights: dict[str, float] | None = None, alpha: float = 0.5, total: int | None = None, seed: int = 0, id_column: str = "doc_id", most_rate: float = 500.0) -> DataFrame:
+    """As replicate, with the columns of ``documents`` alone, whatever they are called."""
+    return _mixed(documents, by, weights, alpha, total, seed, id_column, most_rate).select("_mx_doc.*")
 
 
 def mix_query(documents: DataFrame) -> DataFrame:

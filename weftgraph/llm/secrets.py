@@ -117,8 +117,8 @@ def redact(documents: DataFrame, live_mark: str = "[secret]", example_mark: str
     there is such a column, follows the new text.
     """
     found = scan(documents).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans").dropDuplicates(["_id", "_hash"])
-    keyed = documents.withColumn("_own", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
+    packed = documents.select(F.expr("struct(*)").alias("_doc"), "doc_id", "text", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("_own"))
+    joined = packed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     mark = lambda s: F.when(s["live"], F.lit(live_mark)).otherwise(F.lit(example_mark))
 
@@ -129,11 +129,11 @@ def redact(documents: DataFrame, live_mark: str = "[secret]", example_mark: str
 
     done = F.aggregate(_merged(F.col("spans")), first, step)
     text = F.when(F.col("spans").isNotNull(), F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.char_length("text")))).otherwise(F.col("text"))
-    out = joined.withColumn("text", text)
+    new = {"text": F.col("_new")}
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*documents.columns)
+        new["n_chars"] = F.when(F.col("spans").isNotNull(), F.char_length("_new").cast(kind)).otherwise(F.col("_doc").getField("n_chars"))
+    return joined.withColumn("_new", text).select(*[new.get(c, F.col("_doc").getField(c)).alias(c) for c in documents.columns])
 
 
 def _merged(found: Column) -> Column:
