@@ -115,6 +115,8 @@ def run(observations: DataFrame, chemicals: DataFrame, genes: DataFrame, folder:
     out: dict[str, object] = {}
     if "prepare" in steps:
         out["prepare"] = prepare_graph(observations, chemicals, genes, settings)
+        if settings.preparation.save_triples:
+            tables.write_csv(out["prepare"].triples, f"{folder}/triples", ";", single=False)
     if "import" in steps:
         prepared = out["prepare"]
         import_graph(prepared.graph, folder, settings.preparation.organism)
@@ -137,10 +139,13 @@ def save_results(found: dict[str, object], folder: str, organism: str) -> None:
         write(done.graph.edges, "edges.csv")
         write(done.report, "data_prep_report.csv")
     if isinstance(seen := found.get("analyse"), Analysed):
-        for name, rows in (("degree_centrality", seen.degrees), ("connected_components", seen.components), ("communities", seen.communities), ("graph_analysis_report", seen.report)):
-            write(rows, f"{name}.csv")
+        for name, rows, first in (("degree_centrality", seen.degrees, "degree"), ("connected_components", seen.components, "component_count"), ("communities", seen.communities, "community_count")):
+            write(rows and rows.orderBy(F.desc(first), "id"), f"{name}.csv")
+        write(seen.report, "graph_analysis_report.csv")
         if seen.paths is not None:
-            write(seen.paths, f"shortest_path__{seen.target_id}_.csv", ";")  # the organism's part makes it two underscores
+            write(seen.paths.orderBy(F.desc("hops"), "id"), f"shortest_path__{seen.target_id}_.csv", ";")  # the organism's part makes it two underscores
     if isinstance(linked := found.get("link"), Linked):
         for name, rows in (("predictions", linked.predictions), ("link_prediction_report", linked.report), ("roc", linked.roc), ("precision_recall", linked.precision_recall)):
             write(rows, f"{name}.csv")
+        spark = linked.report.sparkSession
+        spark.createDataFrame([(linked.model_summary,)], "value string").write.mode("overwrite").text(f"{folder}/model_summary")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from weftgraph.functions.lexicon import CONCEPTS, escaped
 from weftgraph.operators import algorithms, canonical, explore, graph, linkpred, prepare, resolve, statistics, triples, validate
 from weftgraph.plans import sql
-from weftgraph.sources import star
+from weftgraph.session import shared_dir
+from weftgraph.sources import star, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -372,6 +374,50 @@ def lexicon_coverage(spark, sf_dir):
     return statistics.lexicon_coverage(star.observations(spark, sf_dir))
 
 
+@_register("action_code_lists", f"""WITH {sql.OBSERVATIONS}, c AS (SELECT DISTINCT unnest(string_split(InteractionActions, '|')) AS code FROM ob)
+SELECT list_sort(list_distinct(list(split_part(code, '^', 1)))) AS predicates, list_sort(list_distinct(list(substr(code, strpos(code, '^') + 1)))) AS objects FROM c""")
+def action_code_lists(spark, sf_dir):
+    return statistics.action_code_lists(star.observations(spark, sf_dir))
+
+
+@_register("distinct_sorted", f"WITH {sql.OBSERVATIONS} SELECT DISTINCT replace(InteractionActions, '\"', '') AS InteractionActions FROM ob")
+def distinct_sorted(spark, sf_dir):
+    return statistics.distinct_sorted(star.observations(spark, sf_dir), "InteractionActions")
+
+
+# --- what is saved and read again
+
+
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+
+
+@_register("saved_graph_edges", f"WITH {sql.graph()} SELECT ex.* FROM ex JOIN vx s ON source_id = s.id JOIN vx t ON target_id = t.id WHERE s.type <> 'reaction' AND t.type <> 'reaction'")
+def saved_graph_edges(spark, sf_dir):
+    folder = _folder(spark)
+    tables.save_graph(star.graph(spark, sf_dir), folder)
+    return tables.load_graph(spark, folder, ["chemical", "protein"]).edges
+
+
+@_register("csv_graph_nodes", f"WITH {sql.SPARSE_GRAPH} SELECT * FROM vx")
+def csv_graph_nodes(spark, sf_dir):
+    folder, g = _folder(spark), _sparse(spark, sf_dir)
+    tables.write_csv(g.vertices, f"{folder}/nodes.csv")
+    tables.write_csv(g.edges, f"{folder}/edges.csv")
+    return tables.read_graph_csv(spark, f"{folder}/nodes.csv", f"{folder}/edges.csv").vertices
+
+
+@_register("latest_imports", "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS organism, o_orderdate AS import_time FROM orders ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC LIMIT 5")
+def latest_imports(spark, sf_dir):
+    log = star.read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("organism"), F.col("o_orderdate").alias("import_time"))
+    return tables.latest_imports(log, 5)
+
+
+@_register("undirected_edges", f"WITH {sql.graph()} SELECT source_id AS src, target_id AS dst FROM ex UNION SELECT target_id, source_id FROM ex")
+def undirected_edges(spark, sf_dir):
+    return algorithms.undirected(star.graph(spark, sf_dir).edges)
+
+
 # --- exploration
 
 
