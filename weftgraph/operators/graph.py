@@ -37,17 +37,16 @@ def define_nodes(triples: DataFrame) -> DataFrame:
 
 
 def named_by_id(triples: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Names in object and subject replaced by their node's id; actions and unknown names stay.
+    """Entities' names in object replaced by their node's id; actions, unknown names and reactions stay.
 
-    Names of one type are unique once entities are unified, so this repeats no row; the join is a broadcast only if the
-    optimiser finds the nodes small."""
-    ids = nodes.groupBy("name").agg(F.min("id").alias("node_id"))
-    as_object = ids.select(F.col("name").alias("object"), F.col("node_id").alias("_o"))
-    as_subject = ids.select(F.col("name").alias("subject"), F.col("node_id").alias("_s"))
-    joined = triples.join(as_object, "object", "left").join(as_subject, "subject", "left")
-    kept = F.when(F.col("predicate") == ACTION, F.col("object")).otherwise(F.coalesce("_o", "object"))
-    new = {"object": kept, "subject": F.coalesce("_s", "subject")}
-    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in triples.columns])
+    A reaction's name is its id already, in subject and object alike, so only entities are looked up. Names of one type
+    are unique once entities are unified, so this repeats no row; the join is a broadcast only if the optimiser finds
+    the nodes small."""
+    ids = nodes.where("type <> 'reaction'").groupBy(F.col("name").alias("object")).agg(F.min("id").alias("_id"))
+    entity = F.col("triple_object_type").isin("chemical", "protein")
+    found = triples.where(entity).join(ids, "object", "left")
+    rest = triples.where(~entity | F.col("triple_object_type").isNull())
+    return found.select(*[F.coalesce("_id", "object").alias("object") if c == "object" else F.col(c) for c in triples.columns]).unionByName(rest)
 
 
 def define_edges(named: DataFrame) -> DataFrame:
@@ -58,7 +57,8 @@ def define_edges(named: DataFrame) -> DataFrame:
 
 
 def edges_of_reactions(whole: DataFrame) -> DataFrame:
-    """As define_edges, from rows (reaction_id, agent, action, target)."""
+    """As define_edges, from rows (reaction_id, agent, action, target) with one row for each reaction, so that no edge
+    comes twice and none has to be compared with others."""
     def edge(source: str, target: str, label, kind: str):
         return F.struct(F.col(source).alias("source_id"), F.col(target).alias("target_id"), label.alias("relationship"), F.col("reaction_id"), F.lit(kind).alias("type"))
 
@@ -69,7 +69,7 @@ def edges_of_reactions(whole: DataFrame) -> DataFrame:
         edge("reaction_id", "agent", F.lit("HAS_AGENT"), "ontological"),
         edge("reaction_id", "target", F.lit("HAS_TARGET"), "ontological"))
     rows = whole.select(F.explode(five).alias("e")).select("e.*")
-    return rows.where("source_id is not null and target_id is not null and relationship is not null").distinct()
+    return rows.where("source_id is not null and target_id is not null and relationship is not null")
 
 
 def build_graph(triples: DataFrame) -> PropertyGraph:
