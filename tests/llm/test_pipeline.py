@@ -68,3 +68,29 @@ def test_registered():
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, spans int, copy int, held_out string, id long, digest string"
+
+
+def test_odd_rows_in_every_stage(spark, prose, tmp_path):
+    rows = [(i, prose(30, i), "en", "s1", 5) for i in range(30)] + [(100 + i, prose(60, 77) + f" {i}", "en", "s2", None) for i in range(6)]
+    rows += [(None, None, None, None, None), (200, None, "en", "s1", 0), (201, "", None, None, 0), (202, "12 34", "en", "s1", 5), (0, prose(30, 0), "en", "s1", 5), (0, prose(30, 0), "en", "s1", 5)]
+    rows += [(None, prose(25, 500), "en", None, 1), (203, prose(15_000, 9), None, "s3", 9), (204, "password = hunter2hunter2 " + prose(20, 3), "en", "s1", 3)]
+    spark.createDataFrame([(*r, "x", 1, 2, "y", 3, "z") for r in rows], SCHEMA).write.parquet(f"file://{tmp_path}/documents.parquet")
+    docs = documents = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    seen = []
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = corpus_pipeline.stash(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == documents.columns, name
+        assert {(r["score"], r["spans"], r["copy"], r["held_out"], r["id"], r["digest"]) for r in docs.collect()} == {("x", 1, 2, "y", 3, "z")}
+        seen.append(docs.toPandas())
+    assert len(seen[0]) == len(rows) - 4
+    assert sorted(seen[1]["doc_id"].dropna()) == [*range(30), 100, 203, 204] and len(seen[1]) == 34
+    assert "[secret]" in seen[2].set_index("doc_id").loc[204, "text"] and len(seen[2]) == 34
+    assert corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).count() >= len(seen[3]) > 10
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
