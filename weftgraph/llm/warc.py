@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from weftgraph.operators.skew import join_facts
 from weftgraph.session import shared_dir, stash
 
-#: Bytes of records in one archive, and index rows in one partition of the merge.
-ARCHIVE_BYTES, MERGE_ROWS = 32_000_000, 50_000
+#: Bytes of records in one archive as a rule and at most (unless one record alone is longer), and index rows in one
+#: partition of the merge.
+ARCHIVE_BYTES, MOST_BYTES, MERGE_ROWS = 32_000_000, 256_000_000, 50_000
 #: Payloads below this are always stored.
 LEAST_REVISIT = 100
 #: Captures carry no time of their own in a table of pages; ids count seconds from this one.
@@ -67,9 +68,11 @@ def write_archives(pages: DataFrame, path: str) -> None:
         F.when(again, F.concat(F.lit(f"{_CRLF}WARC-Profile: {_PROFILE}{_CRLF}WARC-Refers-To: <{_ID}"), text("refers_to"), F.lit(">"))).otherwise(F.lit("")),
         F.lit(f"{_CRLF}Content-Type: application/http; msgtype=response{_CRLF}Content-Length: "),
         (F.octet_length(http) + F.octet_length(body)).cast("string"), F.lit(_CRLF * 2), http, body)
-    mean = pages.agg(F.avg(F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit(""))))).first()[0] or 0
+    size = F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit("")))
+    mean, most = pages.agg(F.coalesce(F.avg(size), F.lit(0.0)), F.coalesce(F.max(size), F.lit(0))).first()
+    records = max(1, min(int(ARCHIVE_BYTES / (mean + 600)), MOST_BYTES // (most + 600)))
     rows.select(record.alias("value")).write.option("lineSep", _CRLF * 2).option("compression", "gzip").option(
-        "maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / (mean + 600)))).text(path)
+        "maxRecordsPerFile", records).text(path)
 
 
 def url_key(url: str) -> str:
