@@ -9,7 +9,7 @@ import re
 import numpy as np
 
 #: Chunks kept by a worker (about 200 bytes each), and the share of misses at which a full cache starts anew.
-MOST_CHUNKS, RENEW_AT = 400_000, 0.3
+MOST_CHUNKS, RENEW_AT = 250_000, 0.3
 _SEPARATORS = "†§¶©®°±•"
 #: Special tokens begin so, and combining marks U+0300 to U+036F begin so in UTF-8: such texts are encoded as they are.
 _AS_IS = (b"<|", b"\xcc", b"\xcd")
