@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,7 +138,3 @@ def check_organism(log: DataFrame, organism: str) -> None:
     last = log.orderBy(F.desc("import_time"), F.desc("id")).select("organism").first()
     if last is None or last[0] != organism:
         raise ValueError(f"the graph holds {last[0] if last else 'no import'}, not {organism}")
-
-
-def isin(column: str, values: Iterable[str]):
-    return F.col(column).isin(list(values))
