@@ -4,6 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from weftgraph.llm import mixing
 from weftgraph.llm.mixing import mix_rows, poisson_copies, replicate
 
 
@@ -58,3 +59,19 @@ def test_inversion(spark):
     made = spark.range(400).select((F.col("id") % 20 / 2.0).alias("rate"), ((F.col("id") + 0.5) / 400).alias("u"))
     for r in made.select("rate", "u", poisson_copies(F.col("rate"), F.col("u")).alias("k")).collect():
         assert r["k"] == poisson(r["rate"], r["u"])
+
+
+def test_query_mixes_whole_documents(spark, monkeypatch):
+    """A cold source is replicated at a rate over 1: each of its long texts is written once for each copy."""
+    rows = [(i, "hot" if i % 20 else "cold", f"text {i} " * (1 if i % 20 else 3000)) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    written, stash = [], mixing.stash
+    monkeypatch.setattr(mixing, "stash", lambda frame: written.append(stash(frame)) or written[-1])
+    got = [tuple(r) for r in mixing.mix_query(table).collect()]
+    whole = [frame for frame in written if "text" in frame.columns]
+    assert len(whole) == 1
+    texts = {d: t for d, _, t in rows}
+    mixed = whole[0].collect()
+    assert all(r["text"] == texts[r["doc_id"]] for r in mixed)
+    assert Counter((r["doc_id"], r["source"], r["n_copies"], r["copy"], r["mix_key"]) for r in mixed) == Counter(r[:5] for r in got)
+    assert [r[4] for r in got] == sorted(r[4] for r in got) and max(r[2] for r in got if r[1] == "cold") > 1

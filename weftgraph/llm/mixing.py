@@ -101,9 +101,15 @@ def mix_rows(documents: DataFrame, by: str = "source", weights: dict[str, float]
 
 
 def mix_query(documents: DataFrame) -> DataFrame:
-    """doc_id, source, n_copies, copy, mix_key, rate (6 digits) for the whole table; weights are counts to the power 0.5."""
-    narrow = documents.select("doc_id", "source")
-    return replicate(narrow).select("doc_id", "source", "n_copies", "copy", "mix_key", F.round("rate", 6).alias("rate"))
+    """doc_id, source, n_copies, copy, mix_key, rate (6 digits) for the whole table; weights are counts to the power 0.5.
+
+    The mixed documents, texts and all other columns, are written as rows of the shuffled copies; the columns above,
+    which are what the SQL gives, are read from there and put in the same order again.
+    """
+    mixed = stash(replicate(documents))
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shown = mixed.select("doc_id", "source", "n_copies", "copy", "mix_key", F.round("rate", 6).alias("rate"))
+    return shown.repartitionByRange(parts, "mix_key").sortWithinPartitions("mix_key", "doc_id", "copy")
 
 
 MIX_SQL = """
