@@ -61,5 +61,18 @@ def test_redaction_with_clashing_columns(spark):
     assert out.columns == rows.columns and tuple(out.first()) == (1, "[secret]", "s", 1, "a", "b", "c")
 
 
+def test_an_owner_may_repeat_its_secret(spark):
+    """60 documents of one source, one document with 60 repeats, and 4 sources with another token."""
+    many, own, shared = "Many1" * 8, "Own22" * 8, "Shared3" * 8
+    rows = [(i, f"text {i} {many} {KEY}", "me") for i in range(60)] + [(60, f"{own} " * 60, "you")] + [(70 + i, f"word {shared} password={HEX}", f"s{i}") for i in range(4)]
+    docs = table(spark, rows)
+    got = {r["doc_id"]: r for r in secrets.secret_query(docs).collect()}
+    assert all(got[i]["n_live"] == 2 and got[i]["spans"].startswith("opaque:") and ",access:" in got[i]["spans"] for i in range(60))
+    assert got[60]["n_live"] == 60 and got[60]["spans"].count("opaque:") == 60
+    assert all(got[70 + i]["n_live"] == 0 and "opaque" not in got[70 + i]["spans"] for i in range(4))
+    texts = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert texts[5] == "text 5 [secret] [secret]" and texts[60] == "[secret] " * 60 and texts[70] == f"word {shared} [example secret]"
+
+
 def test_empty(spark):
     assert secrets.secret_query(table(spark, [])).count() == 0

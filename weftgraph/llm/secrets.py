@@ -16,7 +16,7 @@ BASE = (
 )
 #: Further candidates, which count only if they are owner-specific: long runs with all three sorts of characters.
 OPAQUE = ("opaque", r"[A-Za-z0-9_-]+", 0, 32)
-#: A candidate in texts of more owners than this, or more documents, is a copied example.
+#: A candidate in texts of more owners than this is a copied example; the SQL alone also bounds how often it stands.
 MOST_OWNERS, MOST_DOCUMENTS = 3, 50
 _FAST = {"hex": r"[0-9a-f]{24}", "access": r"AKIA[A-Z0-9]{16}", "opaque": r"[A-Za-z0-9_-]{32}", "assign": r"(?i)(password|passwd|secret|token|api_?key)"}
 
@@ -64,13 +64,13 @@ def _joined(found: Column) -> Column:
 _KINDS = tuple(k for k, *_ in BASE) + (OPAQUE[0],)
 
 
-def scan(documents: DataFrame, most_owners: int = MOST_OWNERS, most_documents: int = MOST_DOCUMENTS) -> DataFrame:
+def scan(documents: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
     """Per row of documents(doc_id, text, source): doc_id, text_hash, base (spans), spans (base and added), live.
 
     Candidates are the base spans and opaque runs. For each candidate hash the distinct sources (repositories, each an
-    owner) and the documents with it are counted over all texts. A candidate of few owners and documents is ``live``;
-    others are copied examples. Opaque runs count only when they are live and no base span overlaps them: these are
-    the added spans. ``live`` lists the (start, end) of live spans.
+    owner) with it are counted over all texts. A candidate of few owners is ``live``, however often and in however many
+    documents they repeat it; others are copied examples. Opaque runs count only when they are live and no base span
+    overlaps them: these are the added spans. ``live`` lists the (start, end) of live spans.
 
     Counting is by (hash, source) first and then by hash, both combined before the shuffle, so a secret in a third of
     all documents is one row for each task; its fact is broadcast back. A null text is empty, a null source an owner of
@@ -90,9 +90,10 @@ def scan(documents: DataFrame, most_owners: int = MOST_OWNERS, most_documents: i
     every = stash(every)
     # a source's documents first: distinct owners by hash are then plain counts
     owned = some.select("owner", F.explode(F.concat("base", "opaque")).alias("s")).groupBy(F.col("s.hash").alias("hash"), "owner").agg(F.count(F.lit(1)).alias("n"))
+    # n, the spans with a hash, tells the join which hashes are hot; it decides nothing
     facts = owned.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("n"))
     rated = join_facts(every, stash(facts), "hash", "n", "inner")
-    live = (F.col("owners") <= most_owners) & (F.col("n") <= most_documents)
+    live = F.col("owners") <= most_owners
     counted = rated.where((F.col("kind") != OPAQUE[0]) | live).withColumn("live", live)
     span = F.struct("start", F.array_position(F.lit(list(_KINDS)), F.col("kind")).alias("rank"), "end", "kind", "live")
     whole = counted.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(span)).alias("spans"))
