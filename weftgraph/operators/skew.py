@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1000
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, how: str = "left") -> DataFrame:
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, how: str = "left", least: int = 0) -> DataFrame:
     """``rows`` with the columns of ``facts`` (one row per ``key``; ``count`` says how many rows have that key).
 
     Keys with more than 1/HOT_KEYS of all counted rows number HOT_KEYS at most, so their facts are broadcast; every
-    other key is small enough for a shuffled join. Null keys match nothing; ``how`` is left or inner.
-    Both inputs are read twice and should be narrow or stashed.
+    other key is small enough for a shuffled join. A key of ``least`` rows or fewer is never hot: one task takes so many
+    narrow rows, and groups of one size are then treated alike in tables of any size. Null keys match nothing; ``how``
+    is left or inner. Both inputs are read twice and should be narrow or stashed.
     """
     total = facts.agg(F.sum(count)).first()[0] or 0
-    is_hot = F.col(count) * F.lit(HOT_KEYS) > F.lit(total)
+    is_hot = (F.col(count) * F.lit(HOT_KEYS) > F.lit(total)) & (F.col(count) > F.lit(least))
     hot = F.broadcast(facts.where(is_hot).where(F.col(key).isNotNull()))
     cold = facts.where(~is_hot)
     some = rows.where(F.col(key).isNotNull())
