@@ -9,11 +9,11 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from weftgraph.llm import packing
-from weftgraph.llm.tokens import ChunkTokenizer
+from weftgraph.llm.tokens import TextTokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 PLAIN = Tokenizer.from_file(PATH)
-CHUNKED = ChunkTokenizer(PATH)
+FAST = TextTokenizer(PATH)
 
 
 def ids(text):
@@ -21,20 +21,24 @@ def ids(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="aAbBÉéßÿΣσİ'.,!?0 9²\n\t\x1c̱ †<|>endoftx", max_size=80))
-def test_chunks_give_the_tokenizers_ids(text):
-    assert CHUNKED.encode([text])[0] == ids(text).tobytes()
+@given(st.text(alphabet="aAbBÉéßÿ×÷ΣσİrRvVeElLsStTmMdD'.,!?0 9²\n\t\x1c\x01\x02\x03\x85\xa0̱ †日<|>endoftx", max_size=80))
+def test_marked_texts_give_the_tokenizers_ids(text):
+    assert np.array_equal(FAST.encode([text])[0], ids(text))
 
 
-def test_special_tokens_and_full_cache(monkeypatch):
-    from weftgraph.llm import tokens
+def test_many_texts_at_once():
+    rng = random.Random(7)
+    signs = "ab'stmdrevl', .1é×"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    texts += ["a<|endoftext|>b", "<|STARTOFTEXT|>", "don't IT'S we'LL, 'tis ''s 's's", "", " ", "'", "x" * 5000, "é" * 3000 + " a", "日本 " * 50, "a\x01b \x02 \x03"]
+    rng.shuffle(texts)
+    assert FAST.table.sound and all(np.array_equal(a, ids(t)) for a, t in zip(FAST.encode(texts), texts))
 
-    monkeypatch.setattr(tokens, "MOST_CHUNKS", 50)
-    fresh = ChunkTokenizer(PATH)
-    texts = ["a<|endoftext|>b", "<|STARTOFTEXT|>", "don't IT'S we'LL, ok.", "the cat, the dog."] + [f"word{i} Thing{i}, other{i}!" for i in range(200)]
-    for _ in range(2):
-        assert fresh.encode(texts) == [ids(t).tobytes() for t in texts]
-    assert fresh.words.sound
+
+def test_a_file_without_a_sound_table_is_read_by_the_general_encoder(monkeypatch):
+    fresh = TextTokenizer(PATH)
+    monkeypatch.setattr(fresh.table, "sound", False)
+    assert np.array_equal(fresh.encode(["some words"])[0], ids("some words"))
 
 
 def test_query_holds_every_token_once(spark, prose, monkeypatch):
@@ -59,6 +63,7 @@ def test_query_holds_every_token_once(spark, prose, monkeypatch):
         assert at <= 512
     bound = packing.lower_bound(np.array([w[3] for w in want]), 512)
     assert bound <= len(sequences) <= bound * 1.02 + 1
+    assert {(r["bins"], r["bound"]) for r in got} == {(len(sequences), bound)}
     assert packing.pack_documents(table.limit(0), PATH).count() == 0
 
 

@@ -6,45 +6,53 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.arrow import per_text, structs
 from weftgraph.llm.tokens import tokenizer
 from weftgraph.session import small_batches, stash
 
-#: Pieces in a partition, texts encoded at a time, rounds of exchange at most, and the part of a bin's capacity whose room
-#: opens the bin again.
-PART_PIECES, GROUP, MOST_ROUNDS, LOOSE = 30_000, 1000, 4, 32
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_PLACED = _PIECES + ", sequence_id long, offset long, part int, bins int, bound int, room long"
+#: Pieces in a partition, rounds of exchange at most, the part of a bin's capacity whose room opens the bin again, and the
+#: largest k of the second family of bounds.
+PART_PIECES, MOST_ROUNDS, LOOSE, MOST_K = 30_000, 8, 32, 32
+_PIECE = "piece int, start long, length long, ids_crc32 long"
+_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
 def _cut(path: str, capacity: int, end_id: int) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each text its pieces: an array of structs."""
+
+    def made() -> Callable:
         encoder = tokenizer(path)
-        last = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for i in range(0, len(batch), GROUP):
-                group = batch.iloc[i : i + GROUP]
-                texts = ["" if t is None else t for t in group["text"].tolist()]
-                out = []
-                for doc, ids in zip(group["doc_id"].astype("Int64"), encoder.encode(texts)):
-                    ids += last
-                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        out.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-                frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                frame["doc_id"] = frame["doc_id"].astype("Int64")
-                yield frame
+        last = np.array([end_id], "<u4")
 
-    return run
+        def convert(texts: list) -> pa.Array:
+            counts, piece, start, length, crc = [0], [], [], [], []
+            for ids in encoder.encode(["" if t is None else t for t in texts]):
+                whole = np.concatenate([ids, last])
+                for k, at in enumerate(range(0, len(whole), capacity)):
+                    part = whole[at : at + capacity]
+                    piece.append(k)
+                    start.append(at)
+                    length.append(len(part))
+                    crc.append(zlib.crc32(part))
+                counts.append(len(piece))
+            rows = structs(piece=pa.array(piece, pa.int32()), start=pa.array(start, pa.int64()), length=pa.array(length, pa.int64()), ids_crc32=pa.array(crc, pa.int64()))
+            return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), rows)
+
+        return convert
+
+    return made
 
 
 def cut_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): a document's ids and ``end_id``, cut only where they pass ``capacity``."""
     small_batches(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_cut(tokenizer_path, capacity, end_id), _PIECES)
+    pieces = per_text(f"array<struct<{_PIECE.replace(' ', ':').replace(',:', ',')}>>", _cut(tokenizer_path, capacity, end_id))
+    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), pieces(F.col("text").cast("string")).alias("p"))
+    return found.select("doc_id", F.explode("p").alias("p")).select("doc_id", "p.*")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -76,7 +84,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, room
 
 
-def lower_bound(lengths: np.ndarray, capacity: int, most_k: int = 32) -> int:
+def lower_bound(lengths: np.ndarray, capacity: int, most_k: int = MOST_K) -> int:
     """No packing has fewer bins: the best of two families of dual feasible functions.
 
     f_k, k up to half the capacity, counts pieces over capacity - k as whole bins and drops those under k; u_k rounds
@@ -86,7 +94,7 @@ def lower_bound(lengths: np.ndarray, capacity: int, most_k: int = 32) -> int:
     return lower_bound_of(dict(zip(sizes.tolist(), counts.tolist())), capacity, most_k)
 
 
-def lower_bound_of(histogram: dict[int, int], capacity: int, most_k: int = 32) -> int:
+def lower_bound_of(histogram: dict[int, int], capacity: int, most_k: int = MOST_K) -> int:
     """lower_bound of the lengths that the histogram counts."""
     if not histogram:
         return 0
@@ -106,28 +114,33 @@ def lower_bound_of(histogram: dict[int, int], capacity: int, most_k: int = 32) -
     return best
 
 
+_PACKED = "sequence_id long, offset long, part int, bins int, bound int, room long"
+
+
 def _pack(capacity: int, turn: int) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        rows = pd.concat(parts, ignore_index=True)
-        rows["doc_id"] = rows["doc_id"].astype("Int64")
-        rows = rows.sort_values(["length", "ids_crc32", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        lengths = rows["length"].to_numpy("int64")
+        rows = pa.Table.from_batches(parts)
+        rows = rows.sort_by([("length", "descending"), ("ids_crc32", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        lengths = rows["length"].to_numpy()
         own, offsets, room = best_fit(lengths, capacity)
-        part = int(rows["part"].iloc[0])
-        rows["sequence_id"] = (turn << 56) + (part << 32) + own
-        rows["offset"], rows["bins"], rows["bound"], rows["room"] = offsets, len(room), lower_bound(lengths, capacity), np.asarray(room, "int64")[own]
-        yield rows[[c.split()[0] for c in _PLACED.split(", ")]]
+        part, n = rows["part"][0].as_py(), len(lengths)
+        added = {"sequence_id": (turn << 56) + (part << 32) + own, "offset": offsets, "part": np.full(n, part, "int32"), "bins": np.full(n, len(room), "int32"),
+                 "bound": np.full(n, lower_bound(lengths, capacity), "int32"), "room": np.asarray(room, "int64")[own]}
+        out = rows.select(_COLUMNS)
+        for name, values in added.items():
+            out = out.append_column(name, pa.array(values))
+        yield from out.combine_chunks().to_batches(max_chunksize=10_000)
 
     return run
 
 
 def _packed(pieces: DataFrame, n: int, capacity: int, turn: int) -> DataFrame:
     parts = max(1, -(-n // PART_PIECES))
-    dealt = pieces.repartition(parts).withColumn("part", F.spark_partition_id())
-    return stash(dealt.mapInPandas(_pack(capacity, turn), _PLACED))
+    dealt = pieces.select(*_COLUMNS).repartition(parts).withColumn("part", F.spark_partition_id())
+    return stash(dealt.mapInArrow(_pack(capacity, turn), f"doc_id long, {_PIECE}, {_PACKED}"))
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, rounds: int = MOST_ROUNDS) -> DataFrame:
@@ -139,14 +152,18 @@ def pack(pieces: DataFrame, capacity: int = 2048, rounds: int = MOST_ROUNDS) ->
     pieces of bins that are not full, and every partition those of bins with a LOOSE-th of room or more, which its own
     bound can't tell from need. These pieces are dealt anew, among as many fewer partitions as they fill, and packed
     again. A round that saves no bin is dropped and ends them; each reads and writes only what the last left open.
+
+    Every row also has ``bins``, the number of all sequences, and ``bound``, under which no packing gets: where they are
+    equal the packing is certified to be the best, else their difference is what it may be short of that.
     """
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    columns = [*_COLUMNS, "sequence_id", "offset"]
     histogram = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
     n = sum(r["n"] for r in histogram)
     least = lower_bound_of({r["length"]: r["n"] for r in histogram}, capacity)
     done: list[DataFrame] = []
     now = _packed(pieces, n, capacity, 0)
-    total = now.agg(F.countDistinct("sequence_id")).first()[0]
+    count = lambda rows: rows.groupBy("part").agg(F.max("bins").alias("b")).agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
+    total = count(now)
     loose = F.expr(f"room > 0 and (bins > bound or room * {LOOSE} >= {capacity})")
     for turn in range(1, rounds + 1):
         if total <= least:
@@ -155,8 +172,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, rounds: int = MOST_ROUNDS) ->
         n, used = open_.agg(F.count(F.lit(1)), F.countDistinct("sequence_id")).first()
         if not n:
             break
-        again = _packed(open_.select(*columns[:5]), n, capacity, turn)
-        saved = used - again.agg(F.countDistinct("sequence_id")).first()[0]
+        again = _packed(open_, n, capacity, turn)
+        saved = used - count(again)
         if saved <= 0:
             break
         done.append(now.where(~loose).select(*columns))
@@ -164,11 +181,12 @@ def pack(pieces: DataFrame, capacity: int = 2048, rounds: int = MOST_ROUNDS) ->
     out = now.select(*columns)
     for part in done:
         out = out.unionByName(part)
-    return out
+    return out.withColumns({"bins": F.lit(total).cast("long"), "bound": F.lit(least).cast("long")})
 
 
 def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, rounds: int = MOST_ROUNDS) -> DataFrame:
-    """Every document's pieces with their sequence: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """Every document's pieces with their sequence: doc_id, piece, start, length, ids_crc32, sequence_id, offset,
+    bins and bound of the whole packing.
 
     Null and empty texts are the end id alone. Repeated rows are packed as often as they come; a null doc_id is kept.
     No rows give no rows. Columns but doc_id and text are ignored. offset counts tokens from the sequence's start.
