@@ -57,7 +57,29 @@ def test_odd_rows(odd):
     assert sorted(und, key=str) == [1, 2, 3, None]
     assert {r["lang_pred"] for r in got if r["doc_id"] == 99} == {"en"}
     kept = langid.keep_identified(odd)
-    assert kept.columns == odd.columns and kept.count() == odd.count() - 4
+    assert kept.columns == odd.columns and kept.count() == odd.count() - 6  # x is in no learned text
+
+
+def test_rejects_by_language(odd, spark):
+    """What was never learned goes, and what is predicted decides."""
+    strange = spark.createDataFrame([(200, "日本語の文章です。これは長い文です", "ja", 0.5), (201, "Это русский текст", None, 0.5), (202, "ñandú leía leía ñandú", None, 0.5)], odd.schema)
+    docs = odd.unionByName(strange).where("lang is null or lang <> 'ja'").unionByName(strange.where("doc_id = 200").selectExpr("doc_id", "text", "cast(null as string) lang", "score"))
+    ids = lambda rows: {r["doc_id"] for r in rows.collect()}
+    kept = ids(langid.keep_identified(docs))
+    assert 202 in kept and not kept & {200, 201}
+    predicted = {r["doc_id"] for r in langid.identify(docs).where("lang_pred = 'es'").collect()}
+    assert ids(langid.keep_identified(docs, ["es"])) == predicted & kept and {202, 10} <= predicted and 11 not in predicted
+    assert ids(langid.keep_identified(docs, least=0.0)) >= {200, 201, 202}
+    unlabelled = odd.selectExpr("doc_id", "text", "cast(null as string) lang", "score")
+    assert langid.keep_identified(unlabelled).count() == odd.count() - 4
+
+
+def test_many_languages_are_bounded(spark, prose, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    monkeypatch.setattr(langid, "MOST_LANDMARKS", 30)
+    docs = spark.createDataFrame([(i, prose(30, i), f"l{i % 9}") for i in range(200)] + [(300 + i, prose(30, i), "l0") for i in range(20)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert len(model.languages) == 3 and "l0" in model.languages
 
 
 def test_nothing_to_learn_and_empty(odd):

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.arrow import AT_ONCE, per_text, structs
 from weftgraph.session import small_batches
 
-#: n-grams of 1 to SPECTRUM characters. Training texts and landmarks for each language, the longest training text in
-#: characters, and the ridge: these bound the sample that the driver fits on.
-SPECTRUM, PER_LANGUAGE, LANDMARKS, MOST_CHARS, RIDGE = 3, 300, 60, 20_000, 1e-3
+#: n-grams of 1 to SPECTRUM characters, and the ridge.
+SPECTRUM, RIDGE = 3, 1e-3
+#: What bounds the sample that the driver fits on: training texts and landmarks for each language and in all, the shortest
+#: and longest training text in characters, and languages (those with the most such texts).
+PER_LANGUAGE, LANDMARKS, MOST_TEXTS, MOST_LANDMARKS, LEAST_CHARS, MOST_CHARS, MOST_LANGUAGES = 300, 60, 12_000, 1200, 20, 20_000, 200
+#: A text is in no learned language if landmarks have less of its n-grams than this part of what they have of any training text.
+SLACK = 0.5
 _BITS = 21  # of a code point
 
 
@@ -40,58 +45,74 @@ class KernelModel:
     """languages, and for each n the landmarks' n-grams with what each adds to every language's score.
 
     The kernel is the mean over n of |G_n(x) & G_n(z)| / sqrt(|G_n(x)| |G_n(z)|). With presence rows P, the landmarks'
-    scaled presence B and the ridge weights W, scores are (P B) W = P (B W); B W is held, so a batch costs one sparse
-    matrix product and no landmark is looked at again.
+    scaled presence B and the ridge weights W, scores are (P B) W = P (B W); B W is held, so a batch of texts costs one
+    product of its sparse P with the dense B W, and no landmark is looked at again. ``least`` is the share of a text's
+    n-grams that landmarks must have for any language to be told.
     """
 
     languages: list[str]
     grams: list[np.ndarray]
     weights: list[np.ndarray]
+    least: float = field(default=0.0)
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.languages)))
+        return self.judge(texts)[0]
+
+    def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Every language's score for each text, and the share of its n-grams that any landmark has."""
+        out, known, of = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts)), np.zeros(len(texts))
         sets = [spectrum(t) for t in texts]
         for n, (grams, weights) in enumerate(zip(self.grams, self.weights)):
-            own = [s[n] for s in sets]
-            sizes = np.array([len(s) for s in own])
+            sizes = np.array([len(s[n]) for s in sets])
+            of += sizes
             if not sizes.sum() or not len(grams):
                 continue
-            every = np.concatenate(own)
-            row = np.repeat(np.arange(len(own)), sizes)
+            every = np.concatenate([s[n] for s in sets])
             at = np.minimum(np.searchsorted(grams, every), len(grams) - 1)
             hit = grams[at] == every
-            at, row = at[hit], row[hit]
-            scale = 1 / (SPECTRUM * np.sqrt(np.maximum(sizes, 1)))
-            for k in range(out.shape[1]):
-                out[:, k] += np.bincount(row, weights[at, k], minlength=len(own)) * scale
-        return out
+            ends = np.cumsum(hit)[np.cumsum(sizes)[sizes > 0] - 1]  # of each row's hits
+            starts = np.r_[0, ends[:-1]]
+            known[sizes > 0] += ends - starts
+            some = np.flatnonzero(sizes)[ends > starts]
+            if len(some):
+                scale = 1 / (SPECTRUM * np.sqrt(sizes[some]))
+                out[some] += np.add.reduceat(weights[at[hit]], starts[ends > starts], axis=0) * scale[:, None]
+        return out, known / np.maximum(of, 1)
 
 
 def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
-    """``landmarks`` texts of each language, spread evenly over those given, carry the Nystroem approximation."""
+    """``landmarks`` texts of each language, spread evenly over those given, carry the Nystroem approximation.
+
+    Landmarks are held as sorted (n-gram, landmark, value) triples: the fit's memory follows their n-grams, not the
+    product of n-grams and landmarks."""
     languages = sorted(set(labels))
     sets = [spectrum(t) for t in texts]
     marks: list[int] = []
     for language in languages:
         own = [i for i, x in enumerate(labels) if x == language]
         marks += own[:: max(1, len(own) // landmarks)][:landmarks]
-    grams, bases, kernel = [], [], np.zeros((len(texts), len(marks)))
+    triples, kernel = [], np.zeros((len(texts), len(marks)))
     for n in range(SPECTRUM):
-        every = np.unique(np.concatenate([sets[i][n] for i in marks])) if marks else np.empty(0, "int64")
-        base = np.zeros((len(every), len(marks)))
-        for k, i in enumerate(marks):
-            base[np.searchsorted(every, sets[i][n]), k] = 1 / np.sqrt(max(1, len(sets[i][n])))
+        sizes = np.array([len(sets[i][n]) for i in marks], "int64")
+        gram = np.concatenate([sets[i][n] for i in marks] or [np.empty(0, "int64")])
+        order = np.argsort(gram, kind="stable")
+        mark = np.repeat(np.arange(len(marks)), sizes)[order]
+        value = np.repeat(1 / np.sqrt(np.maximum(1, sizes)), sizes)[order]
+        every, first = np.unique(gram[order], return_index=True)
+        number = np.diff(np.r_[first, len(gram)])
         for i, s in enumerate(sets):
             at = np.minimum(np.searchsorted(every, s[n]), max(0, len(every) - 1))
             at = at[every[at] == s[n]] if len(every) else at[:0]
-            kernel[i] += base[at].sum(axis=0) / (SPECTRUM * np.sqrt(max(1, len(s[n]))))
-        grams.append(every)
-        bases.append(base)
+            many = number[at]
+            each = np.repeat(first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            kernel[i] += np.bincount(mark[each], value[each], len(marks)) / (SPECTRUM * np.sqrt(max(1, len(s[n]))))
+        triples.append((every, first, mark, value))
     target = np.where(np.array(labels)[:, None] == np.array(languages)[None], 1.0, -1.0) if texts else np.zeros((0, 0))
     among = kernel[marks]
     normal = kernel.T @ kernel + ridge * len(texts) * (among + among.T) / 2 + 1e-9 * np.eye(len(marks))
     solved = np.linalg.lstsq(normal, kernel.T @ target, rcond=None)[0]
-    return KernelModel(languages, grams, [b @ solved for b in bases])
+    weights = [np.stack([np.add.reduceat(v * solved[m, k], f) if len(f) else np.zeros(0) for k in range(len(languages))], axis=1) if languages else np.zeros((0, 0)) for _, f, m, v in triples]
+    return KernelModel(languages, [t[0] for t in triples], weights)
 
 
 def remainder(id_column: str, by: int) -> Column:
@@ -101,11 +122,16 @@ def remainder(id_column: str, by: int) -> Column:
 
 def train(documents: DataFrame, per_language: int = PER_LANGUAGE, most_chars: int = MOST_CHARS) -> KernelModel:
     """Fits on at most ``per_language`` texts of each language, those with the smallest hashes among rows whose
-    remainder by 5 is not 0 and whose text has 20 to ``most_chars`` characters."""
-    rows = documents.where((remainder("doc_id", 5) != 0) & F.col("lang").isNotNull() & F.length("text").between(20, most_chars))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row for each language
+    remainder by 5 is not 0 and whose text has LEAST_CHARS to ``most_chars`` characters.
+
+    With many languages each has fewer texts, MOST_TEXTS in all; of more than MOST_LANGUAGES those with the most rows
+    are learned, so what the driver holds is bounded whatever ``lang`` holds. ``least`` is SLACK times the smallest share
+    of known n-grams that one of these texts has."""
+    rows = documents.where((remainder("doc_id", 5) != 0) & F.col("lang").isNotNull() & F.length("text").between(LEAST_CHARS, most_chars))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return KernelModel([], [np.empty(0, "int64")] * SPECTRUM, [np.zeros((0, 0))] * SPECTRUM)
+    per_language = min(per_language, MOST_TEXTS // len(counts))
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(2**30)) / F.lit(float(2**30))
     share = F.lit(0.0)
     for language, n in counts.items():
@@ -117,32 +143,27 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE, most_chars: in
         if seen.setdefault(r["lang"], 0) < per_language:
             seen[r["lang"]] += 1
             kept.append(r)
-    return fit([r["text"] for r in kept], [r["lang"] for r in kept])
+    texts = [r["text"] for r in kept]
+    model = fit(texts, [r["lang"] for r in kept], max(1, min(LANDMARKS, MOST_LANDMARKS // len(counts))))
+    shares = np.concatenate([model.judge(texts[i : i + AT_ONCE])[1] for i in range(0, len(texts), AT_ONCE)]) if texts else np.zeros(1)
+    model.least = SLACK * float(shares.min())
+    return model
 
 
 def _has_letter(text: str | None) -> bool:
     return text is not None and any(c.isalpha() for c in text)
 
 
-def _predict(model: KernelModel) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.iloc[i : i + 256].copy()
-                texts = part["text"].tolist()
-                letters = np.array([_has_letter(t) for t in texts], bool)
-                pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-                at = np.flatnonzero(letters)
-                if model.languages and len(at):
-                    f = model.scores([texts[k] for k in at])
-                    best = f.argmax(axis=1)
-                    pred[at] = np.array(model.languages, object)[best]
-                    score[at] = np.clip((f[np.arange(len(at)), best] + 1) / 2, 0, 1)
-                out = part[["doc_id", "held_out"]].astype({"doc_id": "Int64"})
-                out["lang_pred"], out["score"] = pred, score
-                yield out
-
-    return run
+def _judged(model: KernelModel, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the best language (``und`` without a letter or a model), its score from 0 to 1, and the known share."""
+    pred, score, known = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts))
+    at = np.array([k for k, t in enumerate(texts) if _has_letter(t)], "int64")
+    if model.languages and len(at):
+        f, share = model.judge([texts[k] for k in at])
+        best = f.argmax(axis=1)
+        pred[at], known[at] = np.array(model.languages, object)[best], share
+        score[at] = np.clip((f[np.arange(len(at)), best] + 1) / 2, 0, 1)
+    return pred, score, known
 
 
 def identify(documents: DataFrame, model: KernelModel | None = None) -> DataFrame:
@@ -150,32 +171,43 @@ def identify(documents: DataFrame, model: KernelModel | None = None) -> DataFram
 
     The score is the regression value of the best language, brought from -1..1 to 0..1. A null text, or one with no
     letter, is ``und`` with score 0, as is everything when there is nothing to learn from. Null and repeated ids are
-    kept; equal texts have equal predictions; other columns are ignored.
+    kept; equal texts have equal predictions; other columns are ignored. Only texts go to Python.
     """
     small_batches(documents.sparkSession)
     model = train(documents) if model is None else model
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", 5) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
+    def made() -> Callable:
+        def convert(texts: list) -> pa.Array:
+            pred, score, _ = _judged(model, texts)
+            return structs(lang_pred=pa.array(pred, pa.string()), score=pa.array(score, pa.float64()))
+
+        return convert
 
-def _accept(model: KernelModel, languages: frozenset[str] | None, least: float, columns: list[str]) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.iloc[i : i + 256]
-                found = pd.concat(_predict(model)([part.assign(doc_id=0, held_out=False)]))
-                keep = (found["lang_pred"] != "und") & (found["score"] >= least)
-                if languages is not None:
-                    keep &= found["lang_pred"].isin(languages)
-                yield part.loc[keep.to_numpy(), columns]
+    found = per_text("struct<lang_pred:string,score:double>", made)(F.col("text").cast("string")).alias("p")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", 5) == 0).alias("held_out"), found).select("doc_id", "held_out", "p.lang_pred", "p.score")
 
-    return run
 
+def keep_identified(documents: DataFrame, languages: list[str] | None = None, least: float | None = None) -> DataFrame:
+    """``documents`` in a learned language, with all their columns, of which only the text goes to Python.
 
-def keep_identified(documents: DataFrame, languages: list[str] | None = None, least: float = 0.0) -> DataFrame:
-    """``documents`` without those in no known language: ``und``, not among ``languages`` (None: any that was learned),
-    or with a score under ``least``."""
+    Dropped are texts without a letter, those predicted to be in none of ``languages`` (None: any that was learned), and
+    those of whose n-grams landmarks have a smaller share than ``least`` (None: the model's own bound), such as texts in
+    a script that was never learned. Where no label is known, nothing can be told and every text with a letter stays.
+    """
     small_batches(documents.sparkSession)
     model = train(documents)
-    chosen = None if languages is None else frozenset(languages)
-    return documents.mapInPandas(_accept(model, chosen, least, documents.columns), documents.schema)
+    bound = model.least if least is None else least
+
+    def made() -> Callable:
+        def convert(texts: list) -> pa.Array:
+            if not model.languages:
+                return pa.array([_has_letter(t) for t in texts], pa.bool_())
+            pred, _, known = _judged(model, texts)
+            keep = (pred != "und") & (known >= bound)
+            if languages is not None:
+                keep &= np.isin(pred, languages)
+            return pa.array(keep.astype(bool), pa.bool_())
+
+        return convert
+
+    return documents.where(per_text("boolean", made)(F.col("text").cast("string")))
