@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.arrow import per_text, structs
 from weftgraph.session import small_batches
 
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -129,43 +130,42 @@ def _resize(a: np.ndarray, axis: int) -> np.ndarray:
     return sums / (counts[:, None] if axis == 0 else counts[None, :])
 
 
-_STORED = "doc_id long, n_bytes long, png binary"
+def _store() -> Callable:
+    def convert(texts: list) -> pa.Array:
+        raw = [b"" if t is None else t.encode() for t in texts]
+        images = [encode_png(np.frombuffer(b.ljust(max(WIDTH, -(-len(b) // WIDTH) * WIDTH), b"\0"), "uint8").reshape(-1, WIDTH)) for b in raw]
+        return structs(n_bytes=pa.array(map(len, raw), pa.int64()), png=pa.array(images, pa.binary()))
 
+    return convert
 
-def _store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for i in range(0, len(batch), 256):
-            part = batch.iloc[i : i + 256]
-            raw = [b"" if t is None else t.encode() for t in part["text"].tolist()]
-            images = [encode_png(np.frombuffer(b.ljust(max(WIDTH, -(-len(b) // WIDTH) * WIDTH), b"\0"), "uint8").reshape(-1, WIDTH)) for b in raw]
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "n_bytes": [len(b) for b in raw], "png": images})
 
+_FEATURES = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "cosine_hash": pa.binary()}
 
-_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, cosine_hash binary"
 
-
-def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for data in batch["png"]:
+def _describe() -> Callable:
+    def convert(images: list) -> pa.Array:
+        rows = []
+        for data in images:
             samples = decode_png(data)
             payload = samples.tobytes()
-            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), cosine_hash(samples)))
-        frame = pd.DataFrame(out, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "cosine_hash"])
-        frame.insert(0, "n_bytes", batch["n_bytes"].array)
-        frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
-        yield frame
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), cosine_hash(samples)))
+        return structs(**{name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(_FEATURES.items())})
+
+    return convert
 
 
 def to_images(documents: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, png): each text's UTF-8 bytes, with zeros up to a positive multiple of WIDTH, as a PNG of that width."""
     small_batches(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_store, _STORED)
+    image = per_text("struct<n_bytes:bigint,png:binary>", _store)(F.col("text").cast("string"))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), image.alias("i")).select("doc_id", "i.n_bytes", "i.png")
 
 
 def describe_images(images: DataFrame) -> DataFrame:
     """Reads the PNGs back, with every checksum tested, and describes what they hold. Any broken image raises."""
-    return images.select("doc_id", "n_bytes", "png").mapInPandas(_describe, _FEATURES)
+    kinds = {pa.int64(): "bigint", pa.string(): "string", pa.binary(): "binary"}
+    found = per_text(f"struct<{','.join(f'{n}:{kinds[k]}' for n, k in _FEATURES.items())}>", _describe)(F.col("png"))
+    return images.select("doc_id", "n_bytes", found.alias("f")).select("doc_id", "n_bytes", "f.*")
 
 
 def media_query(documents: DataFrame) -> DataFrame:
