@@ -9,10 +9,12 @@ import re
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.operators.bitmaps import split
+from weftgraph.operators.prefix import starts_of
 from weftgraph.operators.skew import join_facts
 from weftgraph.session import shared_dir, stash
 
@@ -45,16 +47,20 @@ def _payload() -> list:
     return [F.sha2(html.cast("binary"), 256).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes")]
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """One WARC/1.1 record for each row of ``pages(page_id, url, html)``, gzipped, under ``path``.
+def write_archives(pages: DataFrame, path: str, compression: str = "none") -> None:
+    """One WARC/1.1 record for each row of ``pages(page_id, url, html)`` under ``path``.
 
     The text sink writes records as they are, and the blank lines that end a WARC record are its line separator; so
-    archives go to any file system that Spark writes to. Payload bytes leave the JVM once and are never shuffled
-    unless the list of revisits is too large to broadcast.
+    archives go to any file system that Spark writes to. Without compression an index's offset is where a record begins
+    in its file, so one record can be fetched alone; with ``gzip`` a file is one member and offsets are of its content.
+    Payloads leave the JVM once. A bitmap of the revisits' ids tells which pages have to meet the list of revisits; only
+    these are shuffled, no others.
     """
-    revisits = find_revisits(pages).withColumnRenamed("page_id", "_id").withColumnRenamed("payload_digest", "_digest")
+    revisits = stash(find_revisits(pages).withColumnRenamed("page_id", "_id").withColumnRenamed("payload_digest", "_digest"))
     rows = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), *_payload())
-    rows = rows.join(revisits, (F.col("page_id") == F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
+    those, others = split(rows, F.col("page_id"), revisits.select("_id"))
+    those = those.join(revisits, (F.col("page_id") == F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
+    rows = those.select(*rows.columns, "refers_to").unionByName(others.withColumn("refers_to", F.lit(None).cast(revisits.schema["refers_to"].dataType)))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     again = F.col("refers_to").isNotNull()
     body = F.when(again, F.lit("")).otherwise(F.col("html"))
@@ -71,7 +77,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     size = F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit("")))
     mean, most = pages.agg(F.coalesce(F.avg(size), F.lit(0.0)), F.coalesce(F.max(size), F.lit(0))).first()
     records = max(1, min(int(ARCHIVE_BYTES / (mean + 600)), MOST_BYTES // (most + 600)))
-    rows.select(record.alias("value")).write.option("lineSep", _CRLF * 2).option("compression", "gzip").option(
+    rows.select(record.alias("value")).write.option("lineSep", _CRLF * 2).option("compression", compression).option(
         "maxRecordsPerFile", records).text(path)
 
 
@@ -104,17 +110,23 @@ def read_records(stream: io.BufferedIOBase) -> Iterator[tuple[int, dict[str, str
         yield at, headers, http, body
 
 
-_RUN_SCHEMA = "run string, url_key string, stamp string, page_id long, offset long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_RUN = pa.schema([("run", pa.string()), ("url_key", pa.string()), ("stamp", pa.string()), ("page_id", pa.int64()), ("offset", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+_RUN_DDL = "run string, url_key string, stamp string, page_id long, offset long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def _index_archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def _index_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each archive's captures as a run sorted by URL key, time and id; every stored payload's digest is checked."""
-    names = [x.split()[0] for x in _RUN_SCHEMA.split(", ")]
     number = lambda x: int(x) if x else None
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
+        for path, content in zip(batch["path"].to_pylist(), batch["content"]):
             run = []
-            for at, head, http, body in read_records(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)))):
+            raw = pa.BufferReader(content.as_buffer())
+            packed = content.as_buffer()[:2].to_pybytes() == b"\x1f\x8b"
+            for at, head, http, body in read_records(io.BufferedReader(gzip.GzipFile(fileobj=raw) if packed else raw)):
                 digest = head["warc-payload-digest"].removeprefix("sha256:")
                 size = int(http["content-length"])
                 if head["warc-type"] == "response" and (len(body) != size or hashlib.sha256(body).hexdigest() != digest):
@@ -122,7 +134,7 @@ def _index_archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 bare = lambda k: head.get(k, "").strip("<>").removeprefix(_ID)  # noqa: B023, E731
                 run.append((path, url_key(head["warc-target-uri"]), head["warc-date"], number(bare("warc-record-id")), at, size, digest, head["warc-type"], number(bare("warc-refers-to"))))
             run.sort(key=_order)
-            yield pd.DataFrame(run, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield _batch(run, _RUN)
 
 
 def _order(row: tuple) -> tuple:
@@ -166,21 +178,23 @@ class LoserTree:
             self._play(top)
 
 
-def _merge_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_PLACED = pa.schema([*_RUN, ("part", pa.int32()), ("place", pa.int64())])
+
+
+def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One range of keys: its rows come run by run, each run sorted; they leave in global order."""
     runs: dict[str, list[tuple]] = {}
-    columns, part = None, None
+    part = None
     for batch in batches:
-        if len(batch):
-            columns, part = [c for c in batch.columns if c != "part"], int(batch["part"].iloc[0])
-            for row in batch[columns].astype(object).where(batch[columns].notna(), None).itertuples(index=False, name=None):
+        if batch.num_rows:
+            part = batch["part"][0].as_py()
+            for row in zip(*(batch[f.name].to_pylist() for f in _RUN)):
                 runs.setdefault(row[0], []).append(row)
-    if columns is None:
+    if part is None:
         return
     merged = list(LoserTree([iter(r) for r in runs.values()], _order))
-    out = pd.DataFrame(merged, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
-    out["part"], out["place"] = part, range(len(out))
-    yield out
+    for i in range(0, len(merged), 10_000):
+        yield _batch([(*row, part, i + k) for k, row in enumerate(merged[i : i + 10_000])], _PLACED)
 
 
 def merged_index(spark: SparkSession, path: str) -> DataFrame:
@@ -189,16 +203,16 @@ def merged_index(spark: SparkSession, path: str) -> DataFrame:
     Each archive gives a sorted run. Runs are cut at common splitters over key, time and id (so a URL with very many
     captures is split as well), each range gets its share of every run and merges these with a loser tree; a range
     holds about MERGE_ROWS rows. ``cdx_position`` counts from 0 over all captures: a range's start is the sum of the
-    sizes of those before it.
+    sizes of those before it, summed in two levels.
     """
-    found = stash(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_index_archives, _RUN_SCHEMA))
+    found = stash(spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_index_archives, _RUN_DDL))
     parts = max(1, -(-found.count() // MERGE_ROWS))
     order = ["url_key", "stamp", F.col("page_id").asc_nulls_first(), "record_type", "run", "offset"]
     ranged = found.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()).sortWithinPartitions("run", *order)
-    merged = stash(ranged.mapInPandas(_merge_runs, _RUN_SCHEMA + ", part int, place long"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = merged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    return merged.join(F.broadcast(starts), "part").withColumn("cdx_position", F.col("_start") + F.col("place")).drop("part", "place", "_start")
+    merged = stash(ranged.mapInArrow(_merge_runs, _RUN_DDL + ", part int, place long"))
+    starts = starts_of(merged.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "part", "n")
+    placed = merged.join(starts.withColumnRenamed("n", "_start"), "part")
+    return placed.withColumn("cdx_position", F.col("_start") + F.col("place")).drop("part", "place", "_start")
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
