@@ -20,16 +20,22 @@ def prefix_shards(rows: DataFrame, order: str, size: str, n_shards: int) -> Data
     of at most MOST_BUCKETS + 1 buckets) are broadcast, and each bucket adds its own running sums. No bucket is a
     function of the shard, and no task sees more than a bucket.
 
-    Ties of ``order`` are broken by all other columns; equal rows are interchangeable. A null ``order`` comes first; a null size counts as 0. No rows give no rows. Other columns pass through, except that
-    columns named ``shard``, ``slot`` or with the prefix ``_ps_`` are replaced.
+    Ties of ``order`` are broken by a hash of all other columns and then by where rows lie, so a third of all rows with
+    one ``order``, or none, is split among buckets like any others; rows that differ in nothing are interchangeable. A
+    null ``order`` comes first; a null size counts as 0. No rows give no rows. Other columns pass through (none may be a
+    map), except that columns named ``shard``, ``slot`` or with the prefix ``_ps_`` are replaced.
     """
     rows = rows.drop("shard", "slot")
     n_rows = rows.agg(F.count(F.lit(1))).first()[0]
     n_buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, n_rows // BUCKET_ROWS))
     # the stash freezes which range each row fell into, so that totals and rows agree whatever is run again
+    others = sorted(c for c in rows.columns if c != order)
+    placed_by = [F.col(order).asc_nulls_first(), "_ps_tie", "_ps_at"]
     weighed = stash(
         rows.withColumn("_ps_size", F.coalesce(F.col(size).cast("long"), F.lit(0)))
-        .repartitionByRange(n_buckets, F.col(order).asc_nulls_first())
+        .withColumn("_ps_tie", F.xxhash64(*others) if others else F.lit(0))
+        .withColumn("_ps_at", F.monotonically_increasing_id())
+        .repartitionByRange(n_buckets, *placed_by)
         .withColumn("_ps_bucket", F.spark_partition_id())
     )
     totals = weighed.groupBy("_ps_bucket").agg(F.sum("_ps_size").alias("_ps_bytes"), F.count(F.lit(1)).alias("_ps_rows"))
@@ -38,8 +44,7 @@ def prefix_shards(rows: DataFrame, order: str, size: str, n_shards: int) -> Data
         "_ps_bucket", F.coalesce(F.sum("_ps_bytes").over(before), F.lit(0)).alias("_ps_bytes0"),
         F.coalesce(F.sum("_ps_rows").over(before), F.lit(0)).alias("_ps_rows0"), "_ps_bytes"))
     total = starts.agg(F.sum("_ps_bytes")).first()[0] or 0
-    others = sorted(c for c in rows.columns if c != order)
-    own = Window.partitionBy("_ps_bucket").orderBy(order, *others).rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("_ps_bucket").orderBy(*placed_by).rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         weighed.withColumn("_ps_own_bytes", F.coalesce(F.sum("_ps_size").over(own), F.lit(0)))
         .withColumn("_ps_own_rows", F.count(F.lit(1)).over(own))
