@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from weftgraph.llm import mixing
-from weftgraph.llm.mixing import mix_rows, poisson_copies, replicate
+from weftgraph.llm.mixing import mix_rows, poisson_copies, poisson_sums, replicate
 
 
 def uniform(text):
@@ -57,7 +57,7 @@ def test_weights_total_and_high_rates(spark):
 
 def test_inversion(spark):
     made = spark.range(400).select((F.col("id") % 20 / 2.0).alias("rate"), ((F.col("id") + 0.5) / 400).alias("u"))
-    for r in made.select("rate", "u", poisson_copies(F.col("rate"), F.col("u")).alias("k")).collect():
+    for r in made.select("rate", "u", poisson_copies(poisson_sums(F.col("rate")), F.col("u")).alias("k")).collect():
         assert r["k"] == poisson(r["rate"], r["u"])
 
 

@@ -44,36 +44,56 @@ def _digits(text, digits: int = UNIFORM_BITS // 4):
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")
 
 
-def poisson_copies(rate, uniform):
-    """The smallest k with P(X <= k) > uniform, X Poisson with mean ``rate``; summed upwards term by term.
+#: Cumulative sums that are asked one by one before all the others are counted.
+_FIRST = 8
 
-    The sum stops where a uniform number of UNIFORM_BITS bits can't reach. Means over 500 would lose exp(-rate) to
-    rounding; they are kept exact by drawing only the part over a whole number of copies: see replicate().
+
+def poisson_sums(rate):
+    """Array of P(X <= k) for k from 0, X Poisson with mean ``rate``; summed upwards term by term.
+
+    It stops where a uniform number of UNIFORM_BITS bits can't reach. Means over 500 would lose exp(-rate) to rounding;
+    they are kept exact by drawing only the part over a whole number of copies: see replicate().
     """
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("cdf"), F.lit(0).alias("k"))
+    start = F.struct(F.exp(-rate).alias("term"), F.array(F.exp(-rate)).alias("sums"))
+
+    def step(acc, k):
+        term = acc["term"] * rate / k
+        return F.struct(term.alias("term"), F.concat(acc["sums"], F.array(F.element_at(acc["sums"], -1) + term)).alias("sums"))
 
-    def step(acc, i):
-        term = acc["term"] * rate / i
-        more = acc["cdf"] <= uniform
-        return F.struct(F.when(more, term).otherwise(acc["term"]).alias("term"), F.when(more, acc["cdf"] + term).otherwise(acc["cdf"]).alias("cdf"), F.when(more, i).otherwise(acc["k"]).alias("k"))
+    return F.aggregate(F.sequence(F.lit(1), last), start, step)["sums"]
 
-    return F.aggregate(F.sequence(F.lit(1), last), start, step)["k"]
+
+def poisson_copies(sums, uniform):
+    """The smallest k with sums[k] > uniform: how many sums are not over it. Most rows need only the first few."""
+    copies = F.size(F.filter(sums, lambda x: x <= uniform))
+    for k in reversed(range(_FIRST)):
+        copies = F.when(uniform < F.get(sums, F.lit(k)), F.lit(k)).otherwise(copies)
+    return copies
 
 
 def _mixed(documents: DataFrame, by: str, weights: dict[str, float] | None, alpha: float, total: int | None, seed: int, id_column: str, most_rate: float) -> DataFrame:
-    """_mx_doc (a document's columns in one, so that none can clash), _mx_copies, _mx_copy, _mx_order, _mx_rate."""
-    rates = stash(target_rates(documents, by, weights, alpha, total))
+    """_mx_doc (a document's columns in one, so that none can clash), _mx_copies, _mx_copy, _mx_order, _mx_rate.
+
+    What a source's documents draw from, the sums, is made once for each source."""
+    rates = target_rates(documents, by, weights, alpha, total)
+    sure = F.floor(F.greatest(F.col("_mx_rate") - F.lit(most_rate), F.lit(0.0)))
+    rates = rates.withColumn("_mx_sure", sure).withColumn("_mx_sums", poisson_sums(F.col("_mx_rate") - F.col("_mx_sure")))
     named = F.coalesce(F.col("_mx_id").cast("string"), F.lit(""))
     uniform = _digits(F.concat(F.lit(f"{seed}:u:"), named)) / F.lit(float(2**UNIFORM_BITS))
-    sure = F.floor(F.greatest(F.col("_mx_rate") - F.lit(most_rate), F.lit(0.0)))
     packed = documents.select(F.expr("struct(*)").alias("_mx_doc"), F.col(id_column).alias("_mx_id"), _key(by).alias("_mx_key"))
-    rated = join_facts(packed, rates, "_mx_key", "_mx_n", "inner").withColumn("_mx_sure", sure)
-    drawn = rated.withColumn("_mx_copies", F.col("_mx_sure").cast("int") + poisson_copies(F.col("_mx_rate") - F.col("_mx_sure"), uniform))
-    copies = drawn.where("_mx_copies > 0").withColumn("_mx_copy", F.explode(F.sequence(F.lit(0), F.col("_mx_copies") - 1)))
+    rated = join_facts(packed, stash(rates), "_mx_key", "_mx_n", "inner").withColumn("_mx_u", uniform)
+    drawn = rated.withColumn("_mx_copies", F.col("_mx_sure").cast("int") + poisson_copies(F.col("_mx_sums"), F.col("_mx_u"))).drop("_mx_sums")
+    copies = drawn.where("_mx_copies > 0").withColumn("_mx_copy", F.explode_outer(F.sequence(F.lit(0), F.col("_mx_copies") - 1)))
     keyed = copies.withColumn("_mx_order", _digits(F.concat(F.lit(f"{seed}:k:"), named, F.lit(":"), F.col("_mx_copy").cast("string"))))
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartitionByRange(parts, "_mx_order").sortWithinPartitions("_mx_order", "_mx_id", "_mx_copy")
+    return _dealt(keyed, "_mx_order").sortWithinPartitions("_mx_order", "_mx_id", "_mx_copy")
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Partition p of n gets keys from p / n of their range on. Keys are uniform, so even ranges need no sample, which
+    would make all of the rows twice."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionById(parts, F.floor(F.col(key) * F.lit(parts) / F.lit(float(2**UNIFORM_BITS))).cast("int"))
 
 
 def replicate(documents: DataFrame, by: str = "source", weights: dict[str, float] | None = None, alpha: float = 0.5, total: int | None = None, seed: int = 0, id_column: str = "doc_id", most_rate: float = 500.0) -> DataFrame:
@@ -107,9 +127,8 @@ def mix_query(documents: DataFrame) -> DataFrame:
     which are what the SQL gives, are read from there and put in the same order again.
     """
     mixed = stash(replicate(documents))
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shown = mixed.select("doc_id", "source", "n_copies", "copy", "mix_key", F.round("rate", 6).alias("rate"))
-    return shown.repartitionByRange(parts, "mix_key").sortWithinPartitions("mix_key", "doc_id", "copy")
+    return _dealt(shown, "mix_key").sortWithinPartitions("mix_key", "doc_id", "copy")
 
 
 MIX_SQL = """
