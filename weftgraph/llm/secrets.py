@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.bitmaps import split
 from weftgraph.operators.skew import join_facts
 from weftgraph.session import stash
 
@@ -16,8 +17,8 @@ BASE = (
 )
 #: Further candidates, which count only if they are owner-specific: long runs with all three sorts of characters.
 OPAQUE = ("opaque", r"[A-Za-z0-9_-]+", 0, 32)
-#: A candidate in texts of more owners than this is a copied example; the SQL alone also bounds how often it stands.
-MOST_OWNERS, MOST_DOCUMENTS = 3, 50
+#: A candidate in texts of more owners than this is a copied example.
+MOST_OWNERS = 3
 _FAST = {"hex": r"[0-9a-f]{24}", "access": r"AKIA[A-Z0-9]{16}", "opaque": r"[A-Za-z0-9_-]{32}", "assign": r"(?i)(password|passwd|secret|token|api_?key)"}
 
 
@@ -114,11 +115,13 @@ def secret_query(documents: DataFrame) -> DataFrame:
 def redact(documents: DataFrame, live_mark: str = "[secret]", example_mark: str = "[example secret]") -> DataFrame:
     """``documents`` with every span replaced: live ones by one mark, copied examples by the other.
 
-    Overlapping spans are one, live if any is. Texts without spans, and null texts, stay as they are; n_chars, where
-    there is such a column, follows the new text.
+    Overlapping spans are one, live if any is. Texts without spans, and null texts, stay as they are and where they are:
+    a bitmap of the texts with spans tells who needs the join. n_chars, where there is such a column, follows the new text.
     """
-    found = scan(documents).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans").dropDuplicates(["_id", "_hash"])
-    packed = documents.select(F.expr("struct(*)").alias("_doc"), "doc_id", "text", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("_own"))
+    own = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    found = stash(scan(documents).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans").dropDuplicates(["_id", "_hash"]))
+    those, clean = split(documents, own, found.select("_hash"))
+    packed = those.select(F.expr("struct(*)").alias("_doc"), "doc_id", "text", own.alias("_own"))
     joined = packed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     mark = lambda s: F.when(s["live"], F.lit(live_mark)).otherwise(F.lit(example_mark))
@@ -134,7 +137,7 @@ def redact(documents: DataFrame, live_mark: str = "[secret]", example_mark: str
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
         new["n_chars"] = F.when(F.col("spans").isNotNull(), F.char_length("_new").cast(kind)).otherwise(F.col("_doc").getField("n_chars"))
-    return joined.withColumn("_new", text).select(*[new.get(c, F.col("_doc").getField(c)).alias(c) for c in documents.columns])
+    return joined.withColumn("_new", text).select(*[new.get(c, F.col("_doc").getField(c)).alias(c) for c in documents.columns]).unionByName(clean)
 
 
 def _merged(found: Column) -> Column:
@@ -167,7 +170,7 @@ WITH d AS (SELECT doc_id, coalesce('+' || source, '-') AS source, coalesce(text,
 ), more AS (SELECT * FROM ({_sql_spans(*OPAQUE)}) o WHERE regexp_matches(secret, '[A-Z]') AND regexp_matches(secret, '[a-z]') AND regexp_matches(secret, '[0-9]')
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = o.doc_id AND b.start_ < o.end_ AND o.start_ < b.end_)
 ), every AS (SELECT * FROM base UNION ALL SELECT * FROM more
-), facts AS (SELECT secret, count(DISTINCT source) <= {MOST_OWNERS} AND count(*) <= {MOST_DOCUMENTS} AS live FROM every GROUP BY secret
+), facts AS (SELECT secret, count(DISTINCT source) <= {MOST_OWNERS} AS live FROM every GROUP BY secret
 ), rated AS (SELECT *, ['{"', '".join(_KINDS)}'][rank + 1] || ':' || CAST(start_ AS BIGINT) || ':' || CAST(end_ AS BIGINT) AS shown FROM every JOIN facts USING (secret) WHERE rank < {len(BASE)} OR live
 ), folded AS (
   SELECT doc_id, {", ".join(f"count(*) FILTER (rank = {k}) AS n_{b[0]}" for k, b in enumerate(BASE))},
