@@ -8,18 +8,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.arrow import per_text, structs
 from weftgraph.llm.shingles import overlap, permutations, shingle_set, signature
-from weftgraph.operators.bitmaps import thin
+from weftgraph.operators.bitmaps import split, thin
 from weftgraph.operators.components import connected_components
 from weftgraph.operators.skew import join_facts
 from weftgraph.session import small_batches, stash
 
 #: Hashes in a band and in a batch of the sequential test; documents in a block of a crowded bucket,
 #: and further leaders that a bucket over one block is compared with first.
-BAND, BATCH, BLOCK, LEADERS = 5, 25, 512, 3
+BAND, BATCH, BLOCK, LEADERS = 5, 25, 256, 3
+#: Rows of a bucket, or of a set, that one task can take: only larger ones are hot.
+TASK_ROWS = 100_000
 
 
 def bands_for(similarity: float, miss: float, band: int = BAND) -> int:
@@ -56,17 +60,17 @@ def survives(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]]) -> np.n
 
 
 def _sketch(words: int, hashes: int) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made() -> Callable:
         flips, factors = permutations(hashes)
-        for batch in batches:
-            for i in range(0, len(batch), 512):
-                part = batch.iloc[i : i + 512]
-                sets = [shingle_set(t, words) for t in part["text"]]
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].astype("Int64").array, "n_shingles": [len(s) for s in sets],
-                    "digest": [hashlib.md5(s).digest() for s in sets], "sig": [signature(s, flips, factors).tobytes() for s in sets]})
 
-    return run
+        def convert(texts: list) -> pa.Array:
+            sets = [shingle_set(t, words) for t in texts]
+            signatures = [signature(s, flips, factors).tobytes() for s in sets]
+            return structs(n_shingles=pa.array(map(len, sets), pa.int64()), digest=pa.array([hashlib.md5(s).digest() for s in sets], pa.binary()), sig=pa.array(signatures, pa.binary()))
+
+        return convert
+
+    return made
 
 
 def _bands(count: int) -> Callable:
@@ -179,14 +183,11 @@ def _linked_in_block(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def _sets(words: int) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i in range(0, len(batch), 512):
-                part = batch.iloc[i : i + 512]
-                sets = [shingle_set(t, words) for t in part["text"]]
-                yield pd.DataFrame({"id": part["doc_id"].array, "digest": [hashlib.md5(s).digest() for s in sets], "shingles": [s.tobytes() for s in sets]})
+    def convert(texts: list) -> pa.Array:
+        sets = [shingle_set(t, words) for t in texts]
+        return structs(digest=pa.array([hashlib.md5(s).digest() for s in sets], pa.binary()), shingles=pa.array([s.tobytes() for s in sets], pa.binary()))
 
-    return run
+    return lambda: convert
 
 
 def _verify(percent: int) -> Callable:
@@ -225,18 +226,19 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, mis
     hashes = bands * BAND
     steps = least_matches(similarity, miss, hashes)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = stash(docs.mapInPandas(_sketch(words, hashes), "doc_id long, n_shingles long, digest binary, sig binary"))
+    made = per_text("struct<n_shingles:bigint,digest:binary,sig:binary>", _sketch(words, hashes))(F.col("text"))
+    sketch = stash(docs.select("doc_id", made.alias("s")).select("doc_id", "s.*"))
     real = sketch.where("n_shingles > 0 and doc_id is not null")
-    facts = stash(real.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
-    sigs = join_facts(real.select("doc_id", "digest", "sig"), facts, "digest", "n", "inner").where("doc_id = id").select("id", "digest", "sig")
+    facts = stash(real.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig")))  # equal sets, equal signatures
+    sigs = facts.select("id", "digest", "sig")
     repeated = not real.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    sigs = stash(sigs.dropDuplicates(["digest"]) if repeated else sigs)  # else one row each already
     banded = stash(sigs.select("id", "sig").mapInPandas(_bands(bands), "key long, id long, band short"))
     crowded = stash(banded.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    buckets = stash(join_facts(stash(thin(banded, crowded.select("key"), "key")), crowded, "key", "n", "inner"))
+    buckets = stash(join_facts(stash(thin(banded, crowded.select("key"), "key")), crowded, "key", "n", "inner", TASK_ROWS))
     crowd = stash(buckets.select("id").distinct())
     core = stash(thin(sigs, crowd, "id").join(crowd, "id", "left_semi"))  # what may link with anything
-    again = thin(docs, crowd.select(F.col("id").alias("doc_id")), "doc_id").mapInPandas(_sets(words), "id long, digest binary, shingles binary")
+    whole = per_text("struct<digest:binary,shingles:binary>", _sets(words))(F.col("text"))
+    again = thin(docs, crowd.select(F.col("id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("id"), whole.alias("s")).select("id", "s.*")
     if repeated:
         again = again.join(core.select("id", "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id"])
     sets = stash(again.select("id", "shingles"))  # and a few that no pair asks for
@@ -259,7 +261,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, mis
         if crowds.isEmpty():
             break
         lead = crowds.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(turn))).alias("lead"), F.max("n").alias("n"))
-        led = join_facts(crowds.drop("n"), stash(lead), "key", "n", "inner").where("comp <> lead.comp")
+        led = join_facts(crowds.drop("n"), stash(lead), "key", "n", "inner", TASK_ROWS).where("comp <> lead.comp")
         links = links.unionByName(verified(led.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()))
         components = stash(connected_components(links))
         mixed = _mixed(mixed, components)
@@ -274,10 +276,10 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, mis
         whole = hopeful.join(thin(sets, hopeful.select("id").distinct(), "id"), "id").repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
         links = links.unionByName(stash(whole.mapInPandas(_grouped(_linked_in_block(percent)), "src long, dst long")))
         components = stash(connected_components(links))
-    found = facts.join(components.select(F.col("vertex").alias("id"), "component"), "id", "left")
+    found = facts.select("digest", "id", "n").join(components.select(F.col("vertex").alias("id"), "component"), "id", "left")
     found = stash(found.select("digest", F.coalesce("component", "id").alias("component_id"), "n"))
     rows = sketch.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
-    whole = join_facts(rows, found, "digest", "n")
+    whole = join_facts(rows, found, "digest", "n", "left", TASK_ROWS)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return whole.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
@@ -287,13 +289,17 @@ def _mixed(buckets: DataFrame, components: DataFrame) -> DataFrame:
     labelled = buckets.select("key", "band", "id").join(components.select(F.col("vertex").alias("id"), "component"), "id", "left")
     labelled = stash(labelled.select("key", "band", "id", F.coalesce("component", "id").alias("comp")))
     open_ = labelled.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("n")).where("_lo < _hi")
-    return stash(join_facts(labelled, stash(open_.select("key", "n")), "key", "n", "inner").select("key", "band", "id", "comp", "n"))
+    return stash(join_facts(labelled, stash(open_.select("key", "n")), "key", "n", "inner", TASK_ROWS).select("key", "band", "id", "comp", "n"))
 
 
 def keep_one(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``documents`` without those that near_duplicates does not keep; repeated rows of one kept id become one."""
+    """``documents`` without those that near_duplicates does not keep; repeated rows of one kept id become one.
+
+    Only documents that may go are shuffled: a bitmap of the ids that go lets all others pass where they are."""
     result = stash(near_duplicates(documents, words, percent))
-    kept = documents.join(result.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti")
+    gone = stash(result.where(~F.col("kept")).select("doc_id").distinct())
+    those, others = split(documents, F.col("doc_id").cast("long"), gone)
+    kept = those.join(gone, "doc_id", "left_anti").select(*documents.columns).unionByName(others)
     again = result.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
     return kept if again.isEmpty() else kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
 
