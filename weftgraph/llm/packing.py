@@ -48,11 +48,13 @@ def _cut(path: str, capacity: int, end_id: int) -> Callable:
 
 
 def cut_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): a document's ids and ``end_id``, cut only where they pass ``capacity``."""
+    """(doc_id, piece, start, length, ids_crc32): a document's ids and ``end_id``, cut only where they pass ``capacity``.
+
+    No text is without a piece; the outer explode keeps a filter away that would encode every text once more."""
     small_batches(documents.sparkSession)
     pieces = per_text(f"array<struct<{_PIECE.replace(' ', ':').replace(',:', ',')}>>", _cut(tokenizer_path, capacity, end_id))
     found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), pieces(F.col("text").cast("string")).alias("p"))
-    return found.select("doc_id", F.explode("p").alias("p")).select("doc_id", "p.*")
+    return found.select("doc_id", F.explode_outer("p").alias("p")).select("doc_id", "p.*")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:

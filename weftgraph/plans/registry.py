@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,17 +18,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
-#: The sparse graph's protein that paths lead to, and what the exploration queries look at: its smallest ids.
+#: The protein that paths lead to, and what the exploration queries look at: the smallest ids.
 _TARGET = "(SELECT min(target) FROM rx)"
 
 
 def _register(name: str, sql_text: str | None = None) -> Callable[[Query], Query]:
-    """A query with a filter of its own under the graph is registered over the whole graph as well, as whole_name: without SQL, which is recursive or unrolled and keeps the filter."""
-
     def keep(query: Query) -> Query:
         _QUERIES[name] = query
-        if "where" in signature(query).parameters:
-            _QUERIES[f"whole_{name}"] = lambda spark, sf_dir: query(spark, sf_dir, where=None)
         if sql_text:
             _SQL[name] = sql_text
         return query
@@ -95,59 +90,59 @@ def distinct_by_type(spark, sf_dir):
     return prepare.distinct_by_type(star.graph(spark, sf_dir).vertices)
 
 
-_C = f"WITH RECURSIVE {sql.SPARSE_GRAPH}, {sql.COMPONENTS}"
+_C = f"WITH RECURSIVE {sql.graph()}, {sql.COMPONENTS}"
 
 
 @_register("connected_components", f"{_C} SELECT * FROM cs")
-def connected_components(spark, sf_dir, where=star.SPARSE):
-    return algorithms.components(star.graph(spark, sf_dir, where))
+def connected_components(spark, sf_dir):
+    return algorithms.components(star.graph(spark, sf_dir))
 
 
 @_register("component_sizes", f"{_C} SELECT component_id, count(*) AS component_count FROM cs GROUP BY component_id")
-def component_sizes(spark, sf_dir, where=star.SPARSE):
-    return algorithms.component_sizes(algorithms.components(star.graph(spark, sf_dir, where)))
+def component_sizes(spark, sf_dir):
+    return algorithms.component_sizes(algorithms.components(star.graph(spark, sf_dir)))
 
 
 _TOP = "(SELECT component_id AS largest_component_id, count(*) AS largest_component_count, (SELECT count(DISTINCT component_id) FROM cs) AS connected_component_count FROM cs GROUP BY component_id ORDER BY 2 DESC, 1 LIMIT 1)"
 
 
 @_register("largest_component", f"{_C} SELECT * FROM {_TOP}")
-def largest_component(spark, sf_dir, where=star.SPARSE):
-    return algorithms.largest_component(algorithms.components(star.graph(spark, sf_dir, where)))
+def largest_component(spark, sf_dir):
+    return algorithms.largest_component(algorithms.components(star.graph(spark, sf_dir)))
 
 
 @_register("graph_report", f"{_C} SELECT 'Homo sapiens' AS organism, (SELECT count(*) FROM vx) AS node_count, (SELECT count(*) FROM ex) AS edge_count, * FROM {_TOP}")
-def graph_report(spark, sf_dir, where=star.SPARSE):
-    return algorithms.graph_report(star.graph(spark, sf_dir, where), "Homo sapiens")
+def graph_report(spark, sf_dir):
+    return algorithms.graph_report(star.graph(spark, sf_dir), "Homo sapiens")
 
 
-@_register("label_propagation", f"WITH {sql.SPARSE_GRAPH}, {sql.labels(5)} SELECT id, label FROM l5")
-def label_propagation(spark, sf_dir, where=star.SPARSE):
-    return algorithms.label_propagation(star.graph(spark, sf_dir, where), 5)
+@_register("label_propagation", f"WITH {sql.graph()}, {sql.labels(5)} SELECT id, label FROM l5")
+def label_propagation(spark, sf_dir):
+    return algorithms.label_propagation(star.graph(spark, sf_dir), 5)
 
 
 _COM = f"{_C}, {sql.labels(5)}, cm AS (SELECT cs.*, label AS community, count(*) OVER (PARTITION BY label) AS community_count FROM cs LEFT JOIN l5 USING (id))"
 
 
-def _communities(spark, sf_dir, where=star.SPARSE):
-    g = star.graph(spark, sf_dir, where)
+def _communities(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
     return algorithms.communities(algorithms.label_propagation(g, 5), algorithms.components(g))
 
 
 @_register("communities_in_components", f"{_COM} SELECT * FROM cm")
-def communities_in_components(spark, sf_dir, where=star.SPARSE):
-    return _communities(spark, sf_dir, where)
+def communities_in_components(spark, sf_dir):
+    return _communities(spark, sf_dir)
 
 
 @_register("community_distribution", f"{_COM} SELECT coalesce(community, 'Unassigned') AS community, count(*) AS n FROM cm WHERE component_id = (SELECT min(component_id) FROM cm) GROUP BY 1")
-def community_distribution(spark, sf_dir, where=star.SPARSE):
-    rows = algorithms.stash(_communities(spark, sf_dir, where))
+def community_distribution(spark, sf_dir):
+    rows = algorithms.stash(_communities(spark, sf_dir))
     return explore.community_distribution(rows, rows.agg(F.min("component_id")).first()[0])
 
 
 @_register("communities_per_component", f"{_COM} SELECT component_id, count(DISTINCT community) AS communities, count(*) AS vertices FROM cm GROUP BY component_id")
-def communities_per_component(spark, sf_dir, where=star.SPARSE):
-    return explore.communities_per_component(_communities(spark, sf_dir, where))
+def communities_per_component(spark, sf_dir):
+    return explore.communities_per_component(_communities(spark, sf_dir))
 
 
 @_register("top_n_with_others", f"""WITH {sql.graph()}, g AS (SELECT name, count(*) AS n FROM vx WHERE type = 'chemical' GROUP BY name), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, name) AS r FROM g)
@@ -156,24 +151,24 @@ def top_n_with_others(spark, sf_dir):
     return explore.top_n_with_others(star.graph(spark, sf_dir).vertices.where("type = 'chemical'"), "name", 5)
 
 
-_P = f"WITH {sql.SPARSE_GRAPH}, {sql.paths(_TARGET, 10)}"
+_P = f"WITH {sql.graph()}, {sql.paths(_TARGET, 10)}"
 
 
 @_register("shortest_path", f"""{_P} SELECT vx.id, coalesce(dist, 999999.0) AS dist, CAST(coalesce(len(rels), 0) AS INTEGER) AS hops, coalesce(array_to_string(path, ', '), '') AS vertices_path,
   coalesce(array_to_string(rels, ', '), '') AS edges_path, dist IS NOT NULL AS reachable FROM vx LEFT JOIN p10 USING (id)""")
-def shortest_path(spark, sf_dir, where=star.SPARSE):
-    g = star.graph(spark, sf_dir, where)
+def shortest_path(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
     return algorithms.shortest_paths(g, _first_target(g), 10)
 
 
 @_register("reachable_count", f"{_P} SELECT count(*) FILTER (len(rels) > 0) AS reachable FROM p10")
-def reachable_count(spark, sf_dir, where=star.SPARSE):
-    return explore.reachable_count(shortest_path(spark, sf_dir, where))
+def reachable_count(spark, sf_dir):
+    return explore.reachable_count(shortest_path(spark, sf_dir))
 
 
-@_register("reactions_into_target", f"WITH {sql.SPARSE_GRAPH} SELECT DISTINCT reaction_id FROM ex WHERE relationship = 'TARGET_OF' AND source_id = {_TARGET}")
-def reactions_into_target(spark, sf_dir, where=star.SPARSE):
-    g = star.graph(spark, sf_dir, where)
+@_register("reactions_into_target", f"WITH {sql.graph()} SELECT DISTINCT reaction_id FROM ex WHERE relationship = 'TARGET_OF' AND source_id = {_TARGET}")
+def reactions_into_target(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
     return algorithms.reactions_into(g, _first_target(g))
 
 
@@ -400,9 +395,9 @@ def saved_graph_edges(spark, sf_dir):
     return tables.load_graph(spark, folder, ["chemical", "protein"]).edges
 
 
-@_register("csv_graph_nodes", f"WITH {sql.SPARSE_GRAPH} SELECT * FROM vx")
-def csv_graph_nodes(spark, sf_dir, where=star.SPARSE):
-    folder, g = _folder(spark), star.graph(spark, sf_dir, where)
+@_register("csv_graph_nodes", f"WITH {sql.graph()} SELECT * FROM vx")
+def csv_graph_nodes(spark, sf_dir):
+    folder, g = _folder(spark), star.graph(spark, sf_dir)
     tables.write_csv(g.vertices, f"{folder}/nodes.csv")
     tables.write_csv(g.edges, f"{folder}/edges.csv")
     return tables.read_graph_csv(spark, f"{folder}/nodes.csv", f"{folder}/edges.csv").vertices
@@ -422,127 +417,127 @@ def undirected_edges(spark, sf_dir):
 # --- exploration
 
 
-@_register("node_metadata", f"WITH {sql.SPARSE_GRAPH}, {_FEW} SELECT id, coalesce(name, 'N/A') AS name, type, coalesce(chem_ID, 'N/A') AS chem_ID, coalesce(gene_ID, 'N/A') AS gene_ID, coalesce(action, 'N/A') AS action FROM vx WHERE id IN (SELECT id FROM few)")
-def node_metadata(spark, sf_dir, where=star.SPARSE):
-    g = star.graph(spark, sf_dir, where)
+@_register("node_metadata", f"WITH {sql.graph()}, {_FEW} SELECT id, coalesce(name, 'N/A') AS name, type, coalesce(chem_ID, 'N/A') AS chem_ID, coalesce(gene_ID, 'N/A') AS gene_ID, coalesce(action, 'N/A') AS action FROM vx WHERE id IN (SELECT id FROM few)")
+def node_metadata(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
     return explore.node_metadata(g, _few_ids(g))
 
 
-@_register("find_by_name", f"WITH {sql.SPARSE_GRAPH} SELECT min(id) AS id FROM vx WHERE lower(name) = (SELECT lower(min(name)) FROM vx)")
-def find_by_name(spark, sf_dir, where=star.SPARSE):
-    g = star.graph(spark, sf_dir, where)
+@_register("find_by_name", f"WITH {sql.graph()} SELECT min(id) AS id FROM vx WHERE lower(name) = (SELECT lower(min(name)) FROM vx)")
+def find_by_name(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
     name = g.vertices.agg(F.min("name")).first()[0]
     return spark.createDataFrame([(explore.find_by_name(g, name.upper()),)], "id string")
 
 
-@_register("name_lookup", f"WITH {sql.SPARSE_GRAPH} SELECT d.id, coalesce(name, 'Unknown') AS name FROM (SELECT DISTINCT 'chemical_' || p_partkey AS id FROM part) d LEFT JOIN vx USING (id)")
-def name_lookup(spark, sf_dir, where=star.SPARSE):
+@_register("name_lookup", f"WITH {sql.graph()} SELECT d.id, coalesce(name, 'Unknown') AS name FROM (SELECT DISTINCT 'chemical_' || p_partkey AS id FROM part) d LEFT JOIN vx USING (id)")
+def name_lookup(spark, sf_dir):
     ids = star.read(spark, sf_dir, "part").select(F.concat(F.lit("chemical_"), F.col("p_partkey").cast("string")).alias("id")).distinct()
-    return explore.names_of(star.graph(spark, sf_dir, where), ids, "Unknown")
+    return explore.names_of(star.graph(spark, sf_dir), ids, "Unknown")
 
 
-@_register("neighbourhood", f"""WITH {sql.SPARSE_GRAPH}, n AS (SELECT 'out' AS direction, target_id AS id, relationship, reaction_id, type FROM ex WHERE source_id = {_TARGET}
+@_register("neighbourhood", f"""WITH {sql.graph()}, n AS (SELECT 'out' AS direction, target_id AS id, relationship, reaction_id, type FROM ex WHERE source_id = {_TARGET}
   UNION ALL SELECT 'in', source_id, relationship, reaction_id, type FROM ex WHERE target_id = {_TARGET})
 SELECT direction, n.id AS neighbour_id, coalesce(name, n.id) AS neighbour_name, vx.type AS neighbour_type, relationship, reaction_id, n.type FROM n JOIN vx USING (id)""")
-def neighbourhood(spark, sf_dir, where=star.SPARSE):
-    g = star.graph(spark, sf_dir, where)
+def neighbourhood(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
     return explore.neighbourhood(g, _first_target(g))
 
 
-@_register("induced_subgraph", f"WITH {sql.SPARSE_GRAPH}, {_FEW} SELECT * FROM ex WHERE source_id IN (SELECT id FROM few) AND target_id IN (SELECT id FROM few)")
-def induced_subgraph(spark, sf_dir, where=star.SPARSE):
-    g = star.graph(spark, sf_dir, where)
+@_register("induced_subgraph", f"WITH {sql.graph()}, {_FEW} SELECT * FROM ex WHERE source_id IN (SELECT id FROM few) AND target_id IN (SELECT id FROM few)")
+def induced_subgraph(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
     return explore.induced_subgraph(g, _few_ids(g))
 
 
-@_register("reaction_expansion", f"""WITH {sql.SPARSE_GRAPH}, pick AS (SELECT min(reaction_id) AS id FROM rx UNION SELECT min(agent) FROM rx)
+@_register("reaction_expansion", f"""WITH {sql.graph()}, pick AS (SELECT min(reaction_id) AS id FROM rx UNION SELECT min(agent) FROM rx)
 SELECT * FROM ex WHERE source_id IN (SELECT id FROM pick) AND target_id IN (SELECT id FROM pick)
 UNION SELECT * FROM ex WHERE source_id IN (SELECT id FROM pick) AND relationship IN ('HAS_AGENT', 'HAS_TARGET')""")
-def reaction_expansion(spark, sf_dir, where=star.SPARSE):
-    g = star.graph(spark, sf_dir, where)
+def reaction_expansion(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
     pick = g.vertices.where("type <> 'protein'").groupBy("type").agg(F.min("id").alias("id")).collect()
     return explore.reaction_expansion(g, [r["id"] for r in pick])
 
 
-@_register("path_edges_forward", f"""WITH {sql.SPARSE_GRAPH}, {_FEW}, pl AS (SELECT id, row_number() OVER (ORDER BY id) AS at FROM few)
+@_register("path_edges_forward", f"""WITH {sql.graph()}, {_FEW}, pl AS (SELECT id, row_number() OVER (ORDER BY id) AS at FROM few)
 SELECT source_id, target_id, relationship, min(reaction_id) AS reaction_id, min(type) AS type FROM ex JOIN pl a ON source_id = a.id JOIN pl b ON target_id = b.id WHERE a.at < b.at GROUP BY ALL""")
-def path_edges_forward(spark, sf_dir, where=star.SPARSE):
-    g = star.graph(spark, sf_dir, where)
+def path_edges_forward(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
     return explore.path_edges_forward(g, _few_ids(g))
 
 
-@_register("path_nodes", f"WITH {sql.SPARSE_GRAPH}, {_FEW} SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS place, id, name, type FROM few JOIN vx USING (id)")
-def path_nodes(spark, sf_dir, where=star.SPARSE):
-    g = star.graph(spark, sf_dir, where)
+@_register("path_nodes", f"WITH {sql.graph()}, {_FEW} SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS place, id, name, type FROM few JOIN vx USING (id)")
+def path_nodes(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
     return explore.path_nodes(g, _few_ids(g))
 
 
-@_register("predicted_link_subgraph", f"""WITH {sql.SPARSE_GRAPH}, a AS (SELECT min(reaction_id) AS s, {_TARGET} AS t FROM rx)
+@_register("predicted_link_subgraph", f"""WITH {sql.graph()}, a AS (SELECT min(reaction_id) AS s, {_TARGET} AS t FROM rx)
 SELECT 'real' AS kind, source_id, target_id, relationship, reaction_id, CAST(NULL AS DOUBLE) AS score FROM ex, a WHERE source_id IN (s, t) AND target_id IN (s, t) AND type = 'functional'
 UNION SELECT 'predicted', s, t, 'PREDICTED', NULL, 0.75 FROM a
 UNION SELECT 'expansion', source_id, target_id, relationship, reaction_id, NULL FROM ex, a WHERE source_id = s AND relationship IN ('HAS_AGENT', 'HAS_TARGET')""")
-def predicted_link_subgraph(spark, sf_dir, where=star.SPARSE):
-    g = star.graph(spark, sf_dir, where)
+def predicted_link_subgraph(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
     source = g.vertices.where("type = 'reaction'").agg(F.min("id")).first()[0] or ""
     return explore.predicted_link_subgraph(g, source, _first_target(g), 0.75)
 
 
 # --- invariants, on a graph that is broken on purpose
 
-_BAD = f"""{sql.SPARSE_GRAPH}, bv AS (SELECT id, CASE WHEN id LIKE '%7' THEN '' ELSE name END AS name, type, CASE WHEN id LIKE '%3' THEN NULL ELSE chem_ID END AS chem_ID, gene_ID FROM vx WHERE id NOT LIKE 'chemical%5'
+_BAD = f"""{sql.graph()}, bv AS (SELECT id, CASE WHEN id LIKE '%7' THEN '' ELSE name END AS name, type, CASE WHEN id LIKE '%3' THEN NULL ELSE chem_ID END AS chem_ID, gene_ID FROM vx WHERE id NOT LIKE 'chemical%5'
   UNION ALL SELECT id, name, type, chem_ID, gene_ID FROM vx WHERE id LIKE 'protein%2'), be AS (SELECT CASE WHEN source_id LIKE 'protein%4' THEN 'null' ELSE source_id END AS source_id, target_id, relationship, reaction_id FROM ex WHERE NOT (relationship = 'AGENT_OF' AND reaction_id LIKE '%a'))"""
 
 
-def _broken(spark, sf_dir, where=star.SPARSE):
-    g = star.graph(spark, sf_dir, where)
+def _broken(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
     changed = g.vertices.where("id not like 'chemical%5'").withColumns({"name": F.when(F.col("id").like("%7"), "").otherwise(F.col("name")), "chem_ID": F.when(~F.col("id").like("%3"), F.col("chem_ID"))})
     edges = g.edges.where("not (relationship = 'AGENT_OF' and reaction_id like '%a')").withColumn("source_id", F.when(F.col("source_id").like("protein%4"), "null").otherwise(F.col("source_id")))
     return graph.PropertyGraph(changed.unionByName(g.vertices.where("id like 'protein%2'")), edges)
 
 
 @_register("check_unique_nodes", f"WITH {_BAD} SELECT id, count(*) AS n FROM bv GROUP BY id HAVING count(*) > 1")
-def check_unique_nodes(spark, sf_dir, where=star.SPARSE):
-    return validate.repeated_node_ids(_broken(spark, sf_dir, where))
+def check_unique_nodes(spark, sf_dir):
+    return validate.repeated_node_ids(_broken(spark, sf_dir))
 
 
 @_register("check_edge_endpoints", f"WITH {_BAD} SELECT id FROM (SELECT source_id AS id FROM be UNION SELECT target_id FROM be) WHERE id NOT IN (SELECT id FROM bv)")
-def check_edge_endpoints(spark, sf_dir, where=star.SPARSE):
-    return validate.dangling_ends(_broken(spark, sf_dir, where))
+def check_edge_endpoints(spark, sf_dir):
+    return validate.dangling_ends(_broken(spark, sf_dir))
 
 
 @_register("check_orphan_nodes", f"WITH {_BAD} SELECT DISTINCT id FROM bv WHERE id NOT IN (SELECT source_id FROM be UNION SELECT target_id FROM be)")
-def check_orphan_nodes(spark, sf_dir, where=star.SPARSE):
-    return validate.orphan_nodes(_broken(spark, sf_dir, where))
+def check_orphan_nodes(spark, sf_dir):
+    return validate.orphan_nodes(_broken(spark, sf_dir))
 
 
 @_register("check_blank_columns", f"""WITH {_BAD} SELECT 'edges' AS "table", 'source_id' AS "column", count(*) FILTER (source_id IS NULL OR source_id IN ('', 'null')) AS blanks FROM be
 UNION ALL SELECT 'edges', 'target_id', count(*) FILTER (target_id IS NULL OR target_id IN ('', 'null')) FROM be UNION ALL SELECT 'edges', 'relationship', count(*) FILTER (relationship IS NULL OR relationship IN ('', 'null')) FROM be
 UNION ALL SELECT 'nodes', 'id', count(*) FILTER (id IS NULL OR id IN ('', 'null')) FROM bv UNION ALL SELECT 'nodes', 'name', count(*) FILTER (name IS NULL OR name IN ('', 'null')) FROM bv""")
-def check_blank_columns(spark, sf_dir, where=star.SPARSE):
-    g = _broken(spark, sf_dir, where)
+def check_blank_columns(spark, sf_dir):
+    g = _broken(spark, sf_dir)
     return validate.blank_columns(g.edges, ["source_id", "target_id", "relationship"], "edges").unionByName(validate.blank_columns(g.vertices, ["id", "name"], "nodes"))
 
 
 @_register("check_all_types", f"WITH {_BAD} SELECT type FROM (VALUES ('chemical'), ('protein'), ('reaction')) t(type) WHERE type NOT IN (SELECT type FROM bv WHERE type <> 'reaction')")
-def check_all_types(spark, sf_dir, where=star.SPARSE):
-    g = _broken(spark, sf_dir, where)
+def check_all_types(spark, sf_dir):
+    g = _broken(spark, sf_dir)
     return validate.missing_types(graph.PropertyGraph(g.vertices.where("type <> 'reaction'"), g.edges))
 
 
 @_register("check_mapped_ids", f"WITH {_BAD} SELECT id, type FROM bv WHERE (type = 'chemical' AND (chem_ID IS NULL OR chem_ID IN ('', 'null'))) OR (type = 'protein' AND (gene_ID IS NULL OR gene_ID IN ('', 'null')))")
-def check_mapped_ids(spark, sf_dir, where=star.SPARSE):
-    return validate.unmapped_entities(_broken(spark, sf_dir, where))
+def check_mapped_ids(spark, sf_dir):
+    return validate.unmapped_entities(_broken(spark, sf_dir))
 
 
 @_register("check_single_agent_target", f"""WITH {_BAD} SELECT reaction_id, count(*) FILTER (relationship = 'AGENT_OF') AS agents, count(*) FILTER (relationship = 'TARGET_OF') AS targets
 FROM be WHERE relationship IN ('AGENT_OF', 'TARGET_OF') GROUP BY reaction_id HAVING agents <> 1 OR targets <> 1""")
-def check_single_agent_target(spark, sf_dir, where=star.SPARSE):
-    return validate.reactions_without_single_ends(_broken(spark, sf_dir, where))
+def check_single_agent_target(spark, sf_dir):
+    return validate.reactions_without_single_ends(_broken(spark, sf_dir))
 
 
 @_register("matched_edges", f"WITH {_BAD} SELECT * FROM be WHERE source_id IN (SELECT id FROM bv) AND target_id IN (SELECT id FROM bv)")
-def matched_edges(spark, sf_dir, where=star.SPARSE):
-    return graph.matched(_broken(spark, sf_dir, where)).edges.select("source_id", "target_id", "relationship", "reaction_id")
+def matched_edges(spark, sf_dir):
+    return graph.matched(_broken(spark, sf_dir)).edges.select("source_id", "target_id", "relationship", "reaction_id")
 
 
 # --- link prediction
@@ -552,9 +547,9 @@ _HASH = "CAST('0x' || substr(sha256({}), 1, 7) AS BIGINT)"
 _SPLIT = f"sp AS (SELECT *, CASE WHEN h < 1000 THEN 'test' WHEN h < 2350 THEN 'validation' ELSE 'train' END AS split FROM (SELECT *, {_HASH.format(chr(39) * 2 + ' || ' + repr('|') + ' || source || ' + repr('|') + ' || target')} % 10000 AS h FROM le))"
 
 
-@_register("lp_edges", f"WITH {sql.SPARSE_GRAPH}, {_LE} SELECT * FROM le")
-def lp_edges(spark, sf_dir, where=star.SPARSE):
-    return linkpred.labelled_edges(star.graph(spark, sf_dir, where))
+@_register("lp_edges", f"WITH {sql.graph()}, {_LE} SELECT * FROM le")
+def lp_edges(spark, sf_dir):
+    return linkpred.labelled_edges(star.graph(spark, sf_dir))
 
 
 @_register("lp_split", f"WITH {sql.graph()}, {_LE}, {_SPLIT} SELECT source, target, relationship, split FROM sp")
@@ -570,23 +565,23 @@ def lp_split_counts(spark, sf_dir):
 _INDEX = "ni AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS node_index FROM vx)"
 
 
-@_register("lp_node_index", f"WITH {sql.SPARSE_GRAPH}, {_INDEX} SELECT * FROM ni")
-def lp_node_index(spark, sf_dir, where=star.SPARSE):
-    return linkpred.node_index(star.graph(spark, sf_dir, where))
+@_register("lp_node_index", f"WITH {sql.graph()}, {_INDEX} SELECT * FROM ni")
+def lp_node_index(spark, sf_dir):
+    return linkpred.node_index(star.graph(spark, sf_dir))
 
 
-@_register("lp_endpoint_labels", f"WITH {sql.SPARSE_GRAPH} SELECT id, min(type) AS type FROM vx WHERE id IN (SELECT source_id FROM ex UNION SELECT target_id FROM ex) GROUP BY id")
-def lp_endpoint_labels(spark, sf_dir, where=star.SPARSE):
-    g = star.graph(spark, sf_dir, where)
+@_register("lp_endpoint_labels", f"WITH {sql.graph()} SELECT id, min(type) AS type FROM vx WHERE id IN (SELECT source_id FROM ex UNION SELECT target_id FROM ex) GROUP BY id")
+def lp_endpoint_labels(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
     return linkpred.endpoint_labels(g.edges, g.vertices)
 
 
-@_register("lp_negatives", f"""WITH {sql.SPARSE_GRAPH}, {_LE}, {_INDEX}, pr AS (SELECT DISTINCT source, target FROM le), tt AS (SELECT source, target AS o, unnest(range(4)) AS k FROM pr),
+@_register("lp_negatives", f"""WITH {sql.graph()}, {_LE}, {_INDEX}, pr AS (SELECT DISTINCT source, target FROM le), tt AS (SELECT source, target AS o, unnest(range(4)) AS k FROM pr),
 cd AS (SELECT source, o, k, ni.id AS target FROM tt JOIN ni ON node_index = {_HASH.format("source || '|' || o || '|' || k")} % (SELECT count(*) FROM ni) WHERE source <> ni.id),
 fr AS (SELECT cd.* FROM cd ANTI JOIN pr ON cd.source = pr.source AND cd.target = pr.target)
 SELECT DISTINCT source, target FROM (SELECT *, row_number() OVER (PARTITION BY source, o ORDER BY k) AS r FROM fr) WHERE r = 1""")
-def lp_negatives(spark, sf_dir, where=star.SPARSE):
-    g = star.graph(spark, sf_dir, where)
+def lp_negatives(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
     return linkpred.negative_pairs(linkpred.labelled_edges(g), linkpred.node_index(g))
 
 
@@ -604,13 +599,13 @@ def lp_edge_features(spark, sf_dir):
     return linkpred.edge_features(star.graph(spark, sf_dir).edges, list(_RELS))
 
 
-@_register("lp_topology_features", f"""WITH {sql.SPARSE_GRAPH}, {_LE}, {_SPLIT}, tn AS (SELECT source AS a, target AS b, relationship FROM sp WHERE split = 'train'), bo AS (SELECT * FROM tn UNION ALL SELECT b, a, relationship FROM tn),
+@_register("lp_topology_features", f"""WITH {sql.graph()}, {_LE}, {_SPLIT}, tn AS (SELECT source AS a, target AS b, relationship FROM sp WHERE split = 'train'), bo AS (SELECT * FROM tn UNION ALL SELECT b, a, relationship FROM tn),
 nb AS (SELECT DISTINCT a, b FROM bo), de AS (SELECT a, count(*) AS degree, count(DISTINCT relationship) AS kinds, count(DISTINCT b) AS peers FROM bo GROUP BY a), pr AS (SELECT DISTINCT source, target FROM sp WHERE split <> 'train'),
 pa AS (SELECT source, target, count(*) AS common, sum(1 / ln(2.0 + peers)) AS weighted_common FROM pr JOIN nb x ON source = x.a JOIN nb y ON x.b = y.a AND y.b = target JOIN de ON de.a = x.b GROUP BY ALL)
 SELECT pr.source, pr.target, coalesce(s.degree, 0) AS source_degree, coalesce(t.degree, 0) AS target_degree, coalesce(s.kinds, 0) AS source_kinds, coalesce(t.kinds, 0) AS target_kinds, coalesce(common, 0) AS common, round(coalesce(weighted_common, 0), 6) AS weighted_common
 FROM pr LEFT JOIN de s ON pr.source = s.a LEFT JOIN de t ON pr.target = t.a LEFT JOIN pa ON pr.source = pa.source AND pr.target = pa.target""")
-def lp_topology_features(spark, sf_dir, where=star.SPARSE):
-    g = star.graph(spark, sf_dir, where)
+def lp_topology_features(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
     split = algorithms.stash(linkpred.split_edges(linkpred.labelled_edges(g)))
     rows = linkpred.topology_features(split.where("split <> 'train'").select("source", "target").distinct(), split.where("split = 'train'"), g)
     return rows.select("source", "target", "source_degree", "target_degree", "source_kinds", "target_kinds", "common", F.round("weighted_common", 6).alias("weighted_common"))
@@ -656,7 +651,7 @@ def prediction_table(spark, sf_dir):
 
 
 @_register("lp_predictions")
-def lp_predictions(spark, sf_dir, where=star.SPARSE):
-    g = star.graph(spark, sf_dir, where)
+def lp_predictions(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
     _, test = linkpred.train_links(g)
     return linkpred.result_table(test, g.edges)

@@ -3,25 +3,26 @@
 from __future__ import annotations
 
 from weftgraph.functions.lexicon import ACTIONS, escaped, grammar
-from weftgraph.sources.star import SPARSE
+from weftgraph.sources.star import WORLDS
 
 ACTION = """CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'results in increased expression of' WHEN 'NF' THEN 'results in decreased activity of'
   WHEN 'NO' THEN 'affects the localization of' WHEN 'RF' THEN 'co-treated with' ELSE 'binds to' END"""
 
 
-def graph(where: str | None = None) -> str:
+def graph(worlds: bool = False) -> str:
     """rx (reactions), vx (vertices), ex (edges)."""
-    return f"""rx AS (
+    world = f"CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE 1 + l_orderkey % {WORLDS - 1} END || '_' || " if worlds else ""
+    return f"""rx AS MATERIALIZED (
   SELECT 'n_reaction_0_' || sha256(agent || '||' || action || '||' || target) AS reaction_id, * FROM (
-    SELECT DISTINCT 'chemical_' || l_partkey AS agent, {ACTION} AS action, 'protein_' || l_suppkey AS target, l_partkey AS chem_key, l_suppkey AS gene_key
-    FROM lineitem {'WHERE ' + where if where else ''})
-), vx AS (
-  SELECT 'chemical_' || chem_key AS id, coalesce(p_name, '?') AS name, 'chemical' AS type, 'C' || chem_key AS chem_ID, CAST(NULL AS VARCHAR) AS gene_ID, CAST(NULL AS VARCHAR) AS action
-  FROM (SELECT DISTINCT chem_key FROM rx) LEFT JOIN part ON p_partkey = chem_key
-  UNION ALL SELECT 'protein_' || gene_key, coalesce(s_name, '?') || ' protein', 'protein', NULL, 'G' || gene_key, NULL
-  FROM (SELECT DISTINCT gene_key FROM rx) LEFT JOIN supplier ON s_suppkey = gene_key
+    SELECT DISTINCT 'chemical_' || {world}l_partkey AS agent, {ACTION} AS action, 'protein_' || {world}l_suppkey AS target, l_partkey AS chem_key, l_suppkey AS gene_key
+    FROM lineitem)
+), vx AS MATERIALIZED (
+  SELECT agent AS id, coalesce(p_name, '?') AS name, 'chemical' AS type, 'C' || chem_key AS chem_ID, CAST(NULL AS VARCHAR) AS gene_ID, CAST(NULL AS VARCHAR) AS action
+  FROM (SELECT DISTINCT agent, chem_key FROM rx) LEFT JOIN part ON p_partkey = chem_key
+  UNION ALL SELECT target, coalesce(s_name, '?') || ' protein', 'protein', NULL, 'G' || gene_key, NULL
+  FROM (SELECT DISTINCT target, gene_key FROM rx) LEFT JOIN supplier ON s_suppkey = gene_key
   UNION ALL SELECT reaction_id, reaction_id, 'reaction', NULL, NULL, action FROM rx
-), ex AS (
+), ex AS MATERIALIZED (
   SELECT agent AS source_id, target AS target_id, replace(upper(action), ' ', '_') AS relationship, reaction_id, 'functional' AS type FROM rx
   UNION ALL SELECT agent, reaction_id, 'AGENT_OF', reaction_id, 'ontological' FROM rx
   UNION ALL SELECT target, reaction_id, 'TARGET_OF', reaction_id, 'ontological' FROM rx
@@ -30,8 +31,6 @@ def graph(where: str | None = None) -> str:
 )"""
 
 
-SPARSE_GRAPH = graph(SPARSE)
-
 OBSERVATIONS = f"""ob AS (
   SELECT chemical AS ChemicalName, 'C' || l_partkey AS ChemicalID, symbol AS GeneSymbol, 'G' || l_suppkey AS GeneID,
     CASE WHEN l_linestatus = 'F' THEN 'protein' ELSE 'mRNA' END AS GeneForms,
@@ -147,30 +146,32 @@ def triples(where: str = "") -> str:
     return TRIPLES.format(where=where)
 
 
-COMPONENTS = """un AS (SELECT source_id AS a, target_id AS b FROM ex UNION SELECT target_id, source_id FROM ex
-), rch AS (SELECT id, id AS root FROM vx UNION SELECT rch.id, un.b FROM rch JOIN un ON rch.root = un.a
-), cc AS (SELECT id, min(root) AS component_id FROM rch GROUP BY id
-), cs AS (SELECT vx.id, type, name, component_id, count(*) OVER (PARTITION BY component_id) AS component_count FROM vx JOIN cc USING (id))"""
+#: cs: every vertex with the smallest id of its component, spread along edges until nothing changes.
+COMPONENTS = """un AS MATERIALIZED (SELECT source_id AS a, target_id AS b FROM ex UNION SELECT target_id, source_id FROM ex
+), cc(id, component_id) USING KEY (id) AS (
+  SELECT id, id FROM vx UNION
+  SELECT un.b, min(cc.component_id) FROM cc JOIN un ON un.a = cc.id JOIN recurring.cc AS old ON old.id = un.b WHERE cc.component_id < old.component_id GROUP BY un.b
+), cs AS MATERIALIZED (SELECT vx.id, type, name, component_id, count(*) OVER (PARTITION BY component_id) AS component_count FROM vx JOIN cc USING (id))"""
 
 
 def labels(rounds: int) -> str:
     """l0 to l<rounds>: (id, label) by synchronous rounds over functional edges."""
-    out = """fu AS (SELECT source_id AS a, target_id AS b FROM ex WHERE type = 'functional' UNION SELECT target_id, source_id FROM ex WHERE type = 'functional'), l0 AS (SELECT id, id AS label FROM vx)"""
+    out = """fu AS MATERIALIZED (SELECT source_id AS a, target_id AS b FROM ex WHERE type = 'functional' UNION SELECT target_id, source_id FROM ex WHERE type = 'functional'), l0 AS (SELECT id, id AS label FROM vx)"""
     for k in range(rounds):
-        out += f""", l{k + 1} AS (SELECT l{k}.id, coalesce(best, label) AS label FROM l{k} LEFT JOIN (
+        out += f""", l{k + 1} AS MATERIALIZED (SELECT l{k}.id, coalesce(best, label) AS label FROM l{k} LEFT JOIN (
   SELECT a, label AS best FROM (SELECT a, label, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, label) AS r FROM fu JOIN l{k} ON b = l{k}.id GROUP BY a, label) WHERE r = 1) ON id = a)"""
     return out
 
 
 def paths(target: str, rounds: int) -> str:
     """p0 to p<rounds>: (id, dist, path, rels) of the cheapest path to ``target``."""
-    out = f"""pe AS (SELECT source_id AS src, target_id AS dst, relationship, reaction_id, CASE WHEN type = 'ontological' THEN 2.0 ELSE 1.0 END AS weight FROM ex
+    out = f"""pe AS MATERIALIZED (SELECT source_id AS src, target_id AS dst, relationship, reaction_id, CASE WHEN type = 'ontological' THEN 2.0 ELSE 1.0 END AS weight FROM ex
   WHERE type <> 'ontological' OR reaction_id IN (SELECT reaction_id FROM ex WHERE relationship = 'TARGET_OF' AND source_id = {target})
-), p0 AS (SELECT id, CAST(0.0 AS DOUBLE) AS dist, [id] AS path, CAST([] AS VARCHAR[]) AS rels, CAST([] AS VARCHAR[]) AS rids FROM vx WHERE id = {target})"""
+), p0 AS MATERIALIZED (SELECT id, CAST(0.0 AS DOUBLE) AS dist, [id] AS path, CAST([] AS VARCHAR[]) AS rels, CAST([] AS VARCHAR[]) AS rids FROM vx WHERE id = {target})"""
     for k in range(rounds):
-        out += f""", m{k} AS (SELECT src, d, path, relationship, rels, rids || [reaction_id] AS rids, row_number() OVER (PARTITION BY src ORDER BY d, path, relationship, rels, reaction_id) AS r
+        out += f""", m{k} AS MATERIALIZED (SELECT src, d, path, relationship, rels, rids || [reaction_id] AS rids, row_number() OVER (PARTITION BY src ORDER BY d, path, relationship, rels, reaction_id) AS r
     FROM (SELECT src, dist + weight AS d, path, relationship, rels, rids, reaction_id FROM pe JOIN p{k} ON dst = id)
-), p{k + 1} AS (SELECT coalesce(p{k}.id, src) AS id, CASE WHEN src IS NOT NULL AND (p{k}.id IS NULL OR d < dist) THEN d ELSE dist END AS dist,
+), p{k + 1} AS MATERIALIZED (SELECT coalesce(p{k}.id, src) AS id, CASE WHEN src IS NOT NULL AND (p{k}.id IS NULL OR d < dist) THEN d ELSE dist END AS dist,
     CASE WHEN src IS NOT NULL AND (p{k}.id IS NULL OR d < dist) THEN [src] || m.path ELSE p{k}.path END AS path,
     CASE WHEN src IS NOT NULL AND (p{k}.id IS NULL OR d < dist) THEN [m.relationship] || m.rels ELSE p{k}.rels END AS rels,
     CASE WHEN src IS NOT NULL AND (p{k}.id IS NULL OR d < dist) THEN m.rids ELSE p{k}.rids END AS rids

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from weftgraph.functions.columns import reaction_key
 from weftgraph.operators.graph import PropertyGraph, edges_of_reactions
 
-SPARSE = "l_quantity >= 50 and l_discount >= 0.1"
+#: Worlds that lines are dealt to by their order: a third of all orders to the first, the others evenly.
+WORLDS = 997
 _ACTION = {"AF": "results in increased expression of", "NF": "results in decreased activity of", "NO": "affects the localization of", "RF": "co-treated with"}
 
 
@@ -23,26 +24,29 @@ def action_column():
     return out
 
 
-def reactions(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
-    """(reaction_id, agent, action, target, chem_key, gene_key): each distinct (part, action, supplier)."""
-    lines = read(spark, sf_dir, "lineitem")
-    if where:
-        lines = lines.where(where)
-    rows = lines.select("l_partkey", "l_suppkey", action_column().alias("action")).distinct()
-    named = rows.select(F.concat(F.lit("chemical_"), F.col("l_partkey").cast("string")).alias("agent"), "action", F.concat(F.lit("protein_"), F.col("l_suppkey").cast("string")).alias("target"), F.col("l_partkey").alias("chem_key"), F.col("l_suppkey").alias("gene_key"))
+def reactions(spark: SparkSession, sf_dir: str, worlds: bool = False) -> DataFrame:
+    """(reaction_id, agent, action, target, chem_key, gene_key): each distinct (part, action, supplier) of all lines.
+
+    With ``worlds`` each world has parts and suppliers of its own: one component with a third of all rows, and many small
+    ones, where all lines together are one component."""
+    order = F.col("l_orderkey")
+    world = F.when(order % 3 == 0, F.lit(0)).otherwise(1 + order % (WORLDS - 1)) if worlds else F.lit(0)
+    rows = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", action_column().alias("action"), world.cast("string").alias("world")).distinct()
+    own = lambda kind, key: F.concat(F.lit(f"{kind}_"), *([F.col("world"), F.lit("_")] if worlds else []), F.col(key).cast("string"))
+    named = rows.select(own("chemical", "l_partkey").alias("agent"), "action", own("protein", "l_suppkey").alias("target"), F.col("l_partkey").alias("chem_key"), F.col("l_suppkey").alias("gene_key"))
     return named.select(reaction_key(F.col("agent"), F.col("action"), F.col("target")).alias("reaction_id"), "agent", "action", "target", "chem_key", "gene_key")
 
 
-def graph(spark: SparkSession, sf_dir: str, where: str | None = None) -> PropertyGraph:
+def graph(spark: SparkSession, sf_dir: str, worlds: bool = False) -> PropertyGraph:
     """Parts are chemicals, suppliers are proteins, what was sold how is a reaction."""
-    rows = reactions(spark, sf_dir, where)
+    rows = reactions(spark, sf_dir, worlds)
     none = F.lit(None).cast("string")
     parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("chem_key"), "p_name")
     suppliers = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("gene_key"), "s_name")
-    chemicals = rows.select("chem_key").distinct().join(parts, "chem_key", "left").select(
-        F.concat(F.lit("chemical_"), F.col("chem_key").cast("string")).alias("id"), F.coalesce("p_name", F.lit("?")).alias("name"), F.lit("chemical").alias("type"), F.concat(F.lit("C"), F.col("chem_key").cast("string")).alias("chem_ID"), none.alias("gene_ID"), none.alias("action"))
-    proteins = rows.select("gene_key").distinct().join(suppliers, "gene_key", "left").select(
-        F.concat(F.lit("protein_"), F.col("gene_key").cast("string")).alias("id"), F.concat(F.coalesce("s_name", F.lit("?")), F.lit(" protein")).alias("name"), F.lit("protein").alias("type"), none.alias("chem_ID"), F.concat(F.lit("G"), F.col("gene_key").cast("string")).alias("gene_ID"), none.alias("action"))
+    chemicals = rows.select("agent", "chem_key").distinct().join(parts, "chem_key", "left").select(
+        F.col("agent").alias("id"), F.coalesce("p_name", F.lit("?")).alias("name"), F.lit("chemical").alias("type"), F.concat(F.lit("C"), F.col("chem_key").cast("string")).alias("chem_ID"), none.alias("gene_ID"), none.alias("action"))
+    proteins = rows.select("target", "gene_key").distinct().join(suppliers, "gene_key", "left").select(
+        F.col("target").alias("id"), F.concat(F.coalesce("s_name", F.lit("?")), F.lit(" protein")).alias("name"), F.lit("protein").alias("type"), none.alias("chem_ID"), F.concat(F.lit("G"), F.col("gene_key").cast("string")).alias("gene_ID"), none.alias("action"))
     of_reactions = rows.select(F.col("reaction_id").alias("id"), F.col("reaction_id").alias("name"), F.lit("reaction").alias("type"), none.alias("chem_ID"), none.alias("gene_ID"), "action")
     return PropertyGraph(chemicals.unionByName(proteins).unionByName(of_reactions), edges_of_reactions(rows))
 
