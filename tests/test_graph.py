@@ -140,30 +140,30 @@ def test_random_paths(spark, seed):
 
 
 def test_whole_graph_queries(spark, tmp_path):
-    """No row passes the filter of the sparse graph; the whole one has a component around a hub."""
+    """All lines reach the graph; it has a component around a hub. With worlds, every world has components of its own."""
     from collections import Counter
 
     from weftgraph.plans import registry
+    from weftgraph.sources import star
 
     found = registry.queries()
-    assert len([n for n in found if n.startswith("whole_")]) == 35 and not any(n.startswith("whole_") for n in registry.oracle_sql())
     rng = random.Random(5)
     pairs = sorted({(k, 1) for k in range(1, 31)} | {(rng.randrange(1, 31), rng.randrange(2, 8)) for _ in range(40)} | {(40, 9)})
-    lines = [(p, s, 10.0, 0.05, rng.choice("ANR"), rng.choice("FO")) for p, s in pairs for _ in range(2)]
-    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    lines = [(3 * k, p, s, rng.choice("ANR"), rng.choice("FO")) for k, (p, s) in enumerate(pairs) for _ in range(2)]  # all in one world
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(k, f"part {k}") for k in range(1, 41)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     spark.createDataFrame([(k, f"supplier {k}") for k in range(1, 10)], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
     run = lambda n: found[n](spark, str(tmp_path)).collect()
-    assert run("connected_components") == []
-    edges = [tuple(r) for r in run("whole_lp_edges")]
+    edges = [tuple(r) for r in run("lp_edges")]
     links: dict = {}
     for s, _, t, _, _, kind in edges:
         links.setdefault(s, {})[t] = links.setdefault(t, {})[s] = True
     own = {v: v for v in links}
     for _ in links:
         own = {v: min([own[v], *[own[w] for w in links[v]]]) for v in links}
-    assert {r["id"]: r["component_id"] for r in run("whole_connected_components")} == own
-    assert sorted((r["component_id"], r["component_count"]) for r in run("whole_component_sizes")) == sorted(Counter(own.values()).items()) and len(set(own.values())) == 2
+    assert {r["id"]: r["component_id"] for r in algorithms.components(star.graph(spark, str(tmp_path))).collect()} == own
+    assert sorted(r["component_count"] for r in run("component_sizes")) == sorted(Counter(own.values()).values()) and len(set(own.values())) == 2
+    assert {r["id"] for r in run("connected_components") if r["type"] == "protein"} == {f"protein_0_{k}" for k in {s for _, s in pairs}}
 
     functional: dict = {v: set() for v in links}
     for s, _, t, _, _, kind in edges:
@@ -174,12 +174,12 @@ def test_whole_graph_queries(spark, tmp_path):
     for _ in range(5):
         heard = {v: Counter(labels[w] for w in functional[v]) for v in links}
         labels = {v: min(heard[v], key=lambda x: (-heard[v][x], x)) if heard[v] else labels[v] for v in links}
-    assert {r["id"]: r["label"] for r in run("whole_label_propagation")} == labels
+    assert {r["id"]: r["label"] for r in run("label_propagation")} == labels
     # only chemicals and the reactions into the hub lead to it
-    into = {r["reaction_id"] for r in run("whole_reactions_into_target")}
-    reached = {r["id"]: r["dist"] for r in run("whole_shortest_path") if r["reachable"]}
+    into = {r["reaction_id"] for r in run("reactions_into_target")}
+    reached = {r["id"]: r["dist"] for r in run("shortest_path") if r["reachable"]}
     assert reached == {"protein_1": 0.0, **{f"chemical_{k}": 1.0 for k in range(1, 31)}, **{r: 2.0 for r in into}}
-    assert run("whole_reachable_count")[0][0] == 30 + len(into) and {r["neighbour_id"] for r in run("whole_neighbourhood")} == set(links["protein_1"])
+    assert run("reachable_count")[0][0] == 30 + len(into) and {r["neighbour_id"] for r in run("neighbourhood")} == set(links["protein_1"])
     joined = {(s, t) for s, _, t, *_ in edges}
-    free = {(r["source"], r["target"]) for r in run("whole_lp_negatives")}
+    free = {(r["source"], r["target"]) for r in run("lp_negatives")}
     assert free and not free & joined and all(s in links and t in links and s != t for s, t in free)

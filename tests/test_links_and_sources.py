@@ -104,7 +104,7 @@ def test_statistics(spark):
 
 def test_streamed_degrees(spark, tmp_path):
     source = tmp_path / "in"
-    edges = star.graph(spark, SF, star.SPARSE).edges
+    edges = star.graph(spark, SF).edges
     edges.coalesce(1).write.parquet(f"file://{source}/a")
     stream = spark.readStream.schema(edges.schema).parquet(f"file://{source}/*")
     degrees.keep_degrees(stream, f"file://{tmp_path}/deg", f"file://{tmp_path}/cp").awaitTermination(120)

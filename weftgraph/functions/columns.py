@@ -25,9 +25,9 @@ def without_protein(name: Column) -> Column:
 
 
 def content_key(*columns: Column) -> Column:
-    """A 48-bit number from the columns' content: the same row has the same key on any machine and in any order."""
+    """128 bits in hexadecimal from the columns' content: the same row has the same key on any machine and in any order."""
     text = F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns])
-    return hash_number(text, 12)
+    return F.substring(F.sha2(text.cast("binary"), 256), 1, 32)
 
 
 def hash_number(text: Column, digits: int = 7) -> Column:

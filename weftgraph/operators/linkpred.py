@@ -93,16 +93,20 @@ def topology_features(pairs: DataFrame, train: DataFrame, graph: PropertyGraph)
     """``pairs(source, target, ...)`` with features of the training edges only.
 
     Degrees and the types of both ends, the number of relationships at each, and the number of two-step paths from
-    source to target by degree-weighted hubs: for a middle node m with d neighbours a path counts 1 / log(2 + d). The
-    paths are found from the pairs' own neighbours, so hubs in the middle cost their links to asked pairs.
+    source to target by degree-weighted hubs: for a middle node m with d neighbours a path counts 1 / log(2 + d). Links
+    have no direction here, so paths are looked for from the end with fewer neighbours: a hub's neighbours are only
+    walked for a pair of two hubs.
     """
     links = train.select(F.col("source").alias("a"), F.col("target").alias("b"), "relationship")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "relationship"))
     neighbours = stash(both.select("a", "b").distinct())
     degree = stash(both.groupBy("a").agg(F.count(F.lit(1)).alias("degree"), F.countDistinct("relationship").alias("kinds"), F.countDistinct("b").alias("peers")))
-    asked = pairs.select("source", "target").distinct()
-    steps = asked.join(neighbours.select(F.col("a").alias("source"), F.col("b").alias("middle")), "source")
-    closed = steps.join(neighbours.select(F.col("a").alias("middle"), F.col("b").alias("target")), ["middle", "target"])
+    peers = lambda s: degree.select(F.col("a").alias(s), F.col("peers").alias(f"_{s}_peers"))
+    asked = pairs.select("source", "target").distinct().join(peers("source"), "source").join(peers("target"), "target")
+    fewer = F.col("_source_peers") <= F.col("_target_peers")
+    asked = asked.select("source", "target", F.when(fewer, F.col("source")).otherwise(F.col("target")).alias("near"), F.when(fewer, F.col("target")).otherwise(F.col("source")).alias("far"))
+    steps = asked.join(neighbours.select(F.col("a").alias("near"), F.col("b").alias("middle")), "near")
+    closed = steps.join(neighbours.select(F.col("a").alias("middle"), F.col("b").alias("far")), ["middle", "far"])
     paths = closed.join(degree.select(F.col("a").alias("middle"), "peers"), "middle").groupBy("source", "target").agg(
         F.count(F.lit(1)).alias("common"), F.sum(1 / F.log(2.0 + F.col("peers"))).alias("weighted_common"))
     end = lambda s: degree.select(F.col("a").alias(s), F.col("degree").alias(f"{s}_degree"), F.col("kinds").alias(f"{s}_kinds"))

@@ -90,17 +90,22 @@ def distinct_by_type(spark, sf_dir):
     return prepare.distinct_by_type(star.graph(spark, sf_dir).vertices)
 
 
-_C = f"WITH RECURSIVE {sql.graph()}, {sql.COMPONENTS}"
+#: One component with a third of all lines and many small ones.
+_C = f"WITH RECURSIVE {sql.graph(worlds=True)}, {sql.COMPONENTS}"
+
+
+def _worlds(spark, sf_dir):
+    return star.graph(spark, sf_dir, worlds=True)
 
 
 @_register("connected_components", f"{_C} SELECT * FROM cs")
 def connected_components(spark, sf_dir):
-    return algorithms.components(star.graph(spark, sf_dir))
+    return algorithms.components(_worlds(spark, sf_dir))
 
 
 @_register("component_sizes", f"{_C} SELECT component_id, count(*) AS component_count FROM cs GROUP BY component_id")
 def component_sizes(spark, sf_dir):
-    return algorithms.component_sizes(algorithms.components(star.graph(spark, sf_dir)))
+    return algorithms.component_sizes(algorithms.components(_worlds(spark, sf_dir)))
 
 
 _TOP = "(SELECT component_id AS largest_component_id, count(*) AS largest_component_count, (SELECT count(DISTINCT component_id) FROM cs) AS connected_component_count FROM cs GROUP BY component_id ORDER BY 2 DESC, 1 LIMIT 1)"
@@ -108,12 +113,12 @@ _TOP = "(SELECT component_id AS largest_component_id, count(*) AS largest_compon
 
 @_register("largest_component", f"{_C} SELECT * FROM {_TOP}")
 def largest_component(spark, sf_dir):
-    return algorithms.largest_component(algorithms.components(star.graph(spark, sf_dir)))
+    return algorithms.largest_component(algorithms.components(_worlds(spark, sf_dir)))
 
 
 @_register("graph_report", f"{_C} SELECT 'Homo sapiens' AS organism, (SELECT count(*) FROM vx) AS node_count, (SELECT count(*) FROM ex) AS edge_count, * FROM {_TOP}")
 def graph_report(spark, sf_dir):
-    return algorithms.graph_report(star.graph(spark, sf_dir), "Homo sapiens")
+    return algorithms.graph_report(_worlds(spark, sf_dir), "Homo sapiens")
 
 
 @_register("label_propagation", f"WITH {sql.graph()}, {sql.labels(5)} SELECT id, label FROM l5")
@@ -125,7 +130,7 @@ _COM = f"{_C}, {sql.labels(5)}, cm AS (SELECT cs.*, label AS community, count(*)
 
 
 def _communities(spark, sf_dir):
-    g = star.graph(spark, sf_dir)
+    g = _worlds(spark, sf_dir)
     return algorithms.communities(algorithms.label_propagation(g, 5), algorithms.components(g))
 
 
@@ -485,13 +490,14 @@ def predicted_link_subgraph(spark, sf_dir):
 # --- invariants, on a graph that is broken on purpose
 
 _BAD = f"""{sql.graph()}, bv AS (SELECT id, CASE WHEN id LIKE '%7' THEN '' ELSE name END AS name, type, CASE WHEN id LIKE '%3' THEN NULL ELSE chem_ID END AS chem_ID, gene_ID FROM vx WHERE id NOT LIKE 'chemical%5'
-  UNION ALL SELECT id, name, type, chem_ID, gene_ID FROM vx WHERE id LIKE 'protein%2'), be AS (SELECT CASE WHEN source_id LIKE 'protein%4' THEN 'null' ELSE source_id END AS source_id, target_id, relationship, reaction_id FROM ex WHERE NOT (relationship = 'AGENT_OF' AND reaction_id LIKE '%a'))"""
+  UNION ALL SELECT id, name, type, chem_ID, gene_ID FROM vx WHERE id LIKE 'protein%2'), be AS (SELECT CASE WHEN source_id LIKE 'protein%4' THEN 'null' ELSE source_id END AS source_id, target_id, relationship, reaction_id FROM ex
+  WHERE NOT (relationship = 'AGENT_OF' AND reaction_id LIKE '%a') AND source_id NOT LIKE 'chemical%31' AND target_id NOT LIKE 'chemical%31')"""
 
 
 def _broken(spark, sf_dir):
     g = star.graph(spark, sf_dir)
     changed = g.vertices.where("id not like 'chemical%5'").withColumns({"name": F.when(F.col("id").like("%7"), "").otherwise(F.col("name")), "chem_ID": F.when(~F.col("id").like("%3"), F.col("chem_ID"))})
-    edges = g.edges.where("not (relationship = 'AGENT_OF' and reaction_id like '%a')").withColumn("source_id", F.when(F.col("source_id").like("protein%4"), "null").otherwise(F.col("source_id")))
+    edges = g.edges.where("not (relationship = 'AGENT_OF' and reaction_id like '%a') and source_id not like 'chemical%31' and target_id not like 'chemical%31'").withColumn("source_id", F.when(F.col("source_id").like("protein%4"), "null").otherwise(F.col("source_id")))
     return graph.PropertyGraph(changed.unionByName(g.vertices.where("id like 'protein%2'")), edges)
 
 
@@ -576,8 +582,9 @@ def lp_endpoint_labels(spark, sf_dir):
     return linkpred.endpoint_labels(g.edges, g.vertices)
 
 
-@_register("lp_negatives", f"""WITH {sql.graph()}, {_LE}, {_INDEX}, pr AS (SELECT DISTINCT source, target FROM le), tt AS (SELECT source, target AS o, unnest(range(4)) AS k FROM pr),
-cd AS (SELECT source, o, k, ni.id AS target FROM tt JOIN ni ON node_index = {_HASH.format("source || '|' || o || '|' || k")} % (SELECT count(*) FROM ni) WHERE source <> ni.id),
+@_register("lp_negatives", f"""WITH {sql.graph()}, {_LE}, {_INDEX}, pr AS (SELECT DISTINCT source, target FROM le), ty AS (SELECT source, target AS o, unnest(range(4)) AS k FROM pr), nn AS MATERIALIZED (SELECT count(*) AS n FROM ni),
+tt AS MATERIALIZED (SELECT source, o, k, {_HASH.format("source || '|' || o || '|' || k")} % n AS node_index FROM ty CROSS JOIN nn),
+cd AS (SELECT source, o, k, ni.id AS target FROM tt JOIN ni USING (node_index) WHERE source <> ni.id),
 fr AS (SELECT cd.* FROM cd ANTI JOIN pr ON cd.source = pr.source AND cd.target = pr.target)
 SELECT DISTINCT source, target FROM (SELECT *, row_number() OVER (PARTITION BY source, o ORDER BY k) AS r FROM fr) WHERE r = 1""")
 def lp_negatives(spark, sf_dir):

@@ -56,7 +56,7 @@ _ABC = "['a', 'b', 'c']"
 
 #: st (statements), re (one row for each reaction of a statement), tr (triples), for statements of up to three reactions.
 TRIPLES = f"""{OBSERVATIONS}, st AS (
-  SELECT CAST('0x' || substr(sha256(ChemicalName || chr(31) || GeneSymbol || chr(31) || Interaction), 1, 12) AS BIGINT) AS index, *
+  SELECT substr(sha256(ChemicalName || chr(31) || GeneSymbol || chr(31) || Interaction), 1, 32) AS index, *
   FROM (SELECT DISTINCT ChemicalName, GeneSymbol, Interaction FROM ob {{where}})
 ), lv AS (
   SELECT index, Interaction, regexp_matches(Interaction, '{_SHAPES["inverse"]}') AS inv, regexp_matches(Interaction, '{_SHAPES["nested"]}') AS nest,
