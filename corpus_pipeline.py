@@ -16,7 +16,7 @@ SHINGLE, PERCENT, CAPACITY = 5, 80, 2048
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter (null and empty texts too); every other one is in a language that was learned."""
+    """Drops documents without a letter (null and empty texts too) and those with too few n-grams that the model knows."""
     return langid.keep_identified(docs)
 
 
