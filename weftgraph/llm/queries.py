@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import embeddings, langid, media, mixing, neardup, packing, quality, secrets, sharding, warc
+from weftgraph.llm import chatformat, embeddings, langid, media, mixing, neardup, packing, prefixtrie, quality, repair, secrets, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,9 @@ def queries() -> dict[str, Query]:
         "op8_bayes_minhash_dedup": _over("documents", lambda documents: neardup.near_duplicates(documents, 3, 85)),
         "op9_certified_packing": _over("documents", _packed),
         "op10_poisson_mixing": _over("documents", mixing.mix_query),
+        "op11_prefix_targets": _over("conversations", chatformat.prefix_targets),
+        "op12_viterbi_repair": _over("conversations", repair.repair_damaged),
+        "op13_prefix_trie": _over("conversations", prefixtrie.prefix_trie),
     }
 
 
@@ -48,4 +51,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_secret_ownership": secrets.SECRET_SQL,
         "op8_bayes_minhash_dedup": neardup.NEAR_SQL,
         "op10_poisson_mixing": mixing.MIX_SQL,
+        "op11_prefix_targets": chatformat.CHAT_SQL,
+        "op12_viterbi_repair": repair.REPAIR_SQL,
+        "op13_prefix_trie": prefixtrie.TRIE_SQL,
     }
