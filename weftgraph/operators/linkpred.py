@@ -1,22 +1,26 @@
-"""Link prediction without a graph network: hashed splits, negatives, features of the training graph, and metrics."""
+"""Link prediction: hashed splits, exact negatives, features of the training graph, a trained scorer, and metrics."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.config import LinkPrediction
 from weftgraph.functions.columns import hash_number
+from weftgraph.operators import adjacency, convolution, edgemodel
+from weftgraph.operators.adjacency import Adjacency
+from weftgraph.operators.convolution import NODE_TYPES
 from weftgraph.operators.graph import PropertyGraph
+from weftgraph.operators.prefix import numbered
+from weftgraph.operators.skew import join_facts
 from weftgraph.session import stash
 
 #: A 28-bit hash is cut into this many parts.
 PARTS = 10_000
-NODE_TYPES = ("chemical", "protein", "reaction")
+#: Neighbours of one source that one task numbers, more or less; hexadecimal digits of the hash that draws a negative.
+SLAB, DIGITS = 100_000, 15
 
 
 def pair_hash(source: Column, target: Column, salt: str = "") -> Column:
@@ -24,13 +28,14 @@ def pair_hash(source: Column, target: Column, salt: str = "") -> Column:
 
 
 def node_index(graph: PropertyGraph) -> DataFrame:
-    """(id, node_index): places from 0 in the order of ids. Range partitions are counted, then numbered within."""
-    parts = int(graph.vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stash(graph.vertices.select("id").distinct().repartitionByRange(parts, "id").withColumn("_part", F.spark_partition_id()))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy("id")) - 1
-    return ranged.join(F.broadcast(starts), "_part").select("id", (F.col("_start") + own).alias("node_index"))
+    """(id, node_index): places from 0 in the order of ids."""
+    return numbered(graph.vertices.select("id").distinct(), "node_index", F.asc("id"))
+
+
+def relation_ranks(edges: DataFrame) -> DataFrame:
+    """(relationship, n, rank): the names found in ``edges``, the commonest first (rank 0), equals by name; null is none."""
+    counted = edges.where("relationship is not null").groupBy("relationship").agg(F.count(F.lit(1)).alias("n"))
+    return numbered(counted, "rank", F.desc("n"), F.asc("relationship"))
 
 
 def endpoint_labels(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -61,21 +66,57 @@ def split_counts(split: DataFrame) -> DataFrame:
     return split.groupBy("split", "relationship").agg(F.count(F.lit(1)).alias("n"))
 
 
-def negative_pairs(edges: DataFrame, nodes: DataFrame, tries: int = 4) -> DataFrame:
-    """(source, target): for each edge one pair of different nodes that no edge joins, in a fixed way.
+def negative_pairs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(source, target): for each distinct pair of ``edges`` one free pair with the same source, all different.
 
-    Every distinct edge makes ``tries`` candidates: its source with the node whose place is a hash of the edge and the
-    try. The first that is free stays; of edges that choose one pair, one keeps it. On dense graphs fewer pairs than
-    edges may be left. The candidates are as many as the edges, not as the pairs of nodes.
+    A pair is free if no edge leads from source to target and the two differ. Of the f free targets of a source with d
+    distinct ones, ordered by node_index, one is drawn by a hash from each of min(d, f) equal stretches: no tries and no
+    rejections, so hubs get as many as all others, and a source has fewer than d only if not more are free.
     """
-    numbered = stash(nodes.select("id", "node_index"))
-    n = numbered.count()
-    pairs = edges.select("source", "target").distinct()
-    drawn = pairs.select("source", F.col("target").alias("_of"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("_try"))
-    drawn = drawn.withColumn("node_index", F.pmod(hash_number(F.concat_ws("|", "source", "_of", F.col("_try").cast("string"))), F.lit(max(1, n))))
-    free = drawn.join(numbered.withColumnRenamed("id", "target"), "node_index").where("source <> target").join(pairs, ["source", "target"], "left_anti")
-    first = free.groupBy("source", "_of").agg(F.min(F.struct("_try", "target")).alias("m"))
-    return first.select("source", F.col("m.target").alias("target")).distinct()
+    places = stash(nodes.select("id", "node_index"))
+    at = lambda c: places.select(F.col("id").alias(c), F.col("node_index").alias(f"{c}_index"))
+    pairs = stash(edges.select("source", "target").distinct().join(at("source"), "source").join(at("target"), "target").select("source_index", "target_index"))
+    drawn = free_targets(pairs, places.count())
+    of_source = pairs.groupBy("source_index").agg(F.count(F.lit(1)).alias("_n"))
+    named = stash(of_source.join(at("source"), "source_index"))
+    return join_facts(stash(drawn), named, "source_index", "_n", "inner").join(at("target"), "target_index").select("source", "target")
+
+
+def free_targets(pairs: DataFrame, n: int) -> DataFrame:
+    """(source_index, target_index) of the negatives for ``pairs`` of the same columns, which are distinct, among n nodes.
+
+    The r-th free target of a source is r plus the number of its neighbours before it; with the neighbours in order,
+    t(i) - i free ones come before the i-th, so a running count over neighbours and drawn ranks in that order gives it.
+    A source with more than SLAB neighbours is cut into equal ranges of targets, whose free ones are counted first; a
+    range has at most as many neighbours as places, which is the square root of n times SLAB at the worst.
+    """
+    facts = pairs.groupBy("source_index").agg(F.count(F.lit(1)).alias("d"), F.max(F.col("source_index") == F.col("target_index")).alias("_loop"))
+    facts = facts.withColumn("e", F.col("d") + (~F.col("_loop")).cast("long")).withColumn("f", F.lit(n) - F.col("e"))
+    slabs = F.ceil(F.col("e") / SLAB).cast("long")
+    facts = stash(facts.withColumn("slabs", slabs).withColumn("wide", F.ceil(F.lit(n) / slabs).cast("long")).withColumn("k", F.least("d", "f")))
+    taken = pairs.select("source_index", "target_index").unionByName(facts.where("not _loop").select("source_index", F.col("source_index").alias("target_index")))
+    many = facts.where("slabs > 1").select("source_index", "d", "wide")
+    dealt = join_facts(stash(taken), stash(many), "source_index", "d").withColumn("slab", F.coalesce(F.floor(F.col("target_index") / F.col("wide")), F.lit(0)))
+    by_slab = Window.partitionBy("source_index", "slab").orderBy("target_index")
+    before = F.col("target_index") - F.col("slab") * F.coalesce("wide", F.lit(0)) - (F.row_number().over(by_slab) - 1)
+    marks = stash(dealt.select("source_index", "slab", before.alias("rank"), F.lit(0).alias("drawn")))
+
+    counts = marks.groupBy("source_index", "slab").agg(F.count(F.lit(1)).alias("c"))
+    each = facts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slabs") - 1)).alias("slab")).join(counts, ["source_index", "slab"], "left")
+    free = F.greatest(F.least(F.col("wide"), F.lit(n) - F.col("slab") * F.col("wide")), F.lit(0)) - F.coalesce("c", F.lit(0))
+    lower = Window.partitionBy("source_index").orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("free", free).withColumn("from", F.coalesce(F.sum("free").over(lower), F.lit(0)))
+    # stretch j of k begins at j * w + min(j, m) with w = f div k and m = f mod k; the first m are one longer
+    each = each.where("k > 0 and free > 0").withColumn("w", F.expr("f div k")).withColumn("m", F.col("f") % F.col("k"))
+    stretch = lambda r: f"if({r} < m * (w + 1), {r} div (w + 1), m + ({r} - m * (w + 1)) div w)"
+    each = each.withColumn("j", F.explode(F.sequence(F.expr(stretch("from")), F.expr(stretch("(from + free - 1)")))))
+    chance = hash_number(F.concat_ws("|", F.col("source_index").cast("string"), F.col("j").cast("string")), DIGITS)
+    each = each.withColumn("r", F.col("j") * F.col("w") + F.least("j", "m") + chance % (F.col("w") + (F.col("j") < F.col("m")).cast("long")))
+    ranks = each.where("r >= `from` and r < `from` + free").select("source_index", "slab", (F.col("r") - F.col("from")).alias("rank"), F.lit(1).alias("drawn"), (F.col("slab") * F.col("wide")).alias("first"))
+    running = Window.partitionBy("source_index", "slab").orderBy("rank", "drawn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = marks.withColumn("first", F.lit(None).cast("long")).unionByName(ranks)
+    passed = merged.withColumn("passed", F.sum(1 - F.col("drawn")).over(running))
+    return passed.where("drawn = 1").select("source_index", (F.col("first") + F.col("rank") + F.coalesce("passed", F.lit(0))).alias("target_index"))
 
 
 def node_features(graph: PropertyGraph) -> DataFrame:
@@ -83,95 +124,139 @@ def node_features(graph: PropertyGraph) -> DataFrame:
     return graph.vertices.select("id", *[(F.col("type") == t).cast("int").alias(f"is_{t}") for t in NODE_TYPES])
 
 
-def edge_features(edges: DataFrame, relationships: list[str]) -> DataFrame:
-    """The kind's two bits and one for each of ``relationships``."""
+def edge_bits(edges: DataFrame, relationships: list[str]) -> DataFrame:
+    """The kind's two bits and one for each of ``relationships``, as columns."""
     kinds = [(F.col("type") == k).cast("int").alias(f"is_{k}") for k in ("functional", "ontological")]
     return edges.select("source_id", "target_id", "relationship", *kinds, *[(F.col("relationship") == r).cast("int").alias(f"rel_{r}") for r in relationships])
 
 
-def topology_features(pairs: DataFrame, train: DataFrame, graph: PropertyGraph) -> DataFrame:
-    """``pairs(source, target, ...)`` with features of the training edges only.
+def edge_features(edges: DataFrame, ranks: DataFrame) -> DataFrame:
+    """source_id, target_id, relationship, n_features and active: the kind's two bits and one for each relationship of
+    ``ranks``, as the ascending places that are set; a name that is not there has none. Any number of names works: a row
+    holds two places at most, as a sparse vector would."""
+    named = stash(ranks)
+    size = named.agg(F.count(F.lit(1))).first()[0] + 2
+    kind = F.when(F.col("type") == "functional", F.lit(0)).when(F.col("type") == "ontological", F.lit(1))
+    found = join_facts(edges, named, "relationship", "n").withColumn("_rank", F.col("rank") + 2)
+    return found.select("source_id", "target_id", "relationship", F.lit(size).cast("long").alias("n_features"), F.filter(F.array(kind.cast("long"), F.col("_rank")), lambda x: x.isNotNull()).alias("active"))
 
-    Degrees and the types of both ends, the number of relationships at each, and the number of two-step paths from
-    source to target by degree-weighted hubs: for a middle node m with d neighbours a path counts 1 / log(2 + d). Links
-    have no direction here, so paths are looked for from the end with fewer neighbours: a hub's neighbours are only
-    walked for a pair of two hubs.
-    """
-    links = train.select(F.col("source").alias("a"), F.col("target").alias("b"), "relationship")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "relationship"))
-    neighbours = stash(both.select("a", "b").distinct())
-    degree = stash(both.groupBy("a").agg(F.count(F.lit(1)).alias("degree"), F.countDistinct("relationship").alias("kinds"), F.countDistinct("b").alias("peers")))
-    peers = lambda s: degree.select(F.col("a").alias(s), F.col("peers").alias(f"_{s}_peers"))
-    asked = pairs.select("source", "target").distinct().join(peers("source"), "source").join(peers("target"), "target")
-    fewer = F.col("_source_peers") <= F.col("_target_peers")
-    asked = asked.select("source", "target", F.when(fewer, F.col("source")).otherwise(F.col("target")).alias("near"), F.when(fewer, F.col("target")).otherwise(F.col("source")).alias("far"))
-    steps = asked.join(neighbours.select(F.col("a").alias("near"), F.col("b").alias("middle")), "near")
-    closed = steps.join(neighbours.select(F.col("a").alias("middle"), F.col("b").alias("far")), ["middle", "far"])
-    paths = closed.join(degree.select(F.col("a").alias("middle"), "peers"), "middle").groupBy("source", "target").agg(
-        F.count(F.lit(1)).alias("common"), F.sum(1 / F.log(2.0 + F.col("peers"))).alias("weighted_common"))
-    end = lambda s: degree.select(F.col("a").alias(s), F.col("degree").alias(f"{s}_degree"), F.col("kinds").alias(f"{s}_kinds"))
-    kinds = lambda s: graph.vertices.select(F.col("id").alias(s), *[(F.col("type") == t).cast("int").alias(f"{s}_is_{t}") for t in NODE_TYPES])
-    out = pairs.join(end("source"), "source", "left").join(end("target"), "target", "left").join(kinds("source"), "source", "left").join(kinds("target"), "target", "left").join(paths, ["source", "target"], "left")
-    added = [c for c in out.columns if c not in pairs.columns]
-    return out.select(*pairs.columns, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in added])
-
-
-def _model_columns(rows: DataFrame) -> list[str]:
-    plain = [c for c in rows.columns if c.startswith(("source_", "target_")) or c in ("common", "weighted_common")]
-    return [c for c in plain if c not in ("source_label", "target_label")]
 
+def topology_features(pairs: DataFrame, blocks: Adjacency, vertices: DataFrame) -> DataFrame:
+    """``pairs(source, target, ...)`` with features of the edges in ``blocks`` only.
 
-@dataclass(frozen=True)
-class LinkModel:
-    model: LogisticRegressionModel
-    columns: list[str]
-    validation_auc: float
-
-    def score(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with ``score``, the probability of a link."""
-        from pyspark.ml.functions import vector_to_array
-
-        made = self.model.transform(_assembled(rows, self.columns))
-        return made.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction", *[f"_l_{c}" for c in self.columns if "degree" in c or c == "common"])
+    Degrees and types of both ends, the number of relationships at each, and the number of two-step paths between them:
+    for a middle node with d neighbours a path counts 1 / log(2 + d) in ``weighted_common``. Links have no direction
+    here. Degrees are counted inside the blocks, and paths are walked from the end with fewer neighbours, whose block is
+    read where it lies: a hub's neighbours are only walked for a pair of two hubs. ``vertices(node, type)``.
+    """
+    facts = stash(blocks.facts())
+    types = [F.coalesce((F.col("type") == t).cast("int"), F.lit(0)).alias(f"is_{t}") for t in NODE_TYPES]
+    ends = stash(vertices.groupBy("node").agg(F.min("type").alias("type")).join(facts, "node", "left").select(
+        "node", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("degree", "kinds", "peers")], *types))
+    end = lambda s: ends.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ends.columns if c != "node"])
+    asked = stash(pairs.select("source", "target").distinct())
+    asked = stash(join_facts(stash(join_facts(asked, end("source"), "source", "source_degree")), end("target"), "target", "target_degree"))
+    common = common_neighbours(asked.select("source", "target", "source_peers", "target_peers"), blocks, facts)
+    added = asked.drop("source_peers", "target_peers").join(common, ["source", "target"], "left")
+    out = pairs.join(added, ["source", "target"], "left")
+    new = [c for c in out.columns if c not in pairs.columns]
+    return out.select(*pairs.columns, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in new])
+
+
+def common_neighbours(asked: DataFrame, blocks: Adjacency, facts: DataFrame) -> DataFrame:
+    """source, target, common, weighted_common of the pairs of ``asked`` (with both ends' peers) that have any."""
+    fewer = F.coalesce("source_peers", F.lit(0)) <= F.coalesce("target_peers", F.lit(0))
+    near = asked.select("source", "target", F.when(fewer, F.col("source")).otherwise(F.col("target")).alias("near"), F.when(fewer, F.col("target")).otherwise(F.col("source")).alias("far"))
+    steps = blocks.attach(near, "near").select("source", "target", "far", F.explode(F.array_distinct(F.transform("links", lambda x: x["peer"]))).alias("middle"))
+    closed = steps.join(blocks.neighbours().select(F.col("node").alias("middle"), F.col("peer").alias("far")), ["middle", "far"])
+    weighed = closed.join(facts.select(F.col("node").alias("middle"), "peers"), "middle")
+    return weighed.groupBy("source", "target").agg(F.count(F.lit(1)).alias("common"), F.sum(1 / F.log(2.0 + F.col("peers"))).alias("weighted_common"))
 
-    def summary(self) -> str:
-        return self.model.explainParams()
 
+@dataclass(frozen=True)
+class Prepared:
+    """What training reads: numbered nodes, split pairs with their features, and the graph that the features come from."""
 
-def _assembled(rows: DataFrame, columns: list[str]) -> DataFrame:
-    logged = [c for c in columns if "degree" in c or c == "common"]
-    for c in logged:
-        rows = rows.withColumn(f"_l_{c}", F.log1p(F.col(c).cast("double")))
-    return VectorAssembler(inputCols=[f"_l_{c}" if c in logged else c for c in columns], outputCol="features").transform(rows)
+    nodes: DataFrame
+    edges: DataFrame
+    pairs: DataFrame
+    shape: edgemodel.Shape
+    blocks: Adjacency
 
 
-def train_links(graph: PropertyGraph, config: LinkPrediction | None = None) -> tuple[LinkModel, DataFrame]:
-    """A model of links, and the scored pairs of the test split: source, target, score, actual, relationship.
+def prepare_pairs(graph: PropertyGraph, config: LinkPrediction) -> Prepared:
+    """Numbers the nodes and relationships, splits the edges, draws negatives, and gives every pair its features.
 
-    Positives are distinct pairs of the training edges, ontological ones weighted down; negatives are as many free
-    pairs. Features come from training edges only. More rounds are allowed until the validation AUC is reached.
+    The training edges are parted once more: a ``supervision_share`` of the pairs are the positives that are learnt
+    from, and only the others are in the graph that features come from. So a positive's own edge is never among its
+    features, in training as in testing. Positives are distinct pairs, weighed by their kind; each has one negative.
     """
-    config = config or LinkPrediction()
-    edges = stash(split_edges(labelled_edges(graph, config.exclude_ontological), config.test_share, config.validation_share))
-    nodes = node_index(graph)
-    negatives = split_edges(negative_pairs(edges, nodes), config.test_share, config.validation_share)
+    edges = labelled_edges(graph, config.exclude_ontological)
+    nodes = stash(node_index(graph))
+    ranks = stash(relation_ranks(edges))
+    at = lambda c: nodes.select(F.col("id").alias(c), F.col("node_index").alias(f"{c}_index"))
+    split = split_edges(edges, config.test_share, config.validation_share)
+    numbered_ = join_facts(stash(split), ranks, "relationship", "n", "inner").join(at("source"), "source").join(at("target"), "target")
+    edges = stash(numbered_.select(F.col("source_index").alias("source"), F.col("target_index").alias("target"), F.col("rank").alias("relation"), "type", "split"))
+    n_nodes, n_ranks = nodes.count(), ranks.count()
+    apart = F.pmod(pair_hash(F.col("source"), F.col("target"), "supervision"), F.lit(PARTS)) < round(config.supervision_share * PARTS)
+    blocks = adjacency.build(edges.where((F.col("split") == "train") & ~apart))
+
     weight = F.when(F.max(F.col("type") == "functional"), 1.0).otherwise(config.ontological_weight)
     positive = edges.groupBy("source", "target", "split").agg(weight.alias("weight")).withColumn("label", F.lit(1.0))
-    rows = positive.unionByName(negatives.withColumn("weight", F.lit(1.0)).withColumn("label", F.lit(0.0)).select("source", "target", "split", "weight", "label"))
-    featured = stash(topology_features(rows, edges.where("split = 'train'"), graph))
-    columns = _model_columns(featured)
-    train, validation = featured.where("split = 'train'"), featured.where("split = 'validation'")
-    model, rounds = None, 10
-    while True:
-        fitted = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds, regParam=1e-4).fit(_assembled(train, columns))
-        model = LinkModel(fitted, columns, 0.0)
-        auc = roc_auc(model.score(validation).select("score", "label")).first()[0]
-        model = LinkModel(fitted, columns, auc if auc is not None else 0.0)
-        if rounds >= config.most_rounds or model.validation_auc >= config.target_auc:
-            break
-        rounds = min(config.most_rounds, rounds + 20)
-    test = stash(model.score(featured.where("split = 'test'")).select("source", "target", "score", "label"))
-    return model, test
+    distinct = edges.select(F.col("source").alias("source_index"), F.col("target").alias("target_index")).distinct()
+    drawn = free_targets(stash(distinct), n_nodes).select(F.col("source_index").alias("source"), F.col("target_index").alias("target"))
+    negative = split_edges(drawn, config.test_share, config.validation_share).withColumn("weight", F.lit(1.0)).withColumn("label", F.lit(0.0))
+    pairs = positive.unionByName(negative.select("source", "target", "split", "weight", "label")).where((F.col("split") != "train") | apart)
+    share = F.lit(1.0)
+    if (learnt := stash(pairs)).where("split = 'train'").count() > config.most_pairs:
+        share = F.lit(config.most_pairs / learnt.where("split = 'train'").count())
+    kept = (F.col("split") != "train") | (F.pmod(pair_hash(F.col("source"), F.col("target"), "sample"), F.lit(1 << 28)) < share * (1 << 28))
+    types = graph.vertices.groupBy("id").agg(F.min("type").alias("type")).join(nodes, "id").select(F.col("node_index").alias("node"), "type")
+    featured, shape = pair_rows(learnt.where(kept), blocks, stash(types), n_ranks)
+    return Prepared(nodes, edges, stash(featured), shape, blocks)
+
+
+def pair_rows(pairs: DataFrame, blocks: Adjacency, types: DataFrame, n_relations: int, steps: int = 3) -> tuple[DataFrame, edgemodel.Shape]:
+    """``pairs`` with the columns of edgemodel.INPUTS, and the sizes of these."""
+    facts = stash(blocks.facts())
+    found, means = convolution.hops(blocks, convolution.first_states(types, facts), steps)
+    rows = stash(convolution.node_rows(found, means).join(facts.select("node", "degree"), "node"))
+    dense = steps * convolution.WIDTH
+    blank = convolution.empty_row(dense)
+    asked = stash(pairs)
+    for end, short in (("source", "s"), ("target", "t")):
+        own = rows.select(F.col("node").alias(end), F.col("degree").alias("_degree"), *[F.col(c).cast(convolution.NARROW[c]).alias(f"{short}_{c}") for c in blank])
+        asked = stash(join_facts(asked, own, end, "_degree").drop("_degree").select(*asked.columns, *[F.coalesce(f"{short}_{c}", v).alias(f"{short}_{c}") for c, v in blank.items()]))
+    ends = lambda s: facts.select(F.col("node").alias(s), F.col("peers").alias(f"{s}_peers"), F.col("degree").alias("_degree"))
+    both = asked.select("source", "target").distinct()
+    for end in ("source", "target"):
+        both = join_facts(stash(both), ends(end), end, "_degree").drop("_degree")
+    common = common_neighbours(stash(both), blocks, facts)
+    joined = asked.join(common, ["source", "target"], "left")
+    pair = F.array(F.log1p(F.coalesce("common", F.lit(0)).cast("double")), F.coalesce("weighted_common", F.lit(0.0)))
+    return joined.withColumn("pair", pair).drop("common", "weighted_common"), edgemodel.Shape(dense, 2 * n_relations, convolution.WIDTH + 1, 2)
+
+
+def train_links(graph: PropertyGraph, config: LinkPrediction | None = None, relations: bool = True) -> tuple[edgemodel.PairModel, DataFrame]:
+    """A model of links, and the scored pairs of the test split: source, target, score, label.
+
+    Training is full-batch over at most ``most_pairs`` pairs (more are thinned by a hash); validation and test score all
+    theirs. ``relations`` False trains without the relationships' own weights, for comparison.
+    """
+    config = config or LinkPrediction()
+    ready = prepare_pairs(graph, config)
+    learnt = ready.pairs.where("split = 'train'").persist()
+    validation = ready.pairs.where("split = 'validation'").persist()
+    check = lambda model: roc_auc(model.score(validation.drop("source", "target")).select("score", "label")).first()[0]
+    model, _ = edgemodel.train(learnt, ready.shape, check, config.most_rounds, config.check_every, config.target_auc, config.learning_rate, relations)
+    scored = stash(model.score(ready.pairs.where("split = 'test'")).select("source", "target", "score", "label"))
+    learnt.unpersist()
+    validation.unpersist()
+    ready.blocks.drop()
+    name = lambda c: ready.nodes.select(F.col("node_index").alias(c), F.col("id").alias(f"_{c}"))
+    named = scored.join(name("source"), "source").join(name("target"), "target")
+    return model, stash(named.select(F.col("_source").alias("source"), F.col("_target").alias("target"), "score", "label"))
 
 
 def result_table(scored: DataFrame, edges: DataFrame) -> DataFrame:
@@ -181,6 +266,17 @@ def result_table(scored: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(known, ["Source", "Target"], "left").withColumn("relationship", F.coalesce("relationship", F.lit("-")))
 
 
+def top_predictions(table: DataFrame, n: int = 100) -> DataFrame:
+    """The ``n`` best rows of ``result_table`` with ``place``, from 1: by score, then ends, existence and relationship."""
+    order = [F.desc("Score"), F.asc("Source"), F.asc("Target"), F.desc("Actual_Exist"), F.asc("relationship")]
+    return table.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # n rows
+
+
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    """Distinct ``pairs(source_index, target_index)`` with their ``place`` by source, then target, from 0."""
+    return numbered(pairs.select("source_index", "target_index").distinct(), "place", F.asc("source_index"), F.asc("target_index"))
+
+
 def weighted_loss(scored: DataFrame) -> DataFrame:
     """One row: the mean over rows (score, label, weight) of weight times the log loss."""
     p = F.least(F.greatest(F.col("score"), F.lit(1e-7)), F.lit(1 - 1e-7))

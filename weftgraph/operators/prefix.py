@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.session import stash
+
 #: Parts that one task of the first level sums.
 FAN = 1024
 
@@ -21,3 +23,14 @@ def starts_of(totals: DataFrame, part: str, *values: str) -> DataFrame:
     lower = sums.select("_group", *[F.coalesce(F.sum(v).over(before("_group")), F.lit(0)).alias(f"_{v}") for v in values])
     own = grouped.select(part, "_group", *[F.coalesce(F.sum(v).over(before("_group", part)), F.lit(0)).alias(v) for v in values])
     return own.join(lower, "_group").select(part, *[(F.col(v) + F.col(f"_{v}")).alias(v) for v in values])
+
+
+def numbered(rows: DataFrame, place: str, *order: Column) -> DataFrame:
+    """``rows`` with ``place``, from 0 in the order given, which must tell all rows apart.
+
+    Range partitions are counted and numbered within; no task sorts more than its range."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stash(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    starts = starts_of(ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")), "_part", "_n")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return ranged.withColumn("_own", own).join(starts, "_part").select(*rows.columns, (F.col("_n") + F.col("_own")).cast("long").alias(place))

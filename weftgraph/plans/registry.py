@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.lexicon import CONCEPTS, escaped
-from weftgraph.operators import algorithms, canonical, explore, graph, linkpred, prepare, resolve, statistics, triples, validate
+from weftgraph.operators import adjacency, algorithms, canonical, convolution, explore, graph, linkpred, prepare, resolve, statistics, triples, validate
 from weftgraph.plans import sql
 from weftgraph.session import shared_dir
 from weftgraph.sources import star, tables
@@ -582,16 +582,29 @@ def lp_endpoint_labels(spark, sf_dir):
     return linkpred.endpoint_labels(g.edges, g.vertices)
 
 
-@_register("lp_negatives", f"""WITH {sql.graph()}, {_LE}, {_INDEX}, pr AS (SELECT DISTINCT source, target FROM le), ty AS (SELECT source, target AS o, unnest(range(4)) AS k FROM pr), nn AS MATERIALIZED (SELECT count(*) AS n FROM ni),
-tt AS MATERIALIZED (SELECT source, o, k, {_HASH.format("source || '|' || o || '|' || k")} % n AS node_index FROM ty CROSS JOIN nn),
-cd AS (SELECT source, o, k, ni.id AS target FROM tt JOIN ni USING (node_index) WHERE source <> ni.id),
-fr AS (SELECT cd.* FROM cd ANTI JOIN pr ON cd.source = pr.source AND cd.target = pr.target)
-SELECT DISTINCT source, target FROM (SELECT *, row_number() OVER (PARTITION BY source, o ORDER BY k) AS r FROM fr) WHERE r = 1""")
+_PAIRS = "px AS MATERIALIZED (SELECT DISTINCT s.node_index AS s, t.node_index AS t FROM le JOIN ni s ON le.source = s.id JOIN ni t ON le.target = t.id)"
+
+
+@_register("lp_negatives", f"""WITH {sql.graph()}, {_LE}, {_INDEX}, {_PAIRS},
+tk AS (SELECT s, t FROM px UNION SELECT s, s FROM px),
+fa AS (SELECT s, d, n - e AS f, least(d, n - e) AS k FROM (SELECT s, count(*) AS d FROM px GROUP BY s) JOIN (SELECT s, count(*) AS e FROM tk GROUP BY s) USING (s) CROSS JOIN (SELECT count(*) AS n FROM ni)),
+st AS (SELECT s, f // k AS w, f % k AS m, unnest(range(k)) AS j FROM fa WHERE k > 0),
+dr AS (SELECT s, j * w + least(j, m) + CAST('0x' || substr(sha256(s || '|' || j), 1, 15) AS BIGINT) % (w + CAST(j < m AS BIGINT)) AS r, 1 AS drawn FROM st),
+mk AS (SELECT s, t - (row_number() OVER (PARTITION BY s ORDER BY t) - 1) AS r, 0 AS drawn FROM tk UNION ALL SELECT * FROM dr),
+ps AS (SELECT s, drawn, r + sum(1 - drawn) OVER (PARTITION BY s ORDER BY r, drawn ROWS UNBOUNDED PRECEDING) AS t FROM mk)
+SELECT a.id AS source, b.id AS target FROM ps JOIN ni a ON ps.s = a.node_index JOIN ni b ON ps.t = b.node_index WHERE drawn = 1""")
 def lp_negatives(spark, sf_dir):
     g = star.graph(spark, sf_dir)
     return linkpred.negative_pairs(linkpred.labelled_edges(g), linkpred.node_index(g))
 
 
+@_register("lp_ordered_pairs", f"WITH {sql.graph()}, {_LE}, {_INDEX}, {_PAIRS} SELECT s AS source_index, t AS target_index, row_number() OVER (ORDER BY s, t) - 1 AS place FROM px")
+def lp_ordered_pairs(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
+    at = lambda c: algorithms.stash(linkpred.node_index(g)).select(F.col("id").alias(c), F.col("node_index").alias(f"{c}_index"))
+    return linkpred.ordered_pairs(linkpred.labelled_edges(g).join(at("source"), "source").join(at("target"), "target"))
+
+
 @_register("lp_node_features", f"WITH {sql.graph()} SELECT id, CAST(type = 'chemical' AS INTEGER) AS is_chemical, CAST(type = 'protein' AS INTEGER) AS is_protein, CAST(type = 'reaction' AS INTEGER) AS is_reaction FROM vx")
 def lp_node_features(spark, sf_dir):
     return linkpred.node_features(star.graph(spark, sf_dir))
@@ -603,7 +616,55 @@ _RELS = ("AGENT_OF", "BINDS_TO", "TARGET_OF")
 @_register("lp_edge_features", f"WITH {sql.graph()} SELECT source_id, target_id, relationship, CAST(type = 'functional' AS INTEGER) AS is_functional, CAST(type = 'ontological' AS INTEGER) AS is_ontological, "
            + ", ".join(f"CAST(relationship = '{r}' AS INTEGER) AS rel_{r}" for r in _RELS) + " FROM ex")
 def lp_edge_features(spark, sf_dir):
-    return linkpred.edge_features(star.graph(spark, sf_dir).edges, list(_RELS))
+    return linkpred.edge_bits(star.graph(spark, sf_dir).edges, list(_RELS))
+
+
+_RANKS = "rk AS (SELECT relationship, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, relationship) - 1 AS rank FROM le GROUP BY relationship)"
+
+
+@_register("lp_relations", f"WITH {sql.graph()}, {_LE}, {_RANKS} SELECT * FROM rk")
+def lp_relations(spark, sf_dir):
+    return linkpred.relation_ranks(linkpred.labelled_edges(star.graph(spark, sf_dir)))
+
+
+@_register("lp_edge_vectors", f"""WITH {sql.graph()}, {_LE}, {_RANKS} SELECT source_id, target_id, relationship, (SELECT count(*) FROM rk) + 2 AS n_features,
+  CASE type WHEN 'functional' THEN '0' ELSE '1' END || ',' || (rank + 2) AS active FROM ex JOIN rk USING (relationship)""")
+def lp_edge_vectors(spark, sf_dir):
+    edges = star.graph(spark, sf_dir).edges
+    rows = linkpred.edge_features(algorithms.stash(edges), linkpred.relation_ranks(edges))
+    return rows.withColumn("active", F.array_join(F.transform("active", lambda x: x.cast("string")), ","))
+
+
+_S = ", ".join("avg({0}%d) AS {1}%d" % (k, k) for k in range(convolution.WIDTH))
+#: Training edges as heard by a from b, and three rounds of relation means.
+_HEARD = f"""{sql.graph()}, {_LE}, {_SPLIT}, {_RANKS}, tn AS MATERIALIZED (SELECT source, target, rank FROM sp JOIN rk USING (relationship) WHERE split = 'train'),
+bo AS MATERIALIZED (SELECT source AS b, target AS a, 2 * rank AS code FROM tn UNION ALL SELECT target, source, 2 * rank + 1 FROM tn),
+x0 AS MATERIALIZED (SELECT b AS id, CAST(any_value(type) = 'chemical' AS DOUBLE) AS s0, CAST(any_value(type) = 'protein' AS DOUBLE) AS s1, CAST(any_value(type) = 'reaction' AS DOUBLE) AS s2,
+  ln(1.0 + count(*) FILTER (code % 2 = 1)) AS s3, ln(1.0 + count(*) FILTER (code % 2 = 0)) AS s4 FROM bo JOIN vx ON vx.id = b GROUP BY b)""" + "".join(
+    f""", m{k} AS MATERIALIZED (SELECT a AS id, code, count(*) AS n, {_S.format('s', 'm')} FROM bo JOIN x{k - 1} ON x{k - 1}.id = b GROUP BY a, code),
+x{k} AS MATERIALIZED (SELECT id, {_S.format('m', 's')} FROM m{k} GROUP BY id)""" for k in (1, 2, 3))
+
+
+def _heard(spark, sf_dir, steps):
+    g = star.graph(spark, sf_dir)
+    edges = linkpred.split_edges(linkpred.labelled_edges(g))
+    ranked = edges.join(algorithms.stash(linkpred.relation_ranks(linkpred.labelled_edges(g))), "relationship").where("split = 'train'")
+    blocks = adjacency.build(algorithms.stash(ranked.select("source", "target", F.col("rank").alias("relation"))))
+    types = g.vertices.select(F.col("id").alias("node"), "type")
+    return convolution.hops(blocks, convolution.first_states(types, blocks.facts()), steps)
+
+
+@_register("lp_relation_means", f"WITH {_HEARD} SELECT id, code, n, {', '.join(f'round(m{k}, 6) AS m{k}' for k in range(convolution.WIDTH))} FROM m3")
+def lp_relation_means(spark, sf_dir):
+    means = _heard(spark, sf_dir, 3)[1]
+    return means.select(F.col("node").alias("id"), "code", "n", *[F.round(F.col("mean")[k], 6).alias(f"m{k}") for k in range(convolution.WIDTH)])
+
+
+@_register("lp_convolved_states", f"WITH {_HEARD} SELECT id, " + ", ".join(f"round(coalesce(x{r}.s{k}, 0), 6) AS x{r}_{k}" for r in range(3) for k in range(convolution.WIDTH)) + " FROM x0 LEFT JOIN x1 USING (id) LEFT JOIN x2 USING (id)")
+def lp_convolved_states(spark, sf_dir):
+    found, means = _heard(spark, sf_dir, 3)
+    rows = convolution.node_rows(found, means)
+    return rows.select(F.col("node").alias("id"), *[F.round(F.col("dense")[r * convolution.WIDTH + k], 6).alias(f"x{r}_{k}") for r in range(3) for k in range(convolution.WIDTH)])
 
 
 @_register("lp_topology_features", f"""WITH {sql.graph()}, {_LE}, {_SPLIT}, tn AS (SELECT source AS a, target AS b, relationship FROM sp WHERE split = 'train'), bo AS (SELECT * FROM tn UNION ALL SELECT b, a, relationship FROM tn),
@@ -614,7 +675,9 @@ FROM pr LEFT JOIN de s ON pr.source = s.a LEFT JOIN de t ON pr.target = t.a LEFT
 def lp_topology_features(spark, sf_dir):
     g = star.graph(spark, sf_dir)
     split = algorithms.stash(linkpred.split_edges(linkpred.labelled_edges(g)))
-    rows = linkpred.topology_features(split.where("split <> 'train'").select("source", "target").distinct(), split.where("split = 'train'"), g)
+    ranked = split.where("split = 'train'").join(algorithms.stash(linkpred.relation_ranks(split)), "relationship")
+    blocks = adjacency.build(algorithms.stash(ranked.select("source", "target", F.col("rank").alias("relation"))))
+    rows = linkpred.topology_features(split.where("split <> 'train'").select("source", "target").distinct(), blocks, g.vertices.select(F.col("id").alias("node"), "type"))
     return rows.select("source", "target", "source_degree", "target_degree", "source_kinds", "target_kinds", "common", F.round("weighted_common", 6).alias("weighted_common"))
 
 
@@ -657,6 +720,33 @@ def prediction_table(spark, sf_dir):
     return explore.prediction_table(rows, 0.05).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The test edges and as many pairs turned round, with scores by their hash.
+_FIXED = f"""fx AS (SELECT source, target, {_HASH.format("'score|' || source || '|' || target")} % 1000 / 997.0 AS score, label FROM (
+  SELECT DISTINCT source, target, 1 AS label FROM sp WHERE split = 'test' UNION ALL
+  SELECT DISTINCT target, source, 0 FROM sp WHERE split = 'test' AND type = 'functional')),
+tb AS (SELECT fx.source AS Source, fx.target AS Target, round(score, 6) AS Score, CASE WHEN label > 0 THEN 'YES' ELSE 'NO' END AS Actual_Exist, coalesce(relationship, '-') AS relationship
+  FROM fx LEFT JOIN ex ON fx.source = source_id AND fx.target = target_id)"""
+
+
+def _fixed_table(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
+    test = algorithms.stash(linkpred.split_edges(linkpred.labelled_edges(g)).where("split = 'test'"))
+    turned = test.where("type = 'functional'").select(F.col("target").alias("source"), F.col("source").alias("target"))
+    pairs = test.select("source", "target").distinct().withColumn("label", F.lit(1)).unionByName(turned.distinct().withColumn("label", F.lit(0)))
+    scored = pairs.withColumn("score", linkpred.pair_hash(F.col("source"), F.col("target"), "score") % 1000 / F.lit(997.0))
+    return linkpred.result_table(scored, g.edges)
+
+
+@_register("lp_result_table", f"WITH {sql.graph()}, {_LE}, {_SPLIT}, {_FIXED} SELECT * FROM tb")
+def lp_result_table(spark, sf_dir):
+    return _fixed_table(spark, sf_dir)
+
+
+@_register("lp_top_predictions", f"WITH {sql.graph()}, {_LE}, {_SPLIT}, {_FIXED} SELECT *, CAST(row_number() OVER (ORDER BY Score DESC, Source, Target, Actual_Exist DESC, relationship) AS INTEGER) AS place FROM tb QUALIFY place <= 100")
+def lp_top_predictions(spark, sf_dir):
+    return linkpred.top_predictions(_fixed_table(spark, sf_dir))
+
+
 @_register("lp_predictions")
 def lp_predictions(spark, sf_dir):
     g = star.graph(spark, sf_dir)
