@@ -56,10 +56,14 @@ def split_edges(edges: DataFrame, test_share: float = 0.1, validation_share: flo
     """``edges(source, target, ...)`` with ``split``: test, validation (a share of the rest) or train, by the pair's hash.
 
     Parallel edges fall together, so no pair is in two splits."""
+    return edges.withColumn("split", split_of(F.pmod(pair_hash(F.col("source"), F.col("target")), F.lit(PARTS)), test_share, validation_share))
+
+
+def split_of(place: Column, test_share: float, validation_share: float) -> Column:
+    """The split of a pair by its place among PARTS."""
     test = round(test_share * PARTS)
     validation = test + round(validation_share * (PARTS - test))
-    place = F.pmod(pair_hash(F.col("source"), F.col("target")), F.lit(PARTS))
-    return edges.withColumn("split", F.when(place < test, "test").when(place < validation, "validation").otherwise("train"))
+    return F.when(place < test, "test").when(place < validation, "validation").otherwise("train")
 
 
 def split_counts(split: DataFrame) -> DataFrame:
@@ -191,29 +195,28 @@ def prepare_pairs(graph: PropertyGraph, config: LinkPrediction) -> Prepared:
     from, and only the others are in the graph that features come from. So a positive's own edge is never among its
     features, in training as in testing. Positives are distinct pairs, weighed by their kind; each has one negative.
     """
-    edges = labelled_edges(graph, config.exclude_ontological)
-    nodes = stash(node_index(graph))
-    ranks = stash(relation_ranks(edges))
+    nodes = stash(numbered(graph.vertices.groupBy("id").agg(F.min("type").alias("type")), "node_index", F.asc("id")))
+    chosen = graph.only("functional").edges if config.exclude_ontological else graph.edges
+    raw = chosen.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "relationship", "type")
     at = lambda c: nodes.select(F.col("id").alias(c), F.col("node_index").alias(f"{c}_index"))
-    split = split_edges(edges, config.test_share, config.validation_share)
-    numbered_ = join_facts(stash(split), ranks, "relationship", "n", "inner").join(at("source"), "source").join(at("target"), "target")
-    edges = stash(numbered_.select(F.col("source_index").alias("source"), F.col("target_index").alias("target"), F.col("rank").alias("relation"), "type", "split"))
+    split = stash(split_edges(raw, config.test_share, config.validation_share).join(at("source"), "source").join(at("target"), "target").select("source_index", "target_index", "relationship", "type", "split"))
+    ranks = stash(relation_ranks(split))
+    edges = stash(join_facts(split, ranks, "relationship", "n", "inner").select(F.col("source_index").alias("source"), F.col("target_index").alias("target"), F.col("rank").alias("relation"), "type", "split"))
     n_nodes, n_ranks = nodes.count(), ranks.count()
-    apart = F.pmod(pair_hash(F.col("source"), F.col("target"), "supervision"), F.lit(PARTS)) < round(config.supervision_share * PARTS)
+    chance = lambda salt: F.pmod(F.xxhash64("source", "target", F.lit(salt)), F.lit(PARTS))
+    apart = chance("supervision") < round(config.supervision_share * PARTS)
     blocks = adjacency.build(edges.where((F.col("split") == "train") & ~apart))
 
     weight = F.when(F.max(F.col("type") == "functional"), 1.0).otherwise(config.ontological_weight)
-    positive = edges.groupBy("source", "target", "split").agg(weight.alias("weight")).withColumn("label", F.lit(1.0))
-    distinct = edges.select(F.col("source").alias("source_index"), F.col("target").alias("target_index")).distinct()
-    drawn = free_targets(stash(distinct), n_nodes).select(F.col("source_index").alias("source"), F.col("target_index").alias("target"))
-    negative = split_edges(drawn, config.test_share, config.validation_share).withColumn("weight", F.lit(1.0)).withColumn("label", F.lit(0.0))
-    pairs = positive.unionByName(negative.select("source", "target", "split", "weight", "label")).where((F.col("split") != "train") | apart)
-    share = F.lit(1.0)
-    if (learnt := stash(pairs)).where("split = 'train'").count() > config.most_pairs:
-        share = F.lit(config.most_pairs / learnt.where("split = 'train'").count())
-    kept = (F.col("split") != "train") | (F.pmod(pair_hash(F.col("source"), F.col("target"), "sample"), F.lit(1 << 28)) < share * (1 << 28))
-    types = graph.vertices.groupBy("id").agg(F.min("type").alias("type")).join(nodes, "id").select(F.col("node_index").alias("node"), "type")
-    featured, shape = pair_rows(learnt.where(kept), blocks, stash(types), n_ranks)
+    positive = stash(edges.groupBy("source", "target", "split").agg(weight.alias("weight")).withColumn("label", F.lit(1.0)))
+    taken = positive.select(F.col("source").alias("source_index"), F.col("target").alias("target_index"))
+    drawn = free_targets(taken, n_nodes).select(F.col("source_index").alias("source"), F.col("target_index").alias("target"))
+    negative = drawn.withColumn("split", split_of(chance("split"), config.test_share, config.validation_share)).withColumn("weight", F.lit(1.0)).withColumn("label", F.lit(0.0))
+    pairs = stash(positive.unionByName(negative.select("source", "target", "split", "weight", "label")).where((F.col("split") != "train") | apart))
+    there = pairs.agg(F.count_if(F.col("split") == "train")).first()[0]
+    kept = (F.col("split") != "train") | (chance("sample") < config.most_pairs / max(1, there) * PARTS)
+    types = nodes.select(F.col("node_index").alias("node"), "type")
+    featured, shape = pair_rows(pairs.where(kept), blocks, types, n_ranks)
     return Prepared(nodes, edges, stash(featured), shape, blocks)
 
 
@@ -224,18 +227,18 @@ def pair_rows(pairs: DataFrame, blocks: Adjacency, types: DataFrame, n_relations
     rows = stash(convolution.node_rows(found, means).join(facts.select("node", "degree"), "node"))
     dense = steps * convolution.WIDTH
     blank = convolution.empty_row(dense)
-    asked = stash(pairs)
-    for end, short in (("source", "s"), ("target", "t")):
-        own = rows.select(F.col("node").alias(end), F.col("degree").alias("_degree"), *[F.col(c).cast(convolution.NARROW[c]).alias(f"{short}_{c}") for c in blank])
-        asked = stash(join_facts(asked, own, end, "_degree").drop("_degree").select(*asked.columns, *[F.coalesce(f"{short}_{c}", v).alias(f"{short}_{c}") for c, v in blank.items()]))
-    ends = lambda s: facts.select(F.col("node").alias(s), F.col("peers").alias(f"{s}_peers"), F.col("degree").alias("_degree"))
-    both = asked.select("source", "target").distinct()
+    narrow = pairs.select("source", "target").distinct()
     for end in ("source", "target"):
-        both = join_facts(stash(both), ends(end), end, "_degree").drop("_degree")
-    common = common_neighbours(stash(both), blocks, facts)
-    joined = asked.join(common, ["source", "target"], "left")
+        peers = facts.select(F.col("node").alias(end), F.col("peers").alias(f"{end}_peers"), F.col("degree").alias("_degree"))
+        narrow = stash(join_facts(narrow, peers, end, "_degree").drop("_degree"))
+    common = common_neighbours(narrow, blocks, facts)
     pair = F.array(F.log1p(F.coalesce("common", F.lit(0)).cast("double")), F.coalesce("weighted_common", F.lit(0.0)))
-    return joined.withColumn("pair", pair).drop("common", "weighted_common"), edgemodel.Shape(dense, 2 * n_relations, convolution.WIDTH + 1, 2)
+    asked = pairs.join(common, ["source", "target"], "left").select(*pairs.columns, pair.alias("pair"))
+    for end, short in (("source", "s"), ("target", "t")):
+        asked = stash(asked)
+        own = rows.select(F.col("node").alias(end), F.col("degree").alias("_degree"), *[F.col(c).cast(convolution.NARROW[c]).alias(f"{short}_{c}") for c in blank])
+        asked = join_facts(asked, own, end, "_degree").select(*asked.columns, *[F.coalesce(f"{short}_{c}", v).alias(f"{short}_{c}") for c, v in blank.items()])
+    return asked, edgemodel.Shape(dense, 2 * n_relations, convolution.WIDTH + 1, 2)
 
 
 def train_links(graph: PropertyGraph, config: LinkPrediction | None = None, relations: bool = True) -> tuple[edgemodel.PairModel, DataFrame]:
