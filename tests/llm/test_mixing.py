@@ -31,10 +31,11 @@ def test_matches_brute_force(spark):
     assert plain.columns == table.columns and plain.count() == got.count() and plain.first()["copy"] == 1
     counts = Counter(s for _, s in rows)
     weights = {s: math.sqrt(n) for s, n in counts.items()}
-    want = Counter()
+    want, places = Counter(), Counter()
     for d, s in rows:
         rate = len(rows) * (weights[s] / sum(weights.values())) / counts[s]
-        name = "" if d is None else str(d)
+        name = f"{'' if d is None else d}:{hashlib.md5(f'text {d}'.encode()).hexdigest()}:{places[d, s]}"
+        places[d, s] += 1
         for c in range(poisson(rate, uniform(f"0:u:{name}") / 2**52)):
             want[d, s, c, uniform(f"0:k:{name}:{c}")] += 1
     found = got.collect()
@@ -61,6 +62,21 @@ def test_inversion(spark):
         assert r["k"] == poisson(r["rate"], r["u"])
 
 
+def test_rows_of_one_id_and_equal_rows_draw_numbers_of_their_own(spark, monkeypatch):
+    """A third of the rows have no id, a third are equal: their copies are spread over all partitions, in Poisson numbers."""
+    monkeypatch.setattr(mixing, "BLOCK", 100)
+    rows = [(i, f"text {i}", "a") for i in range(2000)] + [(None, f"other {i}", "a") for i in range(2000)] + [(7, "same", "a")] * 2000
+    got = replicate(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for part in ("doc_id is null", "text = 'same'"):
+        own = got.where(part)
+        by_part = [r["count"] for r in own.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(by_part) == 4 and max(by_part) < 1.3 * min(by_part)
+        assert abs(own.count() - 2000) < 200
+        drawn = Counter(r["n_copies"] for r in own.where("copy = 0").collect())
+        assert abs(drawn[1] - 2000 * math.exp(-1)) < 120 and abs(drawn[2] - 1000 * math.exp(-1)) < 90
+        assert own.select("mix_key").distinct().count() == own.count()
+
+
 def test_query_mixes_whole_documents(spark, monkeypatch):
     """A cold source is replicated at a rate over 1: each of its long texts is written once for each copy."""
     rows = [(i, "hot" if i % 20 else "cold", f"text {i} " * (1 if i % 20 else 3000)) for i in range(400)]

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.bitmaps import split
 from weftgraph.operators.skew import join_facts
 from weftgraph.session import stash
 
+#: Copies of one equal row that one task makes.
+BLOCK = 1000
 #: Bits of the uniform number; a Poisson tail below 2 ** -52 can't be drawn.
 UNIFORM_BITS = 52
 
@@ -72,20 +75,40 @@ def poisson_copies(sums, uniform):
     return copies
 
 
-def _mixed(documents: DataFrame, by: str, weights: dict[str, float] | None, alpha: float, total: int | None, seed: int, id_column: str, most_rate: float) -> DataFrame:
+def _told_apart(packed: DataFrame) -> DataFrame:
+    """``packed`` with ``_mx_seed``: the row's name (id and digest of the text) and its place among rows that are equal
+    in every column, so that each draws a number of its own.
+
+    A narrow count finds names that come twice; only their rows are shuffled, equal ones combined to one and a number
+    before the shuffle, and made many again in blocks of BLOCK, so a row with a third of the table is no one task's."""
+    seeded = lambda rows, place: rows.withColumn("_mx_seed", F.concat("_mx_name", F.lit(":"), place.cast("string")))
+    twice = stash(packed.groupBy(F.xxhash64("_mx_name").alias("_mx_h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_mx_h"))
+    those, alone = split(packed, F.xxhash64("_mx_name"), twice)
+    columns = [F.first(c).alias(c) for c in packed.columns if c != "_mx_name"]
+    equal = those.groupBy("_mx_name", F.sha2(F.to_json("_mx_doc").cast("binary"), 256).alias("_mx_same")).agg(*columns, F.count(F.lit(1)).alias("_mx_many"))
+    blocks = equal.withColumn("_mx_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_mx_many") - 1) / BLOCK))))
+    parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks.repartition(parts, "_mx_name", "_mx_same", "_mx_block")
+    place = F.explode(F.sequence(F.col("_mx_block") * BLOCK, F.least(F.col("_mx_many"), (F.col("_mx_block") + 1) * BLOCK) - 1))
+    many = seeded(dealt.withColumn("_mx_place", place), F.col("_mx_place")).select(*packed.columns, "_mx_seed")
+    return seeded(alone, F.lit(0)).unionByName(many)
+
+
+def _mixed(documents: DataFrame, by: str, weights: dict[str, float] | None, alpha: float, total: int | None, seed: int, id_column: str, most_rate: float, text_column: str = "text") -> DataFrame:
     """_mx_doc (a document's columns in one, so that none can clash), _mx_copies, _mx_copy, _mx_order, _mx_rate.
 
     What a source's documents draw from, the sums, is made once for each source."""
     rates = target_rates(documents, by, weights, alpha, total)
     sure = F.floor(F.greatest(F.col("_mx_rate") - F.lit(most_rate), F.lit(0.0)))
     rates = rates.withColumn("_mx_sure", sure).withColumn("_mx_sums", poisson_sums(F.col("_mx_rate") - F.col("_mx_sure")))
-    named = F.coalesce(F.col("_mx_id").cast("string"), F.lit(""))
-    uniform = _digits(F.concat(F.lit(f"{seed}:u:"), named)) / F.lit(float(2**UNIFORM_BITS))
-    packed = documents.select(F.expr("struct(*)").alias("_mx_doc"), F.col(id_column).alias("_mx_id"), _key(by).alias("_mx_key"))
-    rated = join_facts(packed, stash(rates), "_mx_key", "_mx_n", "inner").withColumn("_mx_u", uniform)
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit("")) if text_column in documents.columns else F.lit("")
+    name = F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit(":"), F.md5(text.cast("binary")))
+    packed = documents.select(F.expr("struct(*)").alias("_mx_doc"), F.col(id_column).alias("_mx_id"), _key(by).alias("_mx_key"), name.alias("_mx_name"))
+    uniform = _digits(F.concat(F.lit(f"{seed}:u:"), F.col("_mx_seed"))) / F.lit(float(2**UNIFORM_BITS))
+    rated = join_facts(_told_apart(packed), stash(rates), "_mx_key", "_mx_n", "inner").withColumn("_mx_u", uniform)
     drawn = rated.withColumn("_mx_copies", F.col("_mx_sure").cast("int") + poisson_copies(F.col("_mx_sums"), F.col("_mx_u"))).drop("_mx_sums")
     copies = drawn.where("_mx_copies > 0").withColumn("_mx_copy", F.explode_outer(F.sequence(F.lit(0), F.col("_mx_copies") - 1)))
-    keyed = copies.withColumn("_mx_order", _digits(F.concat(F.lit(f"{seed}:k:"), named, F.lit(":"), F.col("_mx_copy").cast("string"))))
+    keyed = copies.withColumn("_mx_order", _digits(F.concat(F.lit(f"{seed}:k:"), F.col("_mx_seed"), F.lit(":"), F.col("_mx_copy").cast("string"))))
     return _dealt(keyed, "_mx_order").sortWithinPartitions("_mx_order", "_mx_id", "_mx_copy")
 
 
@@ -99,11 +122,12 @@ def _dealt(rows: DataFrame, key: str) -> DataFrame:
 def replicate(documents: DataFrame, by: str = "source", weights: dict[str, float] | None = None, alpha: float = 0.5, total: int | None = None, seed: int = 0, id_column: str = "doc_id", most_rate: float = 500.0) -> DataFrame:
     """Each document as often as a Poisson number with its source's rate says, in one global random order.
 
-    The number is drawn by inverting the distribution at a uniform number from md5(seed, id), so it depends on nothing
-    but the seed, the id and the rate; documents with the same id (repeated rows, null ids among them) draw the same
-    number. A rate over ``most_rate`` is split: floor(rate - most_rate) sure copies and a Poisson number for the rest.
-    Copies are ordered by ``mix_key``, a 52-bit hash of seed, id and copy number, and dealt out by its ranges, which
-    are even whatever the sources are; the id and then the copy number break ties.
+    The number is drawn by inverting the distribution at a uniform number from md5(seed, id, text, place), so it depends
+    on nothing but the seed, the row and the rate: documents with one id (or none) but other texts draw numbers of their
+    own, and so do rows that are equal in every column, by their place among these. A rate over ``most_rate`` is split:
+    floor(rate - most_rate) sure copies and a Poisson number for the rest. Copies are ordered by ``mix_key``, a 52-bit
+    hash of the same and the copy number, and dealt out by its ranges, which are even whatever sources, ids and texts
+    are; the id and then the copy number break ties. Tables without a column ``text`` go by their ids.
 
     Returns the columns of ``documents`` and n_copies, copy (from 0), mix_key, rate, which replace columns of these
     names. Sources may hold any share of the rows: the hot ones' rates are broadcast (at most 1000 rows), the others'
@@ -142,16 +166,16 @@ WITH RECURSIVE counts AS (
   SELECT source, rate, k + 1, term * rate / (k + 1), below + term * rate / (k + 1) FROM cdf
   WHERE k < ceil(rate + 12 * sqrt(rate) + 30)
 ), drawn AS (
-  SELECT d.doc_id, d.source,
-    CAST('0x' || substr(md5('0:u:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
-  FROM documents d
+  SELECT doc_id, source, seed, CAST('0x' || substr(md5('0:u:' || seed), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
+  FROM (SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) || ':' ||
+    (row_number() OVER (PARTITION BY doc_id, text, lang, source, n_chars) - 1) AS seed FROM documents)
 ), numbered AS (
-  SELECT d.doc_id, d.source, r.rate,
+  SELECT d.doc_id, d.source, d.seed, r.rate,
     (SELECT count(*) FROM cdf c WHERE c.source IS NOT DISTINCT FROM d.source AND c.below <= d.u) AS n_copies
   FROM drawn d JOIN rates r ON r.source IS NOT DISTINCT FROM d.source
 )
 SELECT doc_id, source, CAST(n_copies AS INTEGER) AS n_copies, CAST(copy AS INTEGER) AS copy,
-  CAST('0x' || substr(md5('0:k:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(copy AS VARCHAR)), 1, 13) AS BIGINT) AS mix_key,
+  CAST('0x' || substr(md5('0:k:' || seed || ':' || CAST(copy AS VARCHAR)), 1, 13) AS BIGINT) AS mix_key,
   round(rate, 6) AS rate
 FROM (SELECT *, unnest(range(n_copies)) AS copy FROM numbered WHERE n_copies > 0)
 """
