@@ -85,3 +85,39 @@ def test_many_languages_are_bounded(spark, prose, monkeypatch):
 def test_nothing_to_learn_and_empty(odd):
     assert {r["lang_pred"] for r in langid.identify(odd.where("lang is null")).collect()} == {"und"}
     assert langid.identify(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("doc_id", [None, 3, 7])
+def test_ids_that_tell_nothing_apart(spark, doc_id):
+    """All ids null or equal: the languages are learned all the same, and one row that is a third of the table takes no place."""
+    documents = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("cast(null as bigint) doc_id" if doc_id is None else f"{doc_id}L doc_id", "text", "lang")
+    more = documents.limit(1).crossJoin(spark.range(500)).drop("id")
+    model = langid.train(documents.unionByName(more))
+    assert set(model.languages) == {r["lang"] for r in documents.select("lang").distinct().collect()}
+    got = langid.identify(documents.withColumn("truth", documents["lang"]), model)
+    assert got.where("lang_pred = 'und'").count() < 20
+
+
+def test_letters_in_no_language_go_by_their_score(spark):
+    """They have letters and n-grams that landmarks know, and are rejected by the kernel's score alone."""
+    from weftgraph.llm.langid import KernelModel
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model: KernelModel = langid.train(docs)
+    strange = "asdkjh qweoiu zxmcnb poiqwe lkjhg mnbvc trewq"
+    score, known = model.judge([strange])
+    assert known[0] >= model.least and score.max() < model.least_score
+    both = docs.unionByName(spark.createDataFrame([(10**9, strange, None)], docs.schema))
+    kept = {r["doc_id"] for r in langid.keep_identified(both).collect()}
+    assert 10**9 not in kept
+    every = {r["doc_id"] for r in docs.collect() if r["text"] and any(c.isalpha() for c in r["text"])}
+    assert len(every - kept) <= 0.002 * len(every)
+
+
+def test_pieces_of_a_long_text_add_up(monkeypatch):
+    model = langid.fit(["the cat and the dog", "der hund und die katze"], ["en", "de"], landmarks=2)
+    texts = ["a dog and a cat " * 30, "", "katze"]
+    whole = model.judge(texts)
+    monkeypatch.setattr(langid, "HITS", 3)
+    for a, b in zip(whole, model.judge(texts), strict=True):
+        assert abs(a - b).max() < 1e-12

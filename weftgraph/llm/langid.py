@@ -18,9 +18,12 @@ SPECTRUM, RIDGE = 3, 1e-3
 #: What bounds the sample that the driver fits on: training texts and landmarks for each language and in all, the shortest
 #: and longest training text in characters, and languages (those with the most such texts).
 PER_LANGUAGE, LANDMARKS, MOST_TEXTS, MOST_LANDMARKS, LEAST_CHARS, MOST_CHARS, MOST_LANGUAGES = 300, 60, 12_000, 1200, 20, 20_000, 200
-#: A text is in no learned language if landmarks have less of its n-grams than this part of what they have of any training text.
-SLACK = 0.5
+#: A text is in no learned language if landmarks have less of its n-grams than this part of what they have of any training
+#: text, or if its best score is lower by more than the second number than that of any training text.
+SLACK, SCORE_SLACK = 0.5, 0.1
 _BITS = 21  # of a code point
+#: n-grams of a text whose weights are summed at a time.
+HITS = 20_000
 
 
 def spectrum(text: str) -> list[np.ndarray]:
@@ -47,13 +50,14 @@ class KernelModel:
     The kernel is the mean over n of |G_n(x) & G_n(z)| / sqrt(|G_n(x)| |G_n(z)|). With presence rows P, the landmarks'
     scaled presence B and the ridge weights W, scores are (P B) W = P (B W); B W is held, so a batch of texts costs one
     product of its sparse P with the dense B W, and no landmark is looked at again. ``least`` is the share of a text's
-    n-grams that landmarks must have for any language to be told.
+    n-grams that landmarks must have, and ``least_score`` the score that one language must have, for any to be told.
     """
 
     languages: list[str]
     grams: list[np.ndarray]
     weights: list[np.ndarray]
     least: float = field(default=0.0)
+    least_score: float = field(default=-np.inf)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return self.judge(texts)[0]
@@ -73,10 +77,12 @@ class KernelModel:
             ends = np.cumsum(hit)[np.cumsum(sizes)[sizes > 0] - 1]  # of each row's hits
             starts = np.r_[0, ends[:-1]]
             known[sizes > 0] += ends - starts
-            some = np.flatnonzero(sizes)[ends > starts]
-            if len(some):
-                scale = 1 / (SPECTRUM * np.sqrt(sizes[some]))
-                out[some] += np.add.reduceat(weights[at[hit]], starts[ends > starts], axis=0) * scale[:, None]
+            scale = 1 / (SPECTRUM * np.sqrt(np.maximum(1, sizes)))
+            found = at[hit]
+            # rows in runs of HITS hits at most (or one row): what is summed at a time is bounded, whatever the texts
+            for row, (first, last) in zip(np.flatnonzero(sizes), zip(starts, ends, strict=True), strict=True):
+                for piece in range(first, last, HITS):
+                    out[row] += weights[found[piece : min(last, piece + HITS)]].sum(axis=0) * scale[row]
         return out, known / np.maximum(of, 1)
 
 
@@ -116,27 +122,32 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
 
 
 def remainder(id_column: str, by: int) -> Column:
-    """crc32 of the id as text (null: no bytes), modulo ``by``."""
-    return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % by
+    """crc32 of the id as text, modulo ``by``; a row without an id has none, which is -1 here and held out of nothing."""
+    return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % by, F.lit(-1))
 
 
 def train(documents: DataFrame, per_language: int = PER_LANGUAGE, most_chars: int = MOST_CHARS) -> KernelModel:
-    """Fits on at most ``per_language`` texts of each language, those with the smallest hashes among rows whose
-    remainder by 5 is not 0 and whose text has LEAST_CHARS to ``most_chars`` characters.
+    """Fits on at most ``per_language`` different texts of each language, those with the smallest hashes of id and text
+    among rows whose remainder by 5 is not 0 and whose text has LEAST_CHARS to ``most_chars`` characters. Ids may be
+    null or all the same: a language with such rows always has texts.
 
     With many languages each has fewer texts, MOST_TEXTS in all; of more than MOST_LANGUAGES those with the most rows
     are learned, so what the driver holds is bounded whatever ``lang`` holds. ``least`` is SLACK times the smallest share
-    of known n-grams that one of these texts has."""
+    of known n-grams that one of these texts has, ``least_score`` is SCORE_SLACK under the lowest best score."""
     rows = documents.where((remainder("doc_id", 5) != 0) & F.col("lang").isNotNull() & F.length("text").between(LEAST_CHARS, most_chars))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    # shares are of different rows: a third of the table that is one row counts as one
+    different = F.approx_count_distinct(F.xxhash64("doc_id", "text"), 0.02).alias("n")
+    tallies = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), different).orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in tallies.collect()}
     if not counts:
         return KernelModel([], [np.empty(0, "int64")] * SPECTRUM, [np.zeros((0, 0))] * SPECTRUM)
     per_language = min(per_language, MOST_TEXTS // len(counts))
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(2**30)) / F.lit(float(2**30))
+    unit = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**30)) / F.lit(float(2**30))
     share = F.lit(0.0)
     for language, n in counts.items():
-        share = F.when(F.col("lang") == language, F.lit(min(1.0, (1.3 * per_language + 20) / n))).otherwise(share)
-    picked = rows.where(unit < share).select("lang", "text", unit.alias("u"), F.xxhash64("text").alias("h")).orderBy("u", "h").limit(2 * (per_language + 20) * len(counts)).collect()
+        share = F.when(F.col("lang") == language, F.lit(min(1.0, (1.5 * per_language + 30) / max(1, n)))).otherwise(share)
+    few = rows.where(unit < share).select("lang", "text", unit.alias("u"), F.xxhash64("text").alias("h")).dropDuplicates(["lang", "h"])
+    picked = few.orderBy("u", "h").limit(2 * (per_language + 30) * len(counts)).collect()
     seen: dict[str, int] = {}
     kept = []
     for r in picked:
@@ -145,8 +156,10 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE, most_chars: in
             kept.append(r)
     texts = [r["text"] for r in kept]
     model = fit(texts, [r["lang"] for r in kept], max(1, min(LANDMARKS, MOST_LANDMARKS // len(counts))))
-    shares = np.concatenate([model.judge(texts[i : i + AT_ONCE])[1] for i in range(0, len(texts), AT_ONCE)]) if texts else np.zeros(1)
-    model.least = SLACK * float(shares.min())
+    judged = [model.judge(texts[i : i + AT_ONCE]) for i in range(0, len(texts), AT_ONCE)]
+    if judged:
+        model.least = SLACK * float(min(known.min() for _, known in judged))
+        model.least_score = float(min(score.max(axis=1).min() for score, _ in judged)) - SCORE_SLACK
     return model
 
 
@@ -154,16 +167,17 @@ def _has_letter(text: str | None) -> bool:
     return text is not None and any(c.isalpha() for c in text)
 
 
-def _judged(model: KernelModel, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text the best language (``und`` without a letter or a model), its score from 0 to 1, and the known share."""
-    pred, score, known = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts))
+def _judged(model: KernelModel, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the best language (``und`` without a letter or a model), its score from 0 to 1, the known share, and
+    the regression value of the best language."""
+    pred, score, known, raw = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts)), np.full(len(texts), -np.inf)
     at = np.array([k for k, t in enumerate(texts) if _has_letter(t)], "int64")
     if model.languages and len(at):
         f, share = model.judge([texts[k] for k in at])
         best = f.argmax(axis=1)
-        pred[at], known[at] = np.array(model.languages, object)[best], share
-        score[at] = np.clip((f[np.arange(len(at)), best] + 1) / 2, 0, 1)
-    return pred, score, known
+        pred[at], known[at], raw[at] = np.array(model.languages, object)[best], share, f[np.arange(len(at)), best]
+        score[at] = np.clip((raw[at] + 1) / 2, 0, 1)
+    return pred, score, known, raw
 
 
 def identify(documents: DataFrame, model: KernelModel | None = None) -> DataFrame:
@@ -178,7 +192,7 @@ def identify(documents: DataFrame, model: KernelModel | None = None) -> DataFram
 
     def made() -> Callable:
         def convert(texts: list) -> pa.Array:
-            pred, score, _ = _judged(model, texts)
+            pred, score, _, _ = _judged(model, texts)
             return structs(lang_pred=pa.array(pred, pa.string()), score=pa.array(score, pa.float64()))
 
         return convert
@@ -190,9 +204,11 @@ def identify(documents: DataFrame, model: KernelModel | None = None) -> DataFram
 def keep_identified(documents: DataFrame, languages: list[str] | None = None, least: float | None = None) -> DataFrame:
     """``documents`` in a learned language, with all their columns, of which only the text goes to Python.
 
-    Dropped are texts without a letter, those predicted to be in none of ``languages`` (None: any that was learned), and
+    Dropped are texts without a letter, those predicted to be in none of ``languages`` (None: any that was learned),
+    those whose best kernel score is under the model's ``least_score``, such as letters in no order of any language, and
     those of whose n-grams landmarks have a smaller share than ``least`` (None: the model's own bound), such as texts in
-    a script that was never learned. Where no label is known, nothing can be told and every text with a letter stays.
+    a script that was never learned. The score decides on texts of LEAST_CHARS characters or more, as those it is fitted
+    on. Where no label is known, nothing can be told and every text with a letter stays.
     """
     small_batches(documents.sparkSession)
     model = train(documents)
@@ -202,8 +218,9 @@ def keep_identified(documents: DataFrame, languages: list[str] | None = None, le
         def convert(texts: list) -> pa.Array:
             if not model.languages:
                 return pa.array([_has_letter(t) for t in texts], pa.bool_())
-            pred, _, known = _judged(model, texts)
-            keep = (pred != "und") & (known >= bound)
+            pred, _, known, raw = _judged(model, texts)
+            short = np.array([t is None or len(t) < LEAST_CHARS for t in texts])
+            keep = (pred != "und") & (known >= bound) & (short | (raw >= model.least_score))
             if languages is not None:
                 keep &= np.isin(pred, languages)
             return pa.array(keep.astype(bool), pa.bool_())
