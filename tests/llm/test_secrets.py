@@ -76,3 +76,26 @@ def test_an_owner_may_repeat_its_secret(spark):
 
 def test_empty(spark):
     assert secrets.secret_query(table(spark, [])).count() == 0
+
+
+def test_very_many_spans_in_one_text(spark):
+    """More spans than one run of the fold, of all kinds and overlapping, against a plain reading of the text."""
+    import re
+
+    parts = [f"password = hunter{k}x é {'0a' * 13}{k:x} token: {HEX}{k}" if k % 3 else f"AKIA{'B2' * 9} plain {'Zx9' * 12}{k}" for k in range(700)]
+    text = " | ".join(parts)
+    got = secrets.secret_query(table(spark, [(1, text, "s")])).first()
+    plain = []
+    for rank, (kind, pattern, group, least) in enumerate(secrets.BASE):
+        plain += [(m.start(), rank, m.end(), kind) for m in re.finditer(pattern, text) if len(m.group(group)) >= least]
+    plain.sort()
+    assert got["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in plain).encode()).hexdigest()
+    assert got["n_assign"] > 2 * secrets.RUN and got["n_hex"] > 2 * secrets.RUN
+    every = sorted((int(a), int(b)) for _, a, b in (s.split(":") for s in got["spans"].split(",")))
+    assert len(every) > len(plain)
+    out, at = [], 0
+    for start, end in every:
+        if start >= at:
+            out.append(text[at:start] + "[secret]")
+        at = max(at, end)
+    assert secrets.redact(table(spark, [(1, text, "s")])).first()["text"] == "".join(out) + text[at:]

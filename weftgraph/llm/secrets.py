@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.bitmaps import split
@@ -17,6 +19,8 @@ BASE = (
 )
 #: Further candidates, which count only if they are owner-specific: long runs with all three sorts of characters.
 OPAQUE = ("opaque", r"[A-Za-z0-9_-]+", 0, 32)
+#: Matches of one text that are folded at a time.
+RUN = 128
 #: A candidate in texts of more owners than this is a copied example.
 MOST_OWNERS = 3
 _FAST = {"hex": r"[0-9a-f]{24}", "access": r"AKIA[A-Z0-9]{16}", "opaque": r"[A-Za-z0-9_-]{32}", "assign": r"(?i)(password|passwd|secret|token|api_?key)"}
@@ -42,10 +46,27 @@ def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Colu
         keep = F.coalesce(F.char_length(row["secret"]) >= least, F.lit(False))
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    every = F.aggregate(rows, first, step)["out"]
+    # runs of RUN matches are folded by themselves, then moved to where they begin: arrays that grow stay short
+    def placed(runs: Column) -> Column:
+        starts = F.aggregate(runs, F.array(F.lit(0)), lambda acc, run: F.concat(acc, F.array(F.element_at(acc, -1) + run["at"])))
+        moved = lambda run, at: F.transform(run["out"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["kind"].alias("kind"), s["secret"].alias("secret")))
+        return F.flatten(F.zip_with(runs, F.slice(starts, 1, F.size(runs)), moved))
+
+    every = _once(F.transform(_once(rows, _runs), lambda part: F.aggregate(part, first, step)), placed)
     return F.when(text.rlike(_FAST[kind]), every).otherwise(empty)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _runs(rows: Column) -> Column:
+    """An array cut into arrays of RUN elements; none of none."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / RUN).cast("int")), lambda k: F.slice(rows, k * RUN + 1, RUN))
+    return F.when(F.size(rows) > 0, cut).otherwise(F.slice(F.array(rows), 1, 0))
+
+
 def _opaque(text: Column) -> Column:
     mixed = lambda s: s["secret"].rlike("[A-Z]") & s["secret"].rlike("[a-z]") & s["secret"].rlike("[0-9]")
     return F.filter(spans(text, *OPAQUE), mixed)
@@ -81,10 +102,14 @@ def scan(documents: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
     base = F.concat(*[spans(F.col("_t"), *b) for b in BASE])
     rows = documents.select("doc_id", F.coalesce(F.concat(F.lit("+"), F.col("source").cast("string")), F.lit("-")).alias("owner"), text.alias("_t"))
     rows = rows.select("doc_id", "owner", F.sha2(F.col("_t").cast("binary"), 256).alias("text_hash"), _ordered(base, _KINDS).alias("base"), _opaque(F.col("_t")).alias("opaque"))
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    # base spans in runs with their ends, so that a run far from a candidate is passed over at once
+    meets = lambda a, s: (a["start"] < s["end"]) & (s["start"] < a["end"])
+    run = lambda part: F.struct(part[0]["start"].alias("start"), F.array_max(F.transform(part, lambda b: b["end"])).alias("end"), part.alias("part"))
+    apart = lambda s: ~F.exists("_runs", lambda r: meets(r, s) & F.exists(r["part"], lambda b: meets(b, s)))
     hashed = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.sha2(s["secret"].cast("binary"), 256).alias("hash")))
     # what is stashed holds hashes, never a secret
-    rows = stash(rows.withColumn("opaque", F.filter("opaque", apart)).withColumn("base", hashed(F.col("base"))).withColumn("opaque", hashed(F.col("opaque"))))
+    rows = rows.withColumn("_runs", F.transform(_once(F.col("base"), _runs), run)).withColumn("opaque", F.filter("opaque", apart)).drop("_runs")
+    rows = stash(rows.withColumn("base", hashed(F.col("base"))).withColumn("opaque", hashed(F.col("opaque"))))
     some = rows.where((F.size("base") > 0) | (F.size("opaque") > 0))
     texts = some.groupBy("doc_id", "text_hash").agg(F.min("owner").alias("owner"), F.first("base").alias("base"), F.first("opaque").alias("opaque"))
     every = texts.select("doc_id", "text_hash", "owner", F.explode(F.concat("base", "opaque")).alias("s")).select("doc_id", "text_hash", "owner", "s.*")
@@ -119,39 +144,51 @@ def redact(documents: DataFrame, live_mark: str = "[secret]", example_mark: str
     a bitmap of the texts with spans tells who needs the join. n_chars, where there is such a column, follows the new text.
     """
     own = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    found = stash(scan(documents).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans").dropDuplicates(["_id", "_hash"]))
+    found = scan(documents).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans").dropDuplicates(["_id", "_hash"])
+    found = stash(_merged(stash(found)))
     those, clean = split(documents, own, found.select("_hash"))
     packed = those.select(F.expr("struct(*)").alias("_doc"), "doc_id", "text", own.alias("_own"))
     joined = packed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     mark = lambda s: F.when(s["live"], F.lit(live_mark)).otherwise(F.lit(example_mark))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, mark(s))).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(_merged(F.col("spans")), first, step)
-    text = F.when(F.col("spans").isNotNull(), F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.char_length("text")))).otherwise(F.col("text"))
+    text = F.when(F.col("merged").isNotNull(), _replaced(F.col("text"), F.col("merged"), mark)).otherwise(F.col("text"))
     new = {"text": F.col("_new")}
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.col("spans").isNotNull(), F.char_length("_new").cast(kind)).otherwise(F.col("_doc").getField("n_chars"))
+        new["n_chars"] = F.when(F.col("merged").isNotNull(), F.char_length("_new").cast(kind)).otherwise(F.col("_doc").getField("n_chars"))
     return joined.withColumn("_new", text).select(*[new.get(c, F.col("_doc").getField(c)).alias(c) for c in documents.columns]).unionByName(clean)
 
 
-def _merged(found: Column) -> Column:
-    """Sorted spans with overlapping ones made one."""
-    empty = F.array().cast("array<struct<start:int,end:int,live:boolean>>")
+def _merged(found: DataFrame) -> DataFrame:
+    """_id, _hash and merged: the text's sorted spans with overlapping ones made one, live if any is. Spans are told
+    apart by a running end over a text's own, in rows, so a text with very many costs their number and no more."""
+    order = Window.partitionBy("_id", "_hash").orderBy("_at")
+    ends = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    each = found.select("_id", "_hash", F.posexplode("spans").alias("_at", "s")).select("_id", "_hash", "_at", "s.*")
+    opened = each.withColumn("_opens", (ends.isNull() | (ends <= F.col("start"))).cast("int")).withColumn("_group", F.sum("_opens").over(order))
+    one = opened.groupBy("_id", "_hash", "_group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("live").alias("live"))
+    return one.groupBy("_id", "_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "live"))).alias("merged"))
+
+
+def _replaced(text: Column, merged: Column, mark: Callable[[Column], Column]) -> Column:
+    """``text`` with each of the spans, which are sorted and apart, replaced by its mark.
+
+    Runs of RUN spans are cut out of the text first and folded by themselves, so neither the text nor what is built is
+    walked or copied once for each span."""
+    end_before = lambda k: F.when(k > 0, F.get(merged, k - 1)["end"]).otherwise(F.lit(0))
+    starts = F.transform(_runs(merged), lambda part, k: F.struct(part.alias("part"), end_before(k * RUN).alias("from")))
+
+    def folded(run: Column) -> Column:
+        upto = F.element_at(run["part"], -1)["end"]
+        own = F.substring(text, run["from"] + 1, upto - run["from"])
+
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.substring(acc["own"], acc["at"] - run["from"] + 1, s["start"] - acc["at"])
+            return F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, mark(s)).alias("out"), acc["own"].alias("own"))
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        one = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["live"].alias("live"))
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), (last["live"] | s["live"]).alias("live"))
-        overlaps = F.coalesce(last["end"] > s["start"], F.lit(False))
-        return F.when(overlaps, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(one)))
+        return F.aggregate(run["part"], F.struct(run["from"].alias("at"), F.lit("").alias("out"), own.alias("own")), step)["out"]
 
-    return F.aggregate(found, empty, step)
+    last = F.coalesce(F.try_element_at(merged, F.lit(-1))["end"], F.lit(0))
+    return F.concat(F.array_join(F.transform(starts, folded), ""), F.substring(text, last + 1, F.char_length(text)))
 
 
 def _sql_spans(kind: str, pattern: str, group: int, least: int) -> str:
