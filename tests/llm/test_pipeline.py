@@ -67,7 +67,7 @@ def test_registered():
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, spans int, copy int, held_out string, id long, digest string"

@@ -146,7 +146,7 @@ def train(documents: DataFrame, labels: DataFrame) -> QualityModel:
     """
     known = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & (remainder("doc_id", 4) != 2)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     usable = documents.where((remainder("doc_id", 4) != 2) & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2**30)) / F.lit(float(2**30))
+    unit = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(2**30)) / F.lit(float(2**30))  # ids alone may be null or all the same
     total, ones = usable.count(), known.count()
     share = lambda most, n: F.lit(min(1.0, (1.2 * most + 50) / max(1, n)))
     crowd = _sampled(usable.where(unit < share(UNLABELLED, total)), unit, UNLABELLED)
