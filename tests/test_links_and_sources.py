@@ -79,6 +79,8 @@ def test_readers_and_writers(spark, tmp_path):
     (folder / "shortest_path__p_1__homo_sapiens.csv").write_text("id;hops\na;1\n")
     (folder / "shortest_path__p_2__mus_musculus.csv").write_text("id;hops\na;1\n")
     assert [r["target_id"] for r in tables.read_path_files(spark, f"file://{folder}", "Homo Sapiens").collect()] == ["p_1"]
+    tables.write_csv(paths.select("id", "hops"), f"file://{folder}/{tables.suffixed('shortest_path__p_3_.csv', 'Homo sapiens')}", ";")  # a folder
+    assert sorted(r["target_id"] for r in tables.read_path_files(spark, f"file://{folder}", "Homo Sapiens").collect()) == ["p_1", "p_3", "p_3"]
     tables.write_quoteless(spark.createDataFrame([("a;b", "c\\d")], "x string, y string"), f"file://{tmp_path}/plain")
     assert spark.read.text(f"file://{tmp_path}/plain").first()[0] == r"a\;b;c\\d"
 

@@ -74,3 +74,35 @@ def test_lexicon():
         both = [re.match(p, text) for p in (plain, any_of(ACTIONS))]
         assert (both[0] and both[0].group()) == (both[1] and both[1].group())
     assert any_of(("a b", "a b c", "d")) == "(?:a b|a b c|d)"
+
+
+def test_a_lexicon_of_ones_own(spark, tmp_path):
+    """Phrases from a YAML file, one the beginning of another, with signs of regular expressions in them."""
+    from weftgraph import pipeline
+    from weftgraph.config import Preparation, Settings, load_lexicon, load_settings
+
+    (tmp_path / "lexicon.yml").write_text('actions: ["docks (at)", "docks", "stops the reaction", "glues "]\n')
+    phrases = load_lexicon(tmp_path / "lexicon.yml")
+    assert phrases == ("docks (at)", "docks", "stops the reaction", "glues ")
+    texts = ["A docks (at) B protein", "A docks B protein", "A which docks B", "A stops the reaction [C docks B protein]", "A binds to B", "A glues  B", "A docks \x1f B"]
+    rows = spark.createDataFrame([(i, t, "A", "B") for i, t in enumerate(texts)], "index long, Interaction string, ChemicalName string, GeneSymbol string")
+    got = {}
+    for r in extract_triples(rows, actions=phrases).collect():
+        got.setdefault(r["index"], []).append((r["predicate"], r["object"]))
+    three = lambda *v: list(zip(("has_agent", "has_action", "has_target"), v))
+    assert got == {
+        0: three("A", "docks (at)", "B protein"), 1: three("A", "docks", "B protein"), 2: three("A", "which docks", "B"),
+        3: three("A", "stops the reaction", "reaction_3_0") + three("C", "docks", "B protein"), 5: three("A", "glues", "B"), 6: three("A", "docks", "B")}
+    for bad in ("verbs: [a]", "actions: []", "actions: ['']", "actions: [1]", "[a]"):
+        (tmp_path / "bad.yml").write_text(bad)
+        with pytest.raises((KeyError, ValueError)):
+            load_lexicon(tmp_path / "bad.yml")
+
+    (tmp_path / "s.yml").write_text("preparation:\n  lexicon: [docks]\n  compat: true\n")
+    settings = load_settings(tmp_path / "s.yml")
+    assert settings == Settings(Preparation(lexicon=("docks",), compat=True))
+    columns = "ChemicalName string, ChemicalID string, CasRN string, GeneSymbol string, GeneID string, GeneForms string, Organism string, OrganismID string, Interaction string, InteractionActions string, PubMedIDs string"
+    seen = spark.createDataFrame([("A", "C1", None, "B", "G1", "protein", "Homo sapiens", "9606", t, None, None) for t in ("A docks B protein", "A binds to B protein")], columns)
+    chemicals, genes = spark.createDataFrame([("C1", "A")], "chem_ID string, chem_name string"), spark.createDataFrame([("G1", "b", "B")], "gene_ID string, gene_name string, gene_symbol string")
+    done = pipeline.prepare_graph(seen, chemicals, genes, settings)
+    assert {r["relationship"] for r in done.graph.edges.where("type = 'functional'").collect()} == {"DOCKS"}

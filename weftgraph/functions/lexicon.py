@@ -172,6 +172,14 @@ def action_group(actions: tuple[str, ...] = ACTIONS) -> str:
     return r"((?:which\s+)?" + any_of(actions) + ")"
 
 
+def checked(phrases: list[str] | tuple[str, ...]) -> tuple[str, ...]:
+    """Phrases of a lexicon as the grammar takes them: none, an empty or blank one, or something else than text raises."""
+    if not phrases or not all(isinstance(p, str) and p.strip() for p in phrases):
+        raise ValueError("a lexicon needs phrases, and each must be text")
+    return tuple(dict.fromkeys(phrases))
+
+
+# Where brackets and blanks stand in the four shapes; the phrases between are the lexicon's.
 def grammar(actions: tuple[str, ...] = ACTIONS) -> dict[str, str]:
     """The shapes of a statement: ``inverse`` [A] act B, ``nested`` A act [B], ``simple`` A act B; ``inner`` is what
     stands in the brackets of an inverse one."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.operators.components import connected_components
 from weftgraph.operators.graph import PropertyGraph
 from weftgraph.operators.skew import join_facts
-from weftgraph.session import stash
+from weftgraph.session import Rounds, stash
 
 #: Stands for unreachable; weights of an edge by its type.
 UNREACHED, FUNCTIONAL_WEIGHT, ONTOLOGICAL_WEIGHT = 999_999.0, 1.0, 2.0
@@ -56,17 +56,22 @@ def undirected(edges: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def label_propagation(graph: PropertyGraph, rounds: int = 5, exclude_ontological: bool = True) -> DataFrame:
+def label_propagation(graph: PropertyGraph, rounds: int = 5, exclude_ontological: bool = True, name: str | None = None) -> DataFrame:
     """(id, label) after exactly ``rounds`` synchronous rounds: each vertex takes its neighbours' commonest label, the
-    smallest of equals. Vertices without neighbours keep their own. On bipartite graphs labels may go back and forth."""
+    smallest of equals. Vertices without neighbours keep their own. On bipartite graphs labels may go back and forth.
+
+    With a ``name`` the rounds are recorded, and a run that died goes on at the last one (see ``session.Rounds``)."""
     edges = graph.only("functional").edges if exclude_ontological else graph.edges
-    links = stash(undirected(edges))
-    labels = graph.vertices.select("id", F.col("id").alias("label"))
-    for _ in range(rounds):
+    record = Rounds(graph.vertices.sparkSession, name)
+    done, tables = record.last()
+    labels = tables.get("labels", graph.vertices.select("id", F.col("id").alias("label")))
+    links = stash(undirected(edges)) if done + 1 < rounds else None
+    for number in range(done + 1, rounds):
         heard = links.join(labels.withColumnRenamed("id", "dst"), "dst")
         counts = heard.groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
         best = counts.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("label").alias("label"))).alias("best"))
-        labels = stash(labels.join(best.withColumnRenamed("src", "id"), "id", "left").select("id", F.coalesce("best.label", "label").alias("label")))
+        heeded = labels.join(best.withColumnRenamed("src", "id"), "id", "left").select("id", F.coalesce("best.label", "label").alias("label"))
+        labels = record.keep(number, labels=heeded)["labels"]
     return labels
 
 
@@ -84,14 +89,15 @@ def reactions_into(graph: PropertyGraph, target_id: str, label: str = "TARGET_OF
     return own.select("reaction_id").distinct()
 
 
-def shortest_paths(graph: PropertyGraph, target_id: str, rounds: int = 10) -> DataFrame:
+def shortest_paths(graph: PropertyGraph, target_id: str, rounds: int = 10, name: str | None = None) -> DataFrame:
     """Every vertex's cheapest path to ``target_id``: id, dist, hops, vertices_path, edges_path, reachable.
 
     Ontological edges count only where their reaction has the target as its target. Each round relaxes edges backwards
     from the vertices that the last round improved, up to ``rounds`` edges, and ends early when none is. Of equal
     distances the smallest (path, relationship, relationships, reaction ids, weights) wins; a path is replaced only by
     a strictly shorter one. Unreached vertices have UNREACHED, 0 hops and empty paths. The edges are dealt by their end
-    once; a round shuffles only the improved vertices.
+    once; a round shuffles only the improved vertices. With a ``name`` the rounds are recorded, and a run that died goes on
+    at the last one (see ``session.Rounds``).
     """
     chosen = reactions_into(graph, target_id)
     functional = graph.edges.where("type <> 'ontological'")
@@ -100,9 +106,13 @@ def shortest_paths(graph: PropertyGraph, target_id: str, rounds: int = 10) -> Da
     edges = stash(functional.unionByName(near).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "relationship", "reaction_id", weight.alias("weight")))
     texts, numbers = F.array().cast("array<string>"), F.array().cast("array<double>")
     start = graph.vertices.where(F.col("id") == target_id).select("id").distinct()
-    found = stash(start.select("id", F.lit(0.0).alias("dist"), F.array("id").alias("path"), texts.alias("rels"), texts.alias("reactions"), numbers.alias("weights")))
-    frontier = found
-    for _ in range(rounds):
+    record = Rounds(graph.vertices.sparkSession, name)
+    done, tables = record.last()
+    if done < 0:
+        found = frontier = stash(start.select("id", F.lit(0.0).alias("dist"), F.array("id").alias("path"), texts.alias("rels"), texts.alias("reactions"), numbers.alias("weights")))
+    else:
+        found, frontier = tables["found"], tables["frontier"]
+    for number in range(done + 1, rounds):
         if frontier.isEmpty():
             break
         sent = edges.join(frontier.withColumnRenamed("id", "dst"), "dst").select("src", F.struct(
@@ -112,10 +122,11 @@ def shortest_paths(graph: PropertyGraph, target_id: str, rounds: int = 10) -> Da
         best = sent.groupBy(F.col("src").alias("id")).agg(F.min("m").alias("m"))
         old = found.select("id", F.col("dist").alias("_old"))
         better = best.join(graph.vertices.select("id").distinct(), "id", "left_semi").join(old, "id", "left").where("_old is null or m.dist < _old")
-        frontier = stash(better.select(
+        improved = stash(better.select(
             "id", F.col("m.dist").alias("dist"), F.concat(F.array("id"), F.col("m.path")).alias("path"),
             F.concat(F.array("m.rel"), F.col("m.rels")).alias("rels"), F.col("m.reactions").alias("reactions"), F.col("m.weights").alias("weights")))
-        found = stash(found.join(frontier.select("id"), "id", "left_anti").unionByName(frontier))
+        tables = record.keep(number, frontier=improved, found=found.join(improved.select("id"), "id", "left_anti").unionByName(improved))
+        found, frontier = tables["found"], tables["frontier"]
     joined = graph.vertices.select("id").join(found, "id", "left")
     return joined.select(
         "id", F.coalesce("dist", F.lit(UNREACHED)).alias("dist"), F.coalesce(F.size("rels"), F.lit(0)).alias("hops"),

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.columns import relationship
+from weftgraph.operators.skew import join_facts
 from weftgraph.operators.triples import ACTION, AGENT, MAIN, NESTED, TARGET
+from weftgraph.session import stash
 
 ONTOLOGICAL = ("AGENT_OF", "TARGET_OF", "HAS_AGENT", "HAS_TARGET")
 
@@ -40,11 +42,13 @@ def named_by_id(triples: DataFrame, nodes: DataFrame) -> DataFrame:
     """Entities' names in object replaced by their node's id; actions, unknown names and reactions stay.
 
     A reaction's name is its id already, in subject and object alike, so only entities are looked up. Names of one type
-    are unique once entities are unified, so this repeats no row; the join is a broadcast only if the optimiser finds
-    the nodes small."""
+    are unique once entities are unified, so this repeats no row. Names in more than a thousandth of the rows are
+    broadcast, so one that a third of all statements mention is not one task's. ``triples`` should be stashed."""
     ids = nodes.where("type <> 'reaction'").groupBy(F.col("name").alias("object")).agg(F.min("id").alias("_id"))
     entity = F.col("triple_object_type").isin("chemical", "protein")
-    found = triples.where(entity).join(ids, "object", "left")
+    own = triples.where(entity)
+    named = own.where("object is not null").groupBy("object").agg(F.count(F.lit(1)).alias("_n")).join(ids, "object", "left")
+    found = join_facts(own, stash(named), "object", "_n")
     rest = triples.where(~entity | F.col("triple_object_type").isNull())
     return found.select(*[F.coalesce("_id", "object").alias("object") if c == "object" else F.col(c) for c in triples.columns]).unionByName(rest)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from weftgraph.functions.lexicon import ACTIONS, grammar
 
 MAIN, NESTED = "main-action_", "reaction_"
 AGENT, ACTION, TARGET = "has_agent", "has_action", "has_target"
+_APART = "\x1f"
 _TRIPLES = "array<struct<subject:string,predicate:string,object:string>>"
 
 
@@ -26,8 +29,9 @@ def parse(text: Column, index: Column, compat: bool = False, actions: tuple[str,
 
     The statement is folded: each step reads one level of ``A act [B]`` and goes on with B. There are as many steps as
     brackets open, so depth has no bound and no level costs a Python call. A step tries inverse, nested, simple, in
-    this order, and the leftmost action wins; text of no shape ends the fold with what there is. Null and empty texts
-    have no triples.
+    this order, and the leftmost action wins; text of no shape ends the fold with what there is. One match of a shape
+    gives its three parts, which a control character keeps apart; one that a text holds is read as a blank. Null and
+    empty texts have no triples.
 
     A nested reaction's target is the reaction that the brackets hold: for [[B act C] act D] that is the outer one.
     ``compat`` numbers targets by position only: the main action's by whether any "[[" occurs, others by their subject's
@@ -37,35 +41,45 @@ def parse(text: Column, index: Column, compat: bool = False, actions: tuple[str,
     number = lambda k: F.concat(F.lit(NESTED), index.cast("string"), F.lit("_"), k.cast("string"))
     steps = F.length(text) - F.length(F.replace(text, F.lit("["), F.lit("")))
     start = F.struct(
-        text.alias("text"), F.concat(F.lit(MAIN), index.cast("string")).alias("subject"), F.lit(0).alias("k"),
+        F.translate(text, _APART, " ").alias("text"), F.concat(F.lit(MAIN), index.cast("string")).alias("subject"), F.lit(0).alias("k"),
         F.lit(False).alias("done"), F.array().cast(_TRIPLES).alias("out"))
 
-    def part(value: Column, shape: str, k: int) -> Column:
-        return stripped(F.regexp_extract(value, shapes[shape], k))
+    def parts(value: Column, shape: str) -> Column:
+        """The three parts of ``value`` by one match; one part, the value, if it has not this shape."""
+        return F.split(F.regexp_replace(value, shapes[shape], f"$1{_APART}$2{_APART}$3"), _APART)
+
+    def once(value: Column, use: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def of_parts(subject: Column, three: Column) -> Column:
+        return _reaction(subject, *[stripped(F.get(three, F.lit(k))) for k in range(3)])
 
     def step(acc: Column, _: Column) -> Column:
         now, own, k = acc["text"], acc["subject"], acc["k"]
+        found = lambda three: F.size(three) == 3
         ended = lambda out: F.struct(now.alias("text"), own.alias("subject"), k.alias("k"), F.lit(True).alias("done"), out.alias("out"))
-        held = part(now, "inverse", 1)
-        inner = F.when(held.rlike(shapes["inner"]), _reaction(own, part(held, "inner", 1), part(held, "inner", 2), part(held, "inner", 3))).otherwise(F.array().cast(_TRIPLES))
-        inverse = F.concat(acc["out"], inner, _reaction(number(k), own, part(now, "inverse", 2), part(now, "inverse", 3)))
-        content = part(now, "nested", 3)
-        if compat:
-            aim = F.when(k == 0, number(F.when(text.rlike(r"\[\["), F.lit(1)).otherwise(F.lit(0)))).otherwise(number(k))
-        else:
-            aim = F.when(content.rlike(shapes["inverse"]), number(k + 1)).otherwise(number(k))
-        nested = F.struct(
-            content.alias("text"), number(k).alias("subject"), (k + 1).alias("k"), F.lit(False).alias("done"),
-            F.concat(acc["out"], _reaction(own, part(now, "nested", 1), part(now, "nested", 2), aim)).alias("out"))
-        simple = F.concat(acc["out"], _reaction(own, part(now, "simple", 1), part(now, "simple", 2), part(now, "simple", 3)))
+        nothing = F.array().cast(_TRIPLES)
+
+        def inverse(three: Column) -> Column:
+            inner = once(parts(stripped(F.get(three, F.lit(0))), "inner"), lambda held: F.when(found(held), of_parts(own, held)).otherwise(nothing))
+            return ended(F.concat(acc["out"], inner, _reaction(number(k), own, *[stripped(F.get(three, F.lit(j))) for j in (1, 2)])))
+
+        def nested(three: Column) -> Column:
+            content = stripped(F.get(three, F.lit(2)))
+            if compat:
+                aim = F.when(k == 0, number(F.when(text.rlike(r"\[\["), F.lit(1)).otherwise(F.lit(0)))).otherwise(number(k))
+            else:
+                aim = F.when(content.startswith("[") & content.rlike(shapes["inverse"]), number(k + 1)).otherwise(number(k))
+            outer = _reaction(own, *[stripped(F.get(three, F.lit(j))) for j in (0, 1)], aim)
+            return F.struct(content.alias("text"), number(k).alias("subject"), (k + 1).alias("k"), F.lit(False).alias("done"), F.concat(acc["out"], outer).alias("out"))
+
+        simple = lambda three: F.when(found(three), ended(F.concat(acc["out"], of_parts(own, three)))).otherwise(ended(acc["out"]))
         closed = now.endswith("]")  # what the patterns ask for at the ends, asked first
-        return (
-            F.when(acc["done"], acc)
-            .when(now.startswith("[") & now.rlike(shapes["inverse"]), ended(inverse))
-            .when(closed & now.rlike(shapes["nested"]), nested)
-            .when(~closed & now.rlike(shapes["simple"]), ended(simple))
-            .otherwise(ended(acc["out"]))
-        )
+        bracketed = once(parts(now, "nested"), lambda three: F.when(found(three), nested(three)).otherwise(ended(acc["out"])))
+        plain = once(parts(now, "simple"), simple)
+        other = F.when(closed, bracketed).otherwise(plain)
+        opened = once(parts(now, "inverse"), lambda three: F.when(found(three), inverse(three)).otherwise(other))
+        return F.when(acc["done"], acc).when(now.startswith("["), opened).otherwise(other)
 
     folded = F.aggregate(F.sequence(F.lit(0), steps), start, step)["out"]
     return F.when(F.length(text) > 0, folded).otherwise(F.array().cast(_TRIPLES))

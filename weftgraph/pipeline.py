@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.config import Settings
+from weftgraph.functions import lexicon
 from weftgraph.operators import algorithms, canonical, explore, graph, linkpred, prepare, resolve, triples, validate
 from weftgraph.operators.graph import PropertyGraph
 from weftgraph.session import stash
-from weftgraph.sources import tables
+from weftgraph.sources import store, tables
 
 log = logging.getLogger("weftgraph")
 
@@ -43,16 +44,19 @@ class Linked:
     model_summary: str = field(repr=False, default="")
 
 
-def prepare_graph(observations: DataFrame, chemicals: DataFrame, genes: DataFrame, settings: Settings | None = None, compat: bool = False) -> Prepared:
+def prepare_graph(observations: DataFrame, chemicals: DataFrame, genes: DataFrame, settings: Settings | None = None, compat: bool | None = None) -> Prepared:
     """Filters, extraction, resolution, integrity, canonical ids, nodes and edges, and a one-row report of counts.
 
     What several later steps read is written once to the shared folder: parsed triples, mapped triples, canonical
-    triples. Counts of the source come from one pass.
+    triples. Counts of the source come from one pass. The settings' lexicon replaces the built-in phrases; ``compat``,
+    if it is given, replaces the settings'.
     """
     chosen = (settings or Settings()).preparation
+    compat = chosen.compat if compat is None else compat
+    phrases = lexicon.checked(chosen.lexicon) if chosen.lexicon else lexicon.ACTIONS
     own = prepare.canonical_only(prepare.of_gene_form(prepare.of_organism(observations, chosen.organism), chosen.gene_form), chosen.gene_form)
-    parsed = stash(triples.extract_triples(prepare.statements(own), compat))
-    mapped = stash(resolve.map_genes(resolve.map_chemicals(resolve.recover(parsed, chemicals), chemicals), genes))
+    parsed = stash(triples.extract_triples(prepare.statements(own), compat, phrases))
+    mapped = stash(resolve.map_entities(stash(resolve.recover(parsed, chemicals)), chemicals, genes))
     whole = stash(resolve.whole_statements(mapped))
     done = stash(canonical.canonical_triples(whole, compat))
     built = graph.build_graph(done)
@@ -73,11 +77,9 @@ def preparation_report(observations: DataFrame, parsed: DataFrame, mapped: DataF
 
 def import_graph(built: PropertyGraph, folder: str, organism: str, nodes_file: str = "nodes", edges_file: str = "edges", overwrite: bool = True) -> bool:
     """Saves the graph and logs it; False, and nothing written, if one is there and may stay."""
-    spark = built.vertices.sparkSession
-    if not tables.save_graph(built, folder, overwrite):
+    if not tables.save_graph(built, folder, overwrite, tables.bare_name(nodes_file), tables.bare_name(edges_file), organism):
         log.info("a graph is there already: %s", folder)
         return False
-    tables.append_log(spark, folder, tables.bare_name(nodes_file), tables.bare_name(edges_file), organism)
     return True
 
 
@@ -103,7 +105,7 @@ def predict_links(spark: SparkSession, folder: str, settings: Settings | None =
     built = tables.load_graph(spark, folder)
     model, test = linkpred.train_links(built, settings.link_prediction)
     edges = built.only("functional").edges if settings.link_prediction.exclude_ontological else built.edges
-    table = linkpred.result_table(test, edges).orderBy(F.desc("Score"), "Source", "Target")
+    table = linkpred.result_table(test, edges)
     report = linkpred.link_report(settings.preparation.organism, built, test)
     return Linked(table, report, linkpred.roc_curve(test), linkpred.precision_recall_curve(test), model.summary())
 
@@ -129,23 +131,34 @@ def run(observations: DataFrame, chemicals: DataFrame, genes: DataFrame, folder:
 
 
 def save_results(found: dict[str, object], folder: str, organism: str) -> None:
-    """Every result as a CSV whose name ends with the organism; path results with ; between values."""
-    def write(rows: DataFrame | None, name: str, separator: str = ",") -> None:
+    """Every result as CSV whose name ends with the organism; path results with ; between values.
+
+    Tables are folders of many files; those with an order have it file by file (``store.write_ordered``). Reports, and
+    the hundred best predictions, are one file each."""
+    at = lambda name: f"{folder}/{tables.suffixed(name, organism)}"
+
+    def ordered(rows: DataFrame | None, name: str, *order, separator: str = ",") -> None:
+        if rows is not None:
+            store.write_ordered(rows, at(name), *order, separator=separator)
+
+    def report(rows: DataFrame | None, name: str) -> None:
         if rows is not None:
-            tables.write_csv(rows, f"{folder}/{tables.suffixed(name, organism)}", separator)
+            tables.write_csv(rows, at(name), single=True)
 
     if isinstance(done := found.get("prepare"), Prepared):
-        write(done.graph.vertices, "nodes.csv")
-        write(done.graph.edges, "edges.csv")
-        write(done.report, "data_prep_report.csv")
+        tables.write_csv(done.graph.vertices, at("nodes.csv"))
+        tables.write_csv(done.graph.edges, at("edges.csv"))
+        report(done.report, "data_prep_report.csv")
     if isinstance(seen := found.get("analyse"), Analysed):
         for name, rows, first in (("degree_centrality", seen.degrees, "degree"), ("connected_components", seen.components, "component_count"), ("communities", seen.communities, "community_count")):
-            write(rows and rows.orderBy(F.desc(first), "id"), f"{name}.csv")
-        write(seen.report, "graph_analysis_report.csv")
-        if seen.paths is not None:
-            write(seen.paths.orderBy(F.desc("hops"), "id"), f"shortest_path__{seen.target_id}_.csv", ";")  # the organism's part makes it two underscores
+            ordered(rows, f"{name}.csv", F.desc(first), F.asc("id"))
+        report(seen.report, "graph_analysis_report.csv")
+        ordered(seen.paths, f"shortest_path__{seen.target_id}_.csv", F.desc("hops"), F.asc("id"), separator=";")  # the organism's part makes it two underscores
     if isinstance(linked := found.get("link"), Linked):
-        for name, rows in (("predictions", linked.predictions), ("link_prediction_report", linked.report), ("roc", linked.roc), ("precision_recall", linked.precision_recall)):
-            write(rows, f"{name}.csv")
+        ordered(linked.predictions, "predictions.csv", F.desc("Score"), F.asc("Source"), F.asc("Target"), F.asc("relationship"))
+        report(linkpred.top_predictions(linked.predictions), "top_predictions.csv")
+        report(linked.report, "link_prediction_report.csv")
+        for name, rows, by in (("roc", linked.roc, "fpr"), ("precision_recall", linked.precision_recall, "recall")):
+            ordered(rows, f"{name}.csv", F.desc("score"), F.asc(by))
         spark = linked.report.sparkSession
         spark.createDataFrame([(linked.model_summary,)], "value string").write.mode("overwrite").text(f"{folder}/model_summary")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,8 @@ from pyspark.sql import functions as F
 from weftgraph.functions.lexicon import CONCEPTS, escaped
 from weftgraph.operators import adjacency, algorithms, canonical, convolution, explore, graph, linkpred, prepare, resolve, statistics, triples, validate
 from weftgraph.plans import sql
-from weftgraph.session import shared_dir
-from weftgraph.sources import star, tables
+from weftgraph.session import scratch
+from weftgraph.sources import star, store, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -250,8 +249,8 @@ def recover_proteins(spark, sf_dir):
 
 
 def _mapped(spark, sf_dir):
-    rows = resolve.recover(algorithms.stash(_triples(spark, sf_dir)), star.chemicals(spark, sf_dir))
-    return resolve.map_genes(resolve.map_chemicals(rows, star.chemicals(spark, sf_dir)), star.genes(spark, sf_dir))
+    rows = algorithms.stash(resolve.recover(algorithms.stash(_triples(spark, sf_dir)), star.chemicals(spark, sf_dir)))
+    return resolve.map_entities(rows, star.chemicals(spark, sf_dir), star.genes(spark, sf_dir))
 
 
 _MAPPED = "index, subject, predicate, object, triple_object_type, id, chem_ID, gene_ID"
@@ -389,25 +388,115 @@ def distinct_sorted(spark, sf_dir):
 # --- what is saved and read again
 
 
-def _folder(spark) -> str:
-    return f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
-
-
 @_register("saved_graph_edges", f"WITH {sql.graph()} SELECT ex.* FROM ex JOIN vx s ON source_id = s.id JOIN vx t ON target_id = t.id WHERE s.type <> 'reaction' AND t.type <> 'reaction'")
 def saved_graph_edges(spark, sf_dir):
-    folder = _folder(spark)
+    folder = scratch(spark)
     tables.save_graph(star.graph(spark, sf_dir), folder)
     return tables.load_graph(spark, folder, ["chemical", "protein"]).edges
 
 
 @_register("csv_graph_nodes", f"WITH {sql.graph()} SELECT * FROM vx")
 def csv_graph_nodes(spark, sf_dir):
-    folder, g = _folder(spark), star.graph(spark, sf_dir)
+    folder, g = scratch(spark), star.graph(spark, sf_dir)
     tables.write_csv(g.vertices, f"{folder}/nodes.csv")
     tables.write_csv(g.edges, f"{folder}/edges.csv")
     return tables.read_graph_csv(spark, f"{folder}/nodes.csv", f"{folder}/edges.csv").vertices
 
 
+@_register("csv_graph_edges", f"WITH {sql.graph()} SELECT * FROM ex")
+def csv_graph_edges(spark, sf_dir):
+    folder, g = scratch(spark), star.graph(spark, sf_dir)
+    tables.write_csv(g.vertices.limit(1), f"{folder}/nodes.csv")
+    tables.write_csv(g.edges, f"{folder}/edges.csv")
+    return tables.read_graph_csv(spark, f"{folder}/nodes.csv", f"{folder}/edges.csv").edges
+
+
+@_register("reloaded_graph_edges", f"WITH {sql.graph()} SELECT source_id, target_id, relationship, reaction_id, type FROM ex WHERE type = 'functional'")
+def reloaded_graph_edges(spark, sf_dir):
+    """A load, one that replaces it, and one that finds a graph and leaves it."""
+    folder, g = scratch(spark), star.graph(spark, sf_dir)
+    g = graph.PropertyGraph(algorithms.stash(g.vertices), algorithms.stash(g.edges))
+    tables.save_graph(g.only("ontological"), folder)
+    tables.save_graph(g.only("functional"), folder)
+    tables.save_graph(g, folder, overwrite=False)
+    return tables.load_graph(spark, folder).edges
+
+
+@_register("import_log", f"""WITH {sql.graph()}, ev(number, organism, status, nodes_file) AS (VALUES (0, 'Homo sapiens', 'COMPLETED', 'a'), (1, 'Mus musculus', 'FAILED', 'b'), (2, 'Mus musculus', 'COMPLETED', 'b'), (3, '', 'CLEARED', ''))
+SELECT CAST(number AS BIGINT) AS number, organism, status, nodes_file, CASE number WHEN 0 THEN (SELECT count(*) FROM ex) WHEN 1 THEN (SELECT count(*) FROM ex) WHEN 2 THEN (SELECT count(*) FROM ex WHERE type = 'functional') ELSE 0 END AS edges FROM ev""")
+def import_log(spark, sf_dir):
+    """What each load left to be read, beside its log row: a whole graph, a load that failed, one that replaced it, a clear."""
+    folder, g = scratch(spark), star.graph(spark, sf_dir)
+    g = graph.PropertyGraph(algorithms.stash(g.vertices), algorithms.stash(g.edges))
+    edges = []
+    for load in (
+        lambda: tables.save_graph(g, folder, True, "a", "a", "Homo sapiens"), lambda: tables.append_log(spark, folder, "b", "b", "Mus musculus", "FAILED"),
+        lambda: tables.save_graph(g.only("functional"), folder, True, "b", "b", "Mus musculus"), lambda: tables.clear_graph(spark, folder)):
+        load()
+        edges.append(tables.load_graph(spark, folder).edges.count() if tables.graph_exists(spark, folder) else 0)
+    counts = spark.createDataFrame(list(enumerate(edges)), "number long, edges long")
+    return tables.read_log(spark, folder).join(counts, "number").select("number", "organism", "status", "nodes_file", "edges")
+
+
+@_register("ordered_degrees", f"WITH {sql.graph()}, {_DEGREES} SELECT CAST(row_number() OVER (ORDER BY degree DESC, id) - 1 AS BIGINT) AS place, id, CAST(degree AS BIGINT) AS degree, type FROM dg")
+def ordered_degrees(spark, sf_dir):
+    folder = f"{scratch(spark)}/degrees.csv"
+    store.write_ordered(algorithms.degree_centrality(star.graph(spark, sf_dir)).select("id", "degree", "type"), folder, F.desc("degree"), F.asc("id"))
+    return spark.read.csv(folder, header=True, schema="place long, id string, degree long, type string")
+
+
+@_register("csv_observations", f"WITH {sql.OBSERVATIONS} SELECT ChemicalName, ChemicalID, GeneSymbol, GeneID, GeneForms, Organism, Interaction, InteractionActions FROM ob")
+def csv_observations(spark, sf_dir):
+    folder = f"{scratch(spark)}/observations.csv"
+    star.observations(spark, sf_dir).select(*tables.OBSERVATION_COLUMNS).write.csv(folder)  # without a header
+    return tables.read_observations(spark, folder).select("ChemicalName", "ChemicalID", "GeneSymbol", "GeneID", "GeneForms", "Organism", "Interaction", "InteractionActions")
+
+
+@_register("csv_diseases", f"WITH {sql.OBSERVATIONS} SELECT ChemicalName, ChemicalID, DiseaseName FROM dz")
+def csv_diseases(spark, sf_dir):
+    folder = f"{scratch(spark)}/diseases.csv"
+    rows, none = star.diseases(spark, sf_dir), F.lit(None).cast("string")
+    rows.select(*[F.col(c) if c in rows.columns else none.alias(c) for c in tables.DISEASE_COLUMNS]).write.csv(folder)
+    return tables.read_diseases(spark, folder).select("ChemicalName", "ChemicalID", "DiseaseName")
+
+
+@_register("csv_vocabularies", f"WITH {sql.OBSERVATIONS} SELECT chem_ID AS id, chem_name AS name, NULL AS symbol FROM cv UNION ALL SELECT * FROM gv")
+def csv_vocabularies(spark, sf_dir):
+    folder = scratch(spark)
+    more = F.lit("more").alias("Definition")  # a column that isn't asked for
+    star.chemicals(spark, sf_dir).select(more, F.col("chem_name").alias("ChemicalName"), F.col("chem_ID").alias("ChemicalID")).write.csv(f"{folder}/chemicals.csv", header=True)
+    star.genes(spark, sf_dir).select(F.col("gene_symbol").alias("GeneSymbol"), F.col("gene_ID").alias("GeneID"), more, F.col("gene_name").alias("GeneName")).write.csv(f"{folder}/genes.csv", header=True)
+    chemicals, genes = tables.read_chemicals(spark, f"{folder}/chemicals.csv"), tables.read_genes(spark, f"{folder}/genes.csv")
+    return chemicals.select(F.col("chem_ID").alias("id"), F.col("chem_name").alias("name"), F.lit(None).cast("string").alias("symbol")).unionByName(genes.select(F.col("gene_ID").alias("id"), F.col("gene_name").alias("name"), F.col("gene_symbol").alias("symbol")))
+
+
+@_register("csv_inferred", "SELECT l_returnflag, l_linenumber, CAST(sum(l_suppkey) AS BIGINT) AS suppliers, max(l_quantity) AS quantity FROM lineitem GROUP BY ALL")
+def csv_inferred(spark, sf_dir):
+    folder = f"{scratch(spark)}/lines.csv"
+    tables.write_csv(star.read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linenumber", "l_suppkey", "l_quantity"), folder)
+    rows = tables.read_inferred(spark, folder)
+    return rows.groupBy("l_returnflag", "l_linenumber").agg(F.sum("l_suppkey").alias("suppliers"), F.max("l_quantity").alias("quantity"))
+
+
+@_register("triples_dump", f"WITH {sql.triples()} SELECT index, subject, predicate, object FROM tr")
+def triples_dump(spark, sf_dir):
+    folder = f"{scratch(spark)}/triples.csv"
+    tables.write_csv(_triples(spark, sf_dir).select("index", "subject", "predicate", "object"), folder, ";")
+    return spark.read.csv(folder, header=True, sep=";", schema="index string, subject string, predicate string, object string")
+
+
+@_register("path_files", f"WITH {sql.graph()}, {_DEGREES} SELECT id, CAST(degree AS BIGINT) AS degree, type AS target_id FROM dg WHERE type <> 'reaction'")
+def path_files(spark, sf_dir):
+    """Path files of two targets and two organisms in one folder; those of one organism are found by their names."""
+    folder = scratch(spark)
+    degrees = algorithms.stash(algorithms.degree_centrality(star.graph(spark, sf_dir)).select("id", "degree", "type"))
+    for kind in ("chemical", "protein"):
+        for organism in ("Homo sapiens", "Mus musculus"):
+            tables.write_csv(degrees.where(F.col("type") == kind).select("id", "degree"), f"{folder}/{tables.suffixed(f'shortest_path__{kind}_.csv', organism)}", ";")
+    found = tables.read_path_files(spark, folder, "homo Sapiens")
+    return found.select("id", F.col("degree").cast("long").alias("degree"), "target_id")
+
+
 @_register("latest_imports", "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS organism, o_orderdate AS import_time FROM orders ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC LIMIT 5")
 def latest_imports(spark, sf_dir):
     log = star.read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("organism"), F.col("o_orderdate").alias("import_time"))

@@ -53,15 +53,86 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    This cuts the lineage without a copy on one executor only: a lost executor costs nothing that was stashed.
+    This cuts the lineage without a copy on one executor only: a lost executor costs nothing that was stashed. The
+    folder goes when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gone_with_driver(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def gone_with_driver(spark: SparkSession, path: str) -> None:
+    """Let the file system delete ``path``, which must be there, when the driver's JVM ends."""
+    fs, hadoop = _file_system(spark, path)
+    fs.deleteOnExit(hadoop)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one, which goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    fs, hadoop = _file_system(spark, path)
+    fs.mkdirs(hadoop)
+    fs.deleteOnExit(hadoop)
+    return path
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through Spark's file systems, wherever it lies."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    fs, hadoop = _file_system(spark, path)
+    fs.delete(hadoop, True)
+
+
+class Rounds:
+    """The rounds of a loop, recorded by name in the shared folder, so that a driver that dies can go on at the last one.
+
+    A round's tables are written whole and then marked; a round without its mark is none. Once a round is marked, those
+    before the one before it are dropped: the folder holds two at most. The same name must mean the same input. Without a
+    name nothing outlives the driver.
+    """
+
+    def __init__(self, spark: SparkSession, name: str | None = None) -> None:
+        self.spark, self.named = spark, name is not None
+        self.path = f"{shared_dir(spark)}/rounds-{name or uuid.uuid4().hex}"
+
+    def recorded(self) -> list[int]:
+        """The marked rounds, ascending."""
+        fs, folder = _file_system(self.spark, self.path)
+        if not fs.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        return sorted(int(n[5:]) for n in names if n.startswith("done-"))
+
+    def last(self) -> tuple[int, dict[str, DataFrame]]:
+        """The last marked round and its tables; -1 and none before the first."""
+        numbers = self.recorded()
+        return (numbers[-1], self._tables(numbers[-1])) if numbers else (-1, {})
+
+    def _tables(self, number: int) -> dict[str, DataFrame]:
+        fs, folder = _file_system(self.spark, f"{self.path}/round-{number}")
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        return {n: self.spark.read.parquet(f"{self.path}/round-{number}/{n}") for n in sorted(names)}
+
+    def keep(self, number: int, **tables: DataFrame) -> dict[str, DataFrame]:
+        """Records a round and returns its tables, read back."""
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{self.path}/round-{number}/{name}")
+        fs, mark = _file_system(self.spark, f"{self.path}/done-{number}")
+        fs.create(mark, True).close()
+        if not self.named:
+            gone_with_driver(self.spark, self.path)
+        for old in self.recorded():
+            if old < number - 1:
+                drop_path(self.spark, f"{self.path}/done-{old}")  # the mark first
+                drop_path(self.spark, f"{self.path}/round-{old}")
+        return {n: self.spark.read.schema(t.schema).parquet(f"{self.path}/round-{number}/{n}") for n, t in tables.items()}
+
+    def finish(self) -> None:
+        """Forget all rounds, when the loop's result is somewhere else."""
+        drop_path(self.spark, self.path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.operators.graph import PropertyGraph, matched
+from weftgraph.sources.store import Versions
 
 # The columns of the observation and disease files, which have no header.
 OBSERVATION_COLUMNS = ("ChemicalName", "ChemicalID", "CasRN", "GeneSymbol", "GeneID", "GeneForms", "Organism", "OrganismID", "Interaction", "InteractionActions", "PubMedIDs")
@@ -46,8 +48,8 @@ def read_inferred(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=True)
 
 
-def write_csv(rows: DataFrame, path: str, separator: str = ",", single: bool = True) -> None:
-    """A CSV with a header; ``single`` makes one file, by one task, and is for reports that people open."""
+def write_csv(rows: DataFrame, path: str, separator: str = ",", single: bool = False) -> None:
+    """A CSV with a header; ``single`` makes one file, by one task, and is for reports of one row."""
     (rows.coalesce(1) if single else rows).write.mode("overwrite").option("header", True).option("sep", separator).csv(path)
 
 
@@ -74,46 +76,73 @@ def read_graph_csv(spark: SparkSession, nodes: str, edges: str) -> PropertyGraph
     return PropertyGraph(spark.read.csv(nodes, header=True).select(*NODE_COLUMNS), spark.read.csv(edges, header=True).select(*EDGE_COLUMNS))
 
 
-def save_graph(graph: PropertyGraph, folder: str, overwrite: bool = True) -> bool:
-    """Vertices and edges as Parquet, parted by type, so that a filter on it prunes files; False if there is a graph and
-    it may not be overwritten. Repeated vertex ids raise; edges with an end that is no vertex are left out."""
+def save_graph(graph: PropertyGraph, folder: str, overwrite: bool = True, nodes_file: str = "nodes", edges_file: str = "edges", organism: str = "", keep: int = 2) -> bool:
+    """A new version of the graph in ``folder``: vertices and edges as Parquet, parted by type, so that a filter on it
+    prunes files. False, and nothing written, if there is a graph and it may not be overwritten.
+
+    Both tables and the log row become visible together, by the rename of one manifest; a load that fails or dies leaves
+    the graph that was there. Versions before the last ``keep`` are removed. Repeated vertex ids raise; edges with an end
+    that is no vertex are left out."""
     spark = graph.vertices.sparkSession
     if not overwrite and graph_exists(spark, folder):
         return False
     if not graph.vertices.groupBy("id").count().where("count > 1").isEmpty():
         raise ValueError("vertex ids are not unique")
+    store = Versions(spark, folder)
+    version, path = store.begin()
     kept = matched(graph)
-    kept.vertices.write.mode("overwrite").partitionBy("type").parquet(f"{folder}/vertices")
-    kept.edges.write.mode("overwrite").partitionBy("type").parquet(f"{folder}/edges")
+    kept.vertices.write.partitionBy("type").parquet(f"{path}/vertices")
+    kept.edges.write.partitionBy("type").parquet(f"{path}/edges")
+    store.publish(version, **_log_row(nodes_file, edges_file, organism, "COMPLETED"))
+    store.vacuum(keep)
     return True
 
 
+def clear_graph(spark: SparkSession, folder: str) -> None:
+    """No graph any more, at once; its data go afterwards. The log stays, with a row that says so."""
+    store = Versions(spark, folder)
+    store.publish(None, **_log_row("", "", "", "CLEARED"))
+    store.vacuum(0)
+
+
 def graph_exists(spark: SparkSession, folder: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/vertices/_SUCCESS")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return Versions(spark, folder).current() is not None
 
 
 def load_graph(spark: SparkSession, folder: str, types: list[str] | None = None) -> PropertyGraph:
     """The saved graph; with ``types`` only such vertices, and edges with both ends among them."""
     schema = lambda columns: _strings(columns)
-    vertices = spark.read.schema(schema(NODE_COLUMNS)).parquet(f"{folder}/vertices").select(*NODE_COLUMNS)
-    edges = spark.read.schema(schema(EDGE_COLUMNS)).parquet(f"{folder}/edges").select(*EDGE_COLUMNS)
+    current = Versions(spark, folder).current()
+    if current is None:
+        raise FileNotFoundError(f"no graph in {folder}")
+    vertices = spark.read.schema(schema(NODE_COLUMNS)).parquet(f"{current}/vertices").select(*NODE_COLUMNS)
+    edges = spark.read.schema(schema(EDGE_COLUMNS)).parquet(f"{current}/edges").select(*EDGE_COLUMNS)
     if types is None:
         return PropertyGraph(vertices, edges)
     return matched(PropertyGraph(vertices.where(F.col("type").isin(types)), edges))
 
 
+def _log_row(nodes_file: str, edges_file: str, organism: str, status: str) -> dict[str, str]:
+    return {"id": uuid.uuid4().hex, "nodes_file": nodes_file, "edges_file": edges_file, "organism": organism, "status": status}
+
+
 def append_log(spark: SparkSession, folder: str, nodes_file: str, edges_file: str, organism: str, status: str = "COMPLETED") -> None:
-    row = spark.range(1).select(F.uuid().alias("id"), F.lit(nodes_file).alias("nodes_file"), F.lit(edges_file).alias("edges_file"), F.lit(organism).alias("organism"), F.lit(status).alias("status"), F.current_timestamp().alias("import_time"))
-    row.write.mode("append").parquet(f"{folder}/import_log")
+    """A log row that changes no data, such as of a load that failed."""
+    store = Versions(spark, folder)
+    current = store.current()
+    store.publish(current and current.rpartition("/")[2], **_log_row(nodes_file, edges_file, organism, status))
 
 
 def read_log(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(LOG_SCHEMA).parquet(f"{folder}/import_log")
+    """LOG_SCHEMA and ``number``: the manifests are the log, so it has what was published and nothing else."""
+    schema = T.StructType([*LOG_SCHEMA.fields, T.StructField("number", T.LongType())])
+    return spark.read.schema(schema).option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").json(f"{folder}/manifests/*.json")
 
 
 def latest_imports(log: DataFrame, n: int = 1) -> DataFrame:
-    return log.orderBy(F.desc("import_time"), F.desc("id")).limit(n)
+    """The last ``n`` rows by time; of equal times the one that was published later, or has the larger id."""
+    ties = [F.desc("number")] if "number" in log.columns else []
+    return log.orderBy(F.desc("import_time"), *ties, F.desc("id")).limit(n)
 
 
 def write_paths(paths: DataFrame, folder: str, target_id: str, organism: str) -> None:
@@ -126,12 +155,12 @@ def read_paths(spark: SparkSession, folder: str, organism: str) -> DataFrame:
     return spark.read.parquet(folder).where(F.lower(F.regexp_replace(F.trim("organism"), r"\s+", "_")) == organism.strip().lower().replace(" ", "_"))
 
 
-_PATH_FILE = r"shortest_path__(.+?)__(.+)\.csv$"
+_PATH_FILE = r"shortest_path__([^/]+?)__([^/]+)\.csv(?:/[^/]+)?$"
 
 
 def read_path_files(spark: SparkSession, folder: str, organism: str) -> DataFrame:
-    """Path CSVs named shortest_path__<id>__<organism>.csv, with the id as target_id."""
+    """Path CSVs named shortest_path__<id>__<organism>.csv, files or folders of files, with the id as target_id."""
     rows = spark.read.option("header", True).option("sep", ";").csv(f"{folder}/shortest_path__*.csv")
-    name = F.url_decode(F.element_at(F.split(F.input_file_name(), "/"), -1))
+    name = F.url_decode(F.input_file_name())
     named = rows.withColumn("_file", name).withColumn("target_id", F.regexp_extract("_file", _PATH_FILE, 1)).withColumn("_organism", F.regexp_extract("_file", _PATH_FILE, 2))
     return named.where(F.lower(F.replace(F.col("_organism"), F.lit(" "), F.lit("_"))) == organism.strip().lower().replace(" ", "_")).drop("_file", "_organism")
