@@ -285,6 +285,18 @@ def canonical_triples(spark, sf_dir):
     return canonical.canonical_triples(_whole(spark, sf_dir)).select("subject", "predicate", "object", "triple_object_type", "id")
 
 
+#: On statements of up to three reactions, numbering by position and by content name the same ones.
+@_register("triples_compat", f"WITH {sql.triples()} SELECT {_TRIPLE} FROM tr")
+def triples_compat(spark, sf_dir):
+    return _triple_columns(triples.extract_triples(prepare.statements(star.observations(spark, sf_dir)), compat=True))
+
+
+@_register("canonical_triples_compat", f"WITH {sql.triples()}{sql.RESOLVED_COMPAT} SELECT Interaction, subject, predicate, object, triple_object_type, id FROM cp")
+def canonical_triples_compat(spark, sf_dir):
+    rows = canonical.canonical_triples(_whole(spark, sf_dir), compat=True)
+    return rows.select("Interaction", "subject", "predicate", "object", "triple_object_type", "id")
+
+
 def _built(spark, sf_dir):
     return graph.build_graph(algorithms.stash(canonical.canonical_triples(_whole(spark, sf_dir))))
 
@@ -566,6 +578,30 @@ def path_nodes(spark, sf_dir):
     return explore.path_nodes(g, _few_ids(g))
 
 
+#: The longest of the shortest paths to the target, the smallest id's of equals.
+_LONGEST = f"""{_P}, lp AS (SELECT path FROM p10 WHERE len(rels) > 0 ORDER BY len(rels) DESC, id LIMIT 1),
+pl AS (SELECT list_extract(path, k) AS id, k AS step FROM lp, range(1, 12) r(k) WHERE k <= len(path))"""
+
+
+def _longest(g: graph.PropertyGraph) -> list[str]:
+    paths = algorithms.stash(algorithms.shortest_paths(g, _first_target(g), 10))
+    row = paths.where("hops > 0").orderBy(F.desc("hops"), "id").select("vertices_path").first()
+    return row[0].split(", ") if row else []
+
+
+@_register("longest_path_edges", f"""{_LONGEST}
+SELECT source_id, target_id, relationship, min(reaction_id) AS reaction_id, min(type) AS type FROM ex JOIN pl a ON source_id = a.id JOIN pl b ON target_id = b.id WHERE a.step < b.step GROUP BY ALL""")
+def longest_path_edges(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
+    return explore.path_edges_forward(g, _longest(g))
+
+
+@_register("longest_path_nodes", f"{_LONGEST} SELECT CAST(step - 1 AS INTEGER) AS place, id, name, type FROM pl JOIN vx USING (id)")
+def longest_path_nodes(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
+    return explore.path_nodes(g, _longest(g))
+
+
 @_register("predicted_link_subgraph", f"""WITH {sql.graph()}, a AS (SELECT min(reaction_id) AS s, {_TARGET} AS t FROM rx)
 SELECT 'real' AS kind, source_id, target_id, relationship, reaction_id, CAST(NULL AS DOUBLE) AS score FROM ex, a WHERE source_id IN (s, t) AND target_id IN (s, t) AND type = 'functional'
 UNION SELECT 'predicted', s, t, 'PREDICTED', NULL, 0.75 FROM a
@@ -630,7 +666,8 @@ def check_single_agent_target(spark, sf_dir):
     return validate.reactions_without_single_ends(_broken(spark, sf_dir))
 
 
-@_register("matched_edges", f"WITH {_BAD} SELECT * FROM be WHERE source_id IN (SELECT id FROM bv) AND target_id IN (SELECT id FROM bv)")
+@_register("matched_edges", f"""WITH {_BAD}, iv AS MATERIALIZED (SELECT DISTINCT id FROM bv)
+SELECT be.* FROM be JOIN iv s ON source_id = s.id JOIN iv t ON target_id = t.id""")
 def matched_edges(spark, sf_dir):
     return graph.matched(_broken(spark, sf_dir)).edges.select("source_id", "target_id", "relationship", "reaction_id")
 

@@ -125,6 +125,16 @@ RESOLVED = """, rc AS (
     chem_ID, chem_name, gene_ID, gene_name, gene_symbol FROM c0
 )"""
 
+_OWN = "CASE WHEN starts_with(subject, 'main-action_') THEN subject ELSE h END"
+#: RESOLVED in parity mode: main actions that hold another reaction keep their own ids, and of those with one Interaction
+#: and equal triples one stays (cp).
+RESOLVED_COMPAT = RESOLVED.replace("SELECT index, subject, h FROM s1", f"SELECT index, subject, {_OWN} FROM s1").replace("SELECT index, subject, h FROM s2", f"SELECT index, subject, {_OWN} FROM s2").replace(
+    "SELECT coalesce(x.reaction_id, wh.subject) AS subject", "SELECT wh.Interaction, coalesce(x.reaction_id, wh.subject) AS subject").replace("SELECT DISTINCT subject, predicate", "SELECT DISTINCT Interaction, subject, predicate") + """, mg AS (
+  SELECT Interaction, subject, string_agg(DISTINCT predicate || chr(31) || object, chr(30) ORDER BY predicate || chr(31) || object) AS sig FROM cn WHERE starts_with(subject, 'main-action_') GROUP BY Interaction, subject
+), cp AS (
+  SELECT * FROM cn WHERE NOT starts_with(subject, 'main-action_') OR subject IN (SELECT min(subject) FROM mg GROUP BY Interaction, sig)
+)"""
+
 #: From cn on: nd (nodes), nm (name to id), ed (edges).
 GRAPH_OF_TRIPLES = """, nd AS (
   SELECT DISTINCT id, object AS name, triple_object_type AS type, chem_ID, gene_ID, CAST(NULL AS VARCHAR) AS action FROM cn WHERE triple_object_type IN ('chemical', 'protein')
