@@ -58,6 +58,23 @@ def test_whole_pipeline(spark, tmp_path):
     assert {r["type"] for r in chemicals.edges.select("type").distinct().collect()} == {"functional"}
 
 
+def test_command_line(spark, tmp_path):
+    from weftgraph.__main__ import main
+
+    star.observations(spark, SF).select(*tables.OBSERVATION_COLUMNS).write.csv(f"file://{tmp_path}/obs.csv")
+    star.chemicals(spark, SF).toDF("ChemicalID", "ChemicalName").write.csv(f"file://{tmp_path}/chem.csv", header=True)
+    star.genes(spark, SF).toDF("GeneID", "GeneName", "GeneSymbol").write.csv(f"file://{tmp_path}/genes.csv", header=True)
+    (tmp_path / "s.yml").write_text("preparation:\n  save_triples: true\n")
+    (tmp_path / "lexicon.yml").write_text("actions: [binds to, results in increased expression of]\n")
+    paths = [f"file://{tmp_path}/{n}" for n in ("obs.csv", "chem.csv", "genes.csv", "graph", "out")]
+    main([*paths, "--settings", f"{tmp_path}/s.yml", "--lexicon", f"{tmp_path}/lexicon.yml", "--steps", "prepare", "import"])
+    kinds = {r["relationship"] for r in tables.load_graph(spark, paths[3], None).edges.where("type = 'functional'").collect()}
+    assert kinds and kinds <= {"BINDS_TO", "RESULTS_IN_INCREASED_EXPRESSION_OF"}
+    assert tables.read_graph_csv(spark, f"{paths[4]}/nodes_homo_sapiens.csv", f"{paths[4]}/edges_homo_sapiens.csv").edges.count() > 0
+    with pytest.raises(SystemExit):
+        main(["obs.csv"])
+
+
 def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "obs.csv").write_text("Aspirin,C1,,PTGS2,G1,protein,Homo sapiens,9606,Aspirin binds to PTGS2 protein,affects^binding,1|2\n")
     row = tables.read_observations(spark, f"file://{tmp_path}/obs.csv").first()

@@ -241,18 +241,19 @@ def pair_rows(pairs: DataFrame, blocks: Adjacency, types: DataFrame, n_relations
     return asked, edgemodel.Shape(dense, 2 * n_relations, convolution.WIDTH + 1, 2)
 
 
-def train_links(graph: PropertyGraph, config: LinkPrediction | None = None, relations: bool = True) -> tuple[edgemodel.PairModel, DataFrame]:
+def train_links(graph: PropertyGraph, config: LinkPrediction | None = None, relations: bool = True, name: str | None = None) -> tuple[edgemodel.PairModel, DataFrame]:
     """A model of links, and the scored pairs of the test split: source, target, score, label.
 
     Training is full-batch over at most ``most_pairs`` pairs (more are thinned by a hash); validation and test score all
-    theirs. ``relations`` False trains without the relationships' own weights, for comparison.
+    theirs. ``relations`` False trains without the relationships' own weights, for comparison. Splits, negatives and
+    features are made of hashes, so with a ``name`` a run that died goes on with the optimiser's last recorded state.
     """
     config = config or LinkPrediction()
     ready = prepare_pairs(graph, config)
     learnt = ready.pairs.where("split = 'train'").persist()
     validation = ready.pairs.where("split = 'validation'").persist()
     check = lambda model: roc_auc(model.score(validation.drop("source", "target")).select("score", "label")).first()[0]
-    model, _ = edgemodel.train(learnt, ready.shape, check, config.most_rounds, config.check_every, config.target_auc, config.learning_rate, relations)
+    model, _ = edgemodel.train(learnt, ready.shape, check, config.most_rounds, config.check_every, config.target_auc, config.learning_rate, relations, name=name)
     scored = stash(model.score(ready.pairs.where("split = 'test'")).select("source", "target", "score", "label"))
     learnt.unpersist()
     validation.unpersist()

@@ -127,10 +127,9 @@ class Rounds:
         fs.create(mark, True).close()
         if not self.named:
             gone_with_driver(self.spark, self.path)
-        for old in self.recorded():
-            if old < number - 1:
-                drop_path(self.spark, f"{self.path}/done-{old}")  # the mark first
-                drop_path(self.spark, f"{self.path}/round-{old}")
+        for old in self.recorded()[:-2]:
+            drop_path(self.spark, f"{self.path}/done-{old}")  # the mark first
+            drop_path(self.spark, f"{self.path}/round-{old}")
         return {n: self.spark.read.schema(t.schema).parquet(f"{self.path}/round-{number}/{n}") for n, t in tables.items()}
 
     def finish(self) -> None:
