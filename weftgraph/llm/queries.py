@@ -46,6 +46,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_prefix_sum_sharding": sharding.SHARD_SQL,
         "op2_warc_index_merge": warc.WARC_SQL,
         "op4_cell_cosine_dedup": embeddings.NEAR_SQL,
         "op5_secret_ownership": secrets.SECRET_SQL,

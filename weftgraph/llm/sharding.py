@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.llm.turns import CRC_TABLE
 from weftgraph.session import stash
 
 #: Rows a bucket of the prefix sums should hold, and the least and most buckets.
@@ -74,3 +75,19 @@ def shard_documents(documents: DataFrame, n_shards: int = 40) -> DataFrame:
     narrow = stash(narrow)
     return prefix_shards(narrow, "doc_id", "size", n_shards).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The same sums over the whole table at once; the checksum goes byte by byte through the polynomial's table.
+SHARD_SQL = f"""
+WITH {CRC_TABLE},
+sized AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 16 AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
+summed AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, b: xor(c >> 8, crc_table.t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32,
+    coalesce(sum(size) OVER (ORDER BY doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total
+  FROM sized, crc_table),
+cut AS (SELECT *, CAST(least(39, (2 * before + size) * 40 // (2 * total)) AS INTEGER) AS shard FROM summed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM cut
+"""
