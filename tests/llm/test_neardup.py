@@ -60,6 +60,30 @@ def test_matches_brute_force(spark, prose, monkeypatch, n, percent, block):
     assert got == {d: (k, c, c == d) for d, (k, c) in brute(rows, n, percent).items()}
 
 
+def test_hot_keys_and_crowds_round_one_leader(spark, prose, monkeypatch):
+    """Every key with more than its share is hot, leaders meet a few members at a time: the same rows, and groups stay small."""
+    monkeypatch.setattr(neardup, "TASK_ROWS", 0)
+    monkeypatch.setattr(neardup, "LED", 5)
+    grouped = neardup._like_leader
+
+    def spied(steps):
+        compare = grouped(steps)
+
+        def run(group):
+            if len(group) > 40:  # five on average
+                raise ValueError(f"{len(group)} rows in a group")
+            return compare(group)
+
+        return run
+
+    monkeypatch.setattr(neardup, "_like_leader", spied)
+    rng = random.Random(11)
+    texts = [prose(rng.randint(5, 60), i) for i in range(30)] + list(variants(rng, prose(3000, 77), 150, 0, 40)) + list(variants(rng, prose(120, 78), 60, 0, 12))
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(table(spark, rows), 5, 80).collect()}
+    assert got == {d: (k, c, c == d) for d, (k, c) in brute(rows, 5, 80).items()}
+
+
 def test_odd_rows(spark, prose):
     long = prose(20_000, 9)
     rows = [(None, "same text of some words"), (1, "same text of some words"), (1, "same text of some words"), (2, None), (3, None), (4, long), (5, long + " end"), (6, "same text of some words")]

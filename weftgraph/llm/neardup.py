@@ -22,6 +22,8 @@ from weftgraph.session import small_batches, stash
 #: Hashes in a band and in a batch of the sequential test; documents in a block of a crowded bucket,
 #: and further leaders that a bucket over one block is compared with first.
 BAND, BATCH, BLOCK, LEADERS = 5, 25, 256, 3
+#: Members that meet their leader at a time.
+LED = 256
 #: Rows of a bucket, or of a set, that one task can take: only larger ones are hot.
 TASK_ROWS = 100_000
 
@@ -89,16 +91,6 @@ def _bands(count: int) -> Callable:
     return run
 
 
-def _prune(steps: list[tuple[int, int]]) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                a, b = (np.frombuffer(b"".join(batch[c]), "<u2").reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
-                yield batch.loc[survives(a, b, steps), ["a", "b"]]
-
-    return run
-
-
 def _grouped(compare: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable:
     """Rows come sorted by (key, low, high): ``compare`` gets one such group, a block or two, after the other."""
 
@@ -182,6 +174,34 @@ def _linked_in_block(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return compare
 
 
+def _like_leader(steps: list[tuple[int, int]]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The members of a group that pass the sequential test against its first row, the leader."""
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        sigs = np.frombuffer(b"".join(group["sig"]), "<u2").reshape(len(group), -1)
+        keep = np.zeros(len(group), bool)
+        if not group["member"].iloc[0]:
+            keep[1:] = survives(np.broadcast_to(sigs[0], sigs[1:].shape), sigs[1:], steps)
+        return group.loc[keep, ["key", "low", "high", "id"]]
+
+    return compare
+
+
+def _linked_to_leader(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Links (src, dst) from a group's first row, the leader, to its members, by whole sets."""
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        lead, *members = (np.frombuffer(x, "uint64") for x in group["shingles"])
+        keep = [False]
+        for own in members:
+            both = overlap(lead, own)
+            keep.append(not group["member"].iloc[0] and 100 * both >= percent * (len(lead) + len(own) - both))
+        found = group.loc[np.array(keep, bool), ["key", "id"]]
+        return pd.DataFrame({"src": found["key"], "dst": found["id"]}, dtype="int64")
+
+    return compare
+
+
 def _sets(words: int) -> Callable:
     def convert(texts: list) -> pa.Array:
         sets = [shingle_set(t, words) for t in texts]
@@ -190,19 +210,6 @@ def _sets(words: int) -> Callable:
     return lambda: convert
 
 
-def _verify(percent: int) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["set_a"], batch["set_b"]):
-                x, y = np.frombuffer(x, "uint64"), np.frombuffer(y, "uint64")
-                both = overlap(x, y)
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.loc[np.array(keep, bool), ["a", "b"]]
-
-    return run
-
-
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept.
 
@@ -243,17 +250,28 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, mis
         again = again.join(core.select("id", "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id"])
     sets = stash(again.select("id", "shingles"))  # and a few that no pair asks for
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links (src, dst) among the pairs (a, b): the sequential test on signatures, then the whole sets."""
-        for side in "ab":
-            pairs = pairs.join(core.select(F.col("id").alias(side), F.col("sig").alias(f"sig_{side}")), side)
-        tested = pairs = stash(pairs.select("a", "b", "sig_a", "sig_b").mapInPandas(_prune(steps), "a long, b long"))
-        for side in "ab":
-            asked = tested.select(F.col(side).alias("id")).distinct()
-            pairs = pairs.join(thin(sets, asked, "id").select(F.col("id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
-        return stash(pairs.select("a", "b", "set_a", "set_b").mapInPandas(_verify(percent), "a long, b long").toDF("src", "dst"))
-
-    links = verified(buckets.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def met(rows: DataFrame, values: DataFrame, compare: Callable, schema: str) -> DataFrame:
+        """Groups of members with their leader first, each with its value: a leader's is sent once for each group."""
+        heads = rows.select("key", "low", "high").distinct().select("key", "low", "high", F.col("key").alias("id"), F.lit(False).alias("member"))
+        both = rows.select("key", "low", "high", "id", F.lit(True).alias("member")).unionByName(heads)
+        sorted_ = both.join(values, "id").repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high", "member")
+        return stash(sorted_.mapInPandas(_grouped(compare), schema))
+
+    def led(pairs: DataFrame) -> DataFrame:
+        """Links (src, dst) among distinct pairs (lead, id): the sequential test on signatures, then the whole sets.
+
+        A leader's members are dealt to groups of LED, so a crowd round one text is no one task's, and neither the
+        leader's signature nor its set is written once for each member."""
+        counts = stash(pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("n")))
+        group = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / LED)).cast("int")
+        dealt = stash(join_facts(pairs, counts, "lead", "n", "inner", TASK_ROWS).select(F.col("lead").alias("key"), group.alias("low"), F.lit(0).alias("high"), "id"))
+        tested = met(dealt, core.select("id", "sig"), _like_leader(steps), "key long, low int, high int, id long")
+        asked = tested.select("id").unionByName(tested.select(F.col("key").alias("id"))).distinct()
+        return met(tested, thin(sets, asked, "id"), _linked_to_leader(percent), "src long, dst long")
+
+    links = led(stash(buckets.where("id <> lead").select("lead", "id").distinct()))
     components = stash(connected_components(links))
     mixed = _mixed(buckets, components)
     for turn in range(LEADERS):  # further leaders for the crowds, before what is left is compared in blocks
@@ -261,8 +279,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, mis
         if crowds.isEmpty():
             break
         lead = crowds.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(turn))).alias("lead"), F.max("n").alias("n"))
-        led = join_facts(crowds.drop("n"), stash(lead), "key", "n", "inner", TASK_ROWS).where("comp <> lead.comp")
-        links = links.unionByName(verified(led.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()))
+        apart = join_facts(crowds.drop("n"), stash(lead), "key", "n", "inner", TASK_ROWS).where("comp <> lead.comp")
+        links = links.unionByName(led(stash(apart.select(F.col("lead.id").alias("lead"), "id").distinct())))
         components = stash(connected_components(links))
         mixed = _mixed(mixed, components)
     if not mixed.isEmpty():
@@ -270,7 +288,6 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, mis
         dealt = mixed.join(core.select("id", "sig"), "id").withColumn("block", F.pmod(F.xxhash64("id", "key"), n_blocks).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
         dealt = dealt.select("key", "band", "id", "comp", "sig", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         dealt = dealt.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
         hopeful = stash(dealt.mapInPandas(_grouped(_hopeful(steps)), "key long, low int, high int, id long, comp long"))
         whole = hopeful.join(thin(sets, hopeful.select("id").distinct(), "id"), "id").repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
