@@ -124,3 +124,9 @@ def test_one_join_maps_both_vocabularies(spark):
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     assert sorted(map(repr, got.select(*columns).collect())) == sorted(map(repr, want.select(*columns).collect()))
+    rows = rows.withColumn("id", F.concat_ws("_", "triple_object_type", "index"))
+    recovered = resolve.recover(rows, chemicals)
+    assert {r["triple_object_type"] for r in recovered.where("object = 'A'").collect()} == {"chemical"}
+    want = resolve.map_genes(resolve.map_chemicals(recovered, chemicals), genes)
+    got = resolve.resolve_entities(rows, chemicals, genes)
+    assert sorted(map(repr, got.select(*sorted(want.columns)).collect())) == sorted(map(repr, want.select(*sorted(want.columns)).collect()))

@@ -56,7 +56,7 @@ def prepare_graph(observations: DataFrame, chemicals: DataFrame, genes: DataFram
     phrases = lexicon.checked(chosen.lexicon) if chosen.lexicon else lexicon.ACTIONS
     own = prepare.canonical_only(prepare.of_gene_form(prepare.of_organism(observations, chosen.organism), chosen.gene_form), chosen.gene_form)
     parsed = stash(triples.extract_triples(prepare.statements(own), compat, phrases))
-    mapped = stash(resolve.map_entities(stash(resolve.recover(parsed, chemicals)), chemicals, genes))
+    mapped = stash(resolve.resolve_entities(parsed, chemicals, genes))
     whole = stash(resolve.whole_statements(mapped))
     done = stash(canonical.canonical_triples(whole, compat))
     built = graph.build_graph(done)

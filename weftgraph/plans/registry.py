@@ -249,8 +249,7 @@ def recover_proteins(spark, sf_dir):
 
 
 def _mapped(spark, sf_dir):
-    rows = algorithms.stash(resolve.recover(algorithms.stash(_triples(spark, sf_dir)), star.chemicals(spark, sf_dir)))
-    return resolve.map_entities(rows, star.chemicals(spark, sf_dir), star.genes(spark, sf_dir))
+    return resolve.resolve_entities(algorithms.stash(_triples(spark, sf_dir)), star.chemicals(spark, sf_dir), star.genes(spark, sf_dir))
 
 
 _MAPPED = "index, subject, predicate, object, triple_object_type, id, chem_ID, gene_ID"
