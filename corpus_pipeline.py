@@ -16,7 +16,8 @@ SHINGLE, PERCENT, CAPACITY = 5, 80, 2048
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter (null and empty texts too) and those with too few n-grams that the model knows."""
+    """Drops documents without a letter (null and empty texts too), those with too few n-grams that the model knows, and
+    those whose best kernel score is under that of any training text."""
     return langid.keep_identified(docs)
 
 
