@@ -9,7 +9,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.session import stash
+from weftgraph.session import freeing, release, stash
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -96,7 +96,7 @@ class Versions:
         return gone
 
 
-def write_ordered(rows: DataFrame, path: str, *order: Column, separator: str = ",", place: str = "place") -> None:
+def write_ordered(rows: DataFrame, path: str, *order: Column, separator: str = ",", place: str = "place", compression: str = "none") -> None:
     """A folder of CSV files that hold ``rows`` in ``order``: file by file by name, and row by row within.
 
     Each row has its ``place``, from 0, as first column, and ``_manifest.json`` lists the files in order with the first
@@ -116,7 +116,9 @@ def write_ordered(rows: DataFrame, path: str, *order: Column, separator: str = "
     dealt = ranged.repartitionById(parts, F.col("_part")).sortWithinPartitions("_part", *order)
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = dealt.select((begin + within).alias(place), *rows.columns)
-    placed.write.mode("overwrite").option("header", True).option("sep", separator).csv(path)
+    with freeing(spark):
+        placed.write.mode("overwrite").option("header", True).option("sep", separator).option("compression", compression).csv(path)
+    release(ranged)
     files = {int(n.split("-")[1]): n for n in names_in(spark, path) if n.startswith("part-")}
     listed = [{"file": files[p], "first": starts[p], "rows": counts[p]} for p in sorted(starts)]
     publish(spark, f"{path}/_manifest.json", json.dumps({"place": place, "rows": first, "files": listed}))

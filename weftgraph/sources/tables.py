@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.operators.graph import PropertyGraph, matched
+from weftgraph.session import freeing
 from weftgraph.sources.store import Versions
 
 # The columns of the observation and disease files, which have no header.
@@ -48,9 +49,11 @@ def read_inferred(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=True)
 
 
-def write_csv(rows: DataFrame, path: str, separator: str = ",", single: bool = False) -> None:
-    """A CSV with a header; ``single`` makes one file, by one task, and is for reports of one row."""
-    (rows.coalesce(1) if single else rows).write.mode("overwrite").option("header", True).option("sep", separator).csv(path)
+def write_csv(rows: DataFrame, path: str, separator: str = ",", single: bool = False, compression: str = "none") -> None:
+    """A CSV with a header; ``single`` makes one file, by one task, and is for reports of one row. ``compression`` (gzip)
+    is for large tables that Spark reads again; each file is then read by one task, as it was written by one."""
+    with freeing(rows.sparkSession):
+        (rows.coalesce(1) if single else rows).write.mode("overwrite").option("header", True).option("sep", separator).option("compression", compression).csv(path)
 
 
 def write_quoteless(rows: DataFrame, path: str) -> None:
@@ -91,8 +94,9 @@ def save_graph(graph: PropertyGraph, folder: str, overwrite: bool = True, nodes_
     store = Versions(spark, folder)
     version, path = store.begin()
     kept = matched(graph)
-    kept.vertices.write.partitionBy("type").parquet(f"{path}/vertices")
-    kept.edges.write.partitionBy("type").parquet(f"{path}/edges")
+    with freeing(spark):
+        for name, rows in (("vertices", kept.vertices), ("edges", kept.edges)):
+            rows.write.partitionBy("type").option("compression", "zstd").parquet(f"{path}/{name}")
     store.publish(version, **_log_row(nodes_file, edges_file, organism, "COMPLETED"))
     store.vacuum(keep)
     return True
