@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.functions.columns import short_key
 from weftgraph.operators.graph import PropertyGraph, matched
 from weftgraph.session import freeing
 from weftgraph.sources.store import Versions
@@ -89,7 +90,9 @@ def save_graph(graph: PropertyGraph, folder: str, overwrite: bool = True, nodes_
     spark = graph.vertices.sparkSession
     if not overwrite and graph_exists(spark, folder):
         return False
-    if not graph.vertices.groupBy("id").count().where("count > 1").isEmpty():
+    with freeing(spark):
+        unique = graph.vertices.groupBy(short_key(F.col("id"))).count().where("count > 1").isEmpty()
+    if not unique:
         raise ValueError("vertex ids are not unique")
     store = Versions(spark, folder)
     version, path = store.begin()
