@@ -5,8 +5,12 @@ from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
+from weftgraph.functions.columns import packed, reaction_key, unpacked
+from weftgraph.operators import components as cc
+from weftgraph.operators.algorithms import components
 from weftgraph.operators.bitmaps import distinct_rows
 from weftgraph.operators.components import connected_components
+from weftgraph.operators.graph import PropertyGraph, edges_of_reactions
 from weftgraph.session import release, shared_dir, staged, stash
 
 
@@ -46,3 +50,36 @@ def test_components_of_texts_keep_few_tables(spark):
 def test_distinct_rows_is_distinct(spark):
     rows = stash(spark.createDataFrame([("a", None), ("a", None), (None, "a"), ("b", "c"), ("b", "c"), ("d", "e")], "x string, y string"))
     assert sorted(map(str, distinct_rows(rows).collect())) == sorted(map(str, rows.distinct().collect()))
+
+
+def _stashed_bytes(spark):
+    folder = urlparse(shared_dir(spark)).path
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+
+
+def test_components_of_a_graph_stash_no_ids_of_reactions(spark):
+    rows = spark.range(20_000).select(F.concat(F.lit("c"), F.col("id") % 3000).alias("agent"), F.lit("binds to").alias("action"), F.concat(F.lit("p"), F.col("id") % 7000).alias("target"))
+    rows = stash(rows.select(reaction_key(F.col("agent"), F.col("action"), F.col("target")).alias("reaction_id"), "*"))
+    ids = rows.select(F.explode(F.array("agent", "target", "reaction_id")).alias("id")).distinct()
+    vertices = ids.select("id", F.col("id").alias("name"), F.lit("x").alias("type")).unionByName(spark.createDataFrame([("lone", None, "x"), (None, "n", "x")], "id string, name string, type string"))
+    before = _stashed_bytes(spark)
+    found = components(PropertyGraph(stash(vertices), edges_of_reactions(rows)))
+    vertex_bytes = _stashed_bytes(spark) - before
+    got = {r["id"]: (r["name"], r["component_id"], r["component_count"]) for r in found.collect()}
+    n = ids.count()
+    own = {f"c{k}": f"c{k % 1000}" for k in range(3000)}  # gcd(3000, 7000) components
+    assert all(got[c] == (c, min(f"c{k}" for k in range(int(of[1:]), 3000, 1000)), n // 1000) for c, of in own.items())
+    assert got["lone"] == (None, "lone", 1) and len(got) == n + 1 and all(v[0] == k for k, v in got.items() if k != "lone")
+    assert vertex_bytes < 150 * n  # the vertices' own 90 among them; ids of reactions in the result were another 50
+
+
+def test_components_over_stretches_and_packed_texts(spark, monkeypatch):
+    monkeypatch.setattr(cc, "STRETCH", 50)
+    rows = [(f"v{i:04d}", f"v{i + 7:04d}") for i in range(3000)] + [("é", "z"), ("z", "\U0001f600"), ("é", "é")]
+    monkeypatch.setattr(cc, "_contracted", lambda batches: (cc._stars([b.slice(k, 50)]) for b in batches for k in range(0, b.num_rows, 50)))
+    found = connected_components(spark.createDataFrame(rows, "src string, dst string"))
+    own = {f"v{i:04d}": f"v{i % 7:04d}" for i in range(3007)} | {"é": "z", "z": "z", "\U0001f600": "z"}
+    assert {r["vertex"]: r["component"] for r in found.collect()} == own
+    texts = ["", "a", "f" * 64, "F" * 64, "n_" + "0a" * 32, "0a" * 32 + "\n", "x\n" + "9" * 65, "é" + "1" * 63, None]
+    back = spark.createDataFrame([(t,) for t in texts], "t string").select("t", unpacked(packed(F.col("t"))).alias("u"))
+    assert all(r["t"] == r["u"] for r in back.collect())

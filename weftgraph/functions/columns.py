@@ -35,6 +35,19 @@ def short_key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
+def packed(text: Column) -> Column:
+    """A text as (head, tail) to shuffle or keep it: 64 hexadecimal digits at its end become 32 bytes, which nothing else
+    makes smaller in a shuffle. ``unpacked`` gives the text back."""
+    digits = F.when(text.rlike("(?s)[0-9a-f]{64}\\z"), F.right(text, F.lit(64)))
+    head = F.when(digits.isNull(), text).otherwise(F.left(text, F.length(text) - 64))
+    return F.struct(head.alias("head"), F.unhex(digits).alias("tail"))
+
+
+def unpacked(value: Column) -> Column:
+    tail = F.lower(F.hex(value["tail"]))
+    return F.when(tail.isNull(), value["head"]).otherwise(F.concat(value["head"], tail))
+
+
 def hash_number(text: Column, digits: int = 7) -> Column:
     """The first hexadecimal digits of SHA-256 as a number."""
     return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, digits), 16, 10).cast("long")

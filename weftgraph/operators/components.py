@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +16,9 @@ from weftgraph.functions.columns import short_key
 from weftgraph.operators.skew import join_facts
 from weftgraph.session import release, staged, stash
 
+#: Edges that a task contracts at a time, more or less.
+STRETCH = 200_000
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(vertex, component) for every endpoint of ``edges(src, dst)``; component is the smallest vertex reachable.
@@ -63,9 +72,70 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 def _of_texts(edges: DataFrame, max_rounds: int) -> DataFrame:
     """``connected_components`` of texts: edges hold 16 bytes an end, and a component's smallest text is found once."""
     there = edges.where("src is not null and dst is not null").select("src", F.col("dst").cast("string").alias("dst"))
-    found = staged(lambda: connected_components(there.select(short_key(F.col("src")).alias("src"), short_key(F.col("dst")).alias("dst")), max_rounds))
+    found, least = of_keys(there, max_rounds)
     ends = there.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct().withColumn("_key", short_key(F.col("vertex")))
-    named = stash(ends.join(found.select(F.col("vertex").alias("_key"), F.col("component").alias("_of")), "_key").select("vertex", "_of"))
+    named = stash(ends.join(found, "_key").select("vertex", "_of"))
     release(found)
-    least = stash(named.groupBy("_of").agg(F.min("vertex").alias("component"), F.count(F.lit(1)).alias("_n")))
     return join_facts(named, least, "_of", "_n", "inner").select("vertex", "component")
+
+
+def of_keys(edges: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(found, least) for ``edges(src, dst)`` of texts: found(_key, _of) has each end's and its component's ``short_key``,
+    least(_of, component, _n) each component's smallest text and its number of ends.
+
+    Tasks first contract stretches of edges on their own, so that of each only one row an end is shuffled, and texts only
+    of the stretches' smallest ends. An end then points at the smallest of its stretches' roots, and what remains are the
+    edges between roots.
+    """
+    there = edges.where("src is not null and dst is not null").select("src", F.col("dst").cast("string").alias("dst"))
+    stars = stash(there.mapInArrow(_contracted, "v binary, r binary, name string"))
+    # an end has as many roots as stretches at the most
+    near = stars.groupBy("v").agg(F.min("r").alias("p"), F.collect_set("r").alias("all"), F.max("name").alias("name"))
+    near = stash(near.select("v", "p", F.array_remove("all", F.col("p")).alias("others"), "name"))
+    release(stars)
+    roots = staged(lambda: connected_components(near.select(F.explode("others").alias("src"), F.col("p").alias("dst")), max_rounds))
+    to = roots.select(F.col("vertex").alias("p"), "component")
+    found = stash(near.join(to, "p", "left").select(F.col("v").alias("_key"), F.coalesce("component", "p").alias("_of"), "name"))
+    release(near, roots)
+    least = stash(found.groupBy("_of").agg(F.min("name").alias("component"), F.count(F.lit(1)).alias("_n")))
+    kept = found.select("_key", "_of")
+    kept._stashed = found._stashed
+    return kept, least
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, r, name): for each end in a stretch of edges the smallest end that it is linked to there, as keys; a root's own
+    row, where both are equal, has its text."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= STRETCH:
+            yield _stars(held)
+            held, rows = [], 0
+    if rows:
+        yield _stars(held)
+
+
+def _stars(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(batches)
+    coded = pa.chunked_array(table["src"].chunks + table["dst"].chunks).combine_chunks().dictionary_encode()
+    texts, codes = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy()
+    order = pc.array_sort_indices(texts).to_numpy()  # bytes' order, as Spark's
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    a, b = rank[codes[: table.num_rows]], rank[codes[table.num_rows :]]
+    root = np.arange(len(order))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        open_ = low < high
+        if not open_.any():
+            break
+        a, b = low[open_], high[open_]
+        np.minimum.at(root, b, a)
+        while (root != root[root]).any():
+            root = root[root]
+    texts = texts.take(pa.array(order))
+    keys = pa.array([hashlib.md5(t, usedforsecurity=False).digest() for t in texts.to_pylist()], pa.binary())
+    names = pc.if_else(pa.array(root == np.arange(len(root))), texts, None).cast(pa.string())
+    return pa.RecordBatch.from_arrays([keys, keys.take(pa.array(root)), names], ["v", "r", "name"])

@@ -24,32 +24,49 @@ def action_column():
     return out
 
 
+def _sold(spark: SparkSession, sf_dir: str, worlds: bool) -> DataFrame:
+    """(l_partkey, l_suppkey, number, world): each once, the action as its number."""
+    order = F.col("l_orderkey")
+    world = F.when(order % 3 == 0, F.lit(0)).otherwise(1 + order % (WORLDS - 1)) if worlds else F.lit(0)
+    number = F.array_position(_phrases(), action_column()).cast("int")  # phrases come back after the shuffle
+    return read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", number.alias("number"), world.cast("int").alias("world")).distinct()
+
+
+def _phrases():
+    return F.array(*[F.lit(p) for p in (*_ACTION.values(), "binds to")])
+
+
+def _own(kind: str, key: str, worlds: bool):
+    return F.concat(F.lit(f"{kind}_"), *([F.col("world").cast("string"), F.lit("_")] if worlds else []), F.col(key).cast("string"))
+
+
 def reactions(spark: SparkSession, sf_dir: str, worlds: bool = False) -> DataFrame:
     """(reaction_id, agent, action, target, chem_key, gene_key): each distinct (part, action, supplier) of all lines.
 
     With ``worlds`` each world has parts and suppliers of its own: one component with a third of all rows, and many small
     ones, where all lines together are one component."""
-    order = F.col("l_orderkey")
-    world = F.when(order % 3 == 0, F.lit(0)).otherwise(1 + order % (WORLDS - 1)) if worlds else F.lit(0)
-    phrases = F.array(*[F.lit(p) for p in (*_ACTION.values(), "binds to")])
-    number = F.array_position(phrases, action_column()).cast("int")  # phrases come back after the shuffle
-    rows = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", number.alias("number"), world.cast("int").alias("world")).distinct()
-    rows = rows.select("l_partkey", "l_suppkey", F.element_at(phrases, F.col("number")).alias("action"), F.col("world").cast("string").alias("world"))
-    own = lambda kind, key: F.concat(F.lit(f"{kind}_"), *([F.col("world"), F.lit("_")] if worlds else []), F.col(key).cast("string"))
-    named = rows.select(own("chemical", "l_partkey").alias("agent"), "action", own("protein", "l_suppkey").alias("target"), F.col("l_partkey").alias("chem_key"), F.col("l_suppkey").alias("gene_key"))
+    return _named(_sold(spark, sf_dir, worlds), worlds)
+
+
+def _named(rows: DataFrame, worlds: bool) -> DataFrame:
+    named = rows.select(
+        _own("chemical", "l_partkey", worlds).alias("agent"), F.element_at(_phrases(), F.col("number")).alias("action"), _own("protein", "l_suppkey", worlds).alias("target"),
+        F.col("l_partkey").alias("chem_key"), F.col("l_suppkey").alias("gene_key"))
     return named.select(reaction_key(F.col("agent"), F.col("action"), F.col("target")).alias("reaction_id"), "agent", "action", "target", "chem_key", "gene_key")
 
 
 def graph(spark: SparkSession, sf_dir: str, worlds: bool = False) -> PropertyGraph:
-    """Parts are chemicals, suppliers are proteins, what was sold how is a reaction."""
-    rows = reactions(spark, sf_dir, worlds)
+    """Parts are chemicals, suppliers are proteins, what was sold how is a reaction. Ends are made distinct as numbers."""
+    sold = _sold(spark, sf_dir, worlds)
+    rows = _named(sold, worlds)
     none = F.lit(None).cast("string")
-    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("chem_key"), "p_name")
-    suppliers = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("gene_key"), "s_name")
-    chemicals = rows.select("agent", "chem_key").distinct().join(parts, "chem_key", "left").select(
-        F.col("agent").alias("id"), F.coalesce("p_name", F.lit("?")).alias("name"), F.lit("chemical").alias("type"), F.concat(F.lit("C"), F.col("chem_key").cast("string")).alias("chem_ID"), none.alias("gene_ID"), none.alias("action"))
-    proteins = rows.select("target", "gene_key").distinct().join(suppliers, "gene_key", "left").select(
-        F.col("target").alias("id"), F.concat(F.coalesce("s_name", F.lit("?")), F.lit(" protein")).alias("name"), F.lit("protein").alias("type"), none.alias("chem_ID"), F.concat(F.lit("G"), F.col("gene_key").cast("string")).alias("gene_ID"), none.alias("action"))
+    ends = lambda key: sold.select(F.when(F.col(key).isNotNull(), F.col("world")).alias("world"), key).distinct()
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    suppliers = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    chemicals = ends("l_partkey").join(parts, "l_partkey", "left").select(
+        _own("chemical", "l_partkey", worlds).alias("id"), F.coalesce("p_name", F.lit("?")).alias("name"), F.lit("chemical").alias("type"), F.concat(F.lit("C"), F.col("l_partkey").cast("string")).alias("chem_ID"), none.alias("gene_ID"), none.alias("action"))
+    proteins = ends("l_suppkey").join(suppliers, "l_suppkey", "left").select(
+        _own("protein", "l_suppkey", worlds).alias("id"), F.concat(F.coalesce("s_name", F.lit("?")), F.lit(" protein")).alias("name"), F.lit("protein").alias("type"), none.alias("chem_ID"), F.concat(F.lit("G"), F.col("l_suppkey").cast("string")).alias("gene_ID"), none.alias("action"))
     of_reactions = rows.select(F.col("reaction_id").alias("id"), F.col("reaction_id").alias("name"), F.lit("reaction").alias("type"), none.alias("chem_ID"), none.alias("gene_ID"), "action")
     return PropertyGraph(chemicals.unionByName(proteins).unionByName(of_reactions), edges_of_reactions(rows))
 
