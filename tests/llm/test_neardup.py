@@ -1,10 +1,13 @@
+import os
 import random
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.llm import neardup
 from weftgraph.llm.shingles import overlap, shingle_set
+from weftgraph.session import stash
 
 
 def words(text, n):
@@ -111,3 +114,16 @@ def test_shingles():
 def test_lineage_is_in_shared_files(spark, prose):
     got = neardup.near_duplicates(table(spark, [(i, prose(20, i % 3)) for i in range(9)]), 3, 85)
     assert "LocalCheckpoint" not in got._jdf.queryExecution().toString() and got.agg(F.count_if("kept")).first()[0] == 3
+
+
+def test_signatures_and_sets_go_when_read(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(neardup, "stash", lambda df: kept.append(stash(df)) or kept[-1])
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(40)) for _ in range(30))) for i in range(20)]
+    rows += [(100 + i, t + " more") for i, (_, t) in enumerate(rows[:8])]
+    got = neardup.near_duplicates(table(spark, rows), 3, 85)
+    want = brute(rows, 3, 85)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
+    wide = [df for df in kept if {"sig", "band", "shingles"} & set(df.columns)]
+    assert len(wide) > 5 and not any(os.path.exists(urlparse(df._stashed).path) for df in wide)

@@ -17,7 +17,7 @@ from weftgraph.llm.shingles import overlap, permutations, shingle_set, signature
 from weftgraph.operators.bitmaps import split, thin
 from weftgraph.operators.components import connected_components
 from weftgraph.operators.skew import join_facts
-from weftgraph.session import small_batches, stash
+from weftgraph.session import release, small_batches, staged, stash
 
 #: Hashes in a band and in a batch of the sequential test; documents in a block of a crowded bucket,
 #: and further leaders that a bucket over one block is compared with first.
@@ -239,11 +239,18 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, mis
     facts = stash(real.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig")))  # equal sets, equal signatures
     sigs = facts.select("id", "digest", "sig")
     repeated = not real.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    rows = stash(sketch.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")))
+    release(sketch)  # signatures are in the facts, once for equal texts
     banded = stash(sigs.select("id", "sig").mapInPandas(_bands(bands), "key long, id long, band short"))
     crowded = stash(banded.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    buckets = stash(join_facts(stash(thin(banded, crowded.select("key"), "key")), crowded, "key", "n", "inner", TASK_ROWS))
+    shared = stash(thin(banded, crowded.select("key"), "key"))
+    release(banded)
+    buckets = stash(join_facts(shared, crowded, "key", "n", "inner", TASK_ROWS))
+    release(shared, crowded)
     crowd = stash(buckets.select("id").distinct())
     core = stash(thin(sigs, crowd, "id").join(crowd, "id", "left_semi"))  # what may link with anything
+    digests = stash(facts.select("digest", "id", "n"))
+    release(facts)
     whole = per_text("struct<digest:binary,shingles:binary>", _sets(words))(F.col("text"))
     again = thin(docs, crowd.select(F.col("id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("id"), whole.alias("s")).select("id", "s.*")
     if repeated:
@@ -267,12 +274,16 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, mis
         counts = stash(pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("n")))
         group = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / LED)).cast("int")
         dealt = stash(join_facts(pairs, counts, "lead", "n", "inner", TASK_ROWS).select(F.col("lead").alias("key"), group.alias("low"), F.lit(0).alias("high"), "id"))
+        release(pairs, counts)
         tested = met(dealt, core.select("id", "sig"), _like_leader(steps), "key long, low int, high int, id long")
+        release(dealt)
         asked = tested.select("id").unionByName(tested.select(F.col("key").alias("id"))).distinct()
-        return met(tested, thin(sets, asked, "id"), _linked_to_leader(percent), "src long, dst long")
+        found = met(tested, thin(sets, asked, "id"), _linked_to_leader(percent), "src long, dst long")
+        release(tested)
+        return found
 
     links = led(stash(buckets.where("id <> lead").select("lead", "id").distinct()))
-    components = stash(connected_components(links))
+    components = staged(lambda: connected_components(links))
     mixed = _mixed(buckets, components)
     for turn in range(LEADERS):  # further leaders for the crowds, before what is left is compared in blocks
         crowds = mixed.where(F.col("n") > BLOCK)
@@ -281,7 +292,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, mis
         lead = crowds.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(turn))).alias("lead"), F.max("n").alias("n"))
         apart = join_facts(crowds.drop("n"), stash(lead), "key", "n", "inner", TASK_ROWS).where("comp <> lead.comp")
         links = links.unionByName(led(stash(apart.select(F.col("lead.id").alias("lead"), "id").distinct())))
-        components = stash(connected_components(links))
+        release(components)
+        components = staged(lambda: connected_components(links))
         mixed = _mixed(mixed, components)
     if not mixed.isEmpty():
         n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -292,21 +304,26 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, mis
         hopeful = stash(dealt.mapInPandas(_grouped(_hopeful(steps)), "key long, low int, high int, id long, comp long"))
         whole = hopeful.join(thin(sets, hopeful.select("id").distinct(), "id"), "id").repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
         links = links.unionByName(stash(whole.mapInPandas(_grouped(_linked_in_block(percent)), "src long, dst long")))
-        components = stash(connected_components(links))
-    found = facts.select("digest", "id", "n").join(components.select(F.col("vertex").alias("id"), "component"), "id", "left")
+        release(hopeful, components)
+        components = staged(lambda: connected_components(links))
+    release(mixed, core, sets)
+    found = digests.join(components.select(F.col("vertex").alias("id"), "component"), "id", "left")
     found = stash(found.select("digest", F.coalesce("component", "id").alias("component_id"), "n"))
-    rows = sketch.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
+    release(digests, components)
     whole = join_facts(rows, found, "digest", "n", "left", TASK_ROWS)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return whole.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
 def _mixed(buckets: DataFrame, components: DataFrame) -> DataFrame:
-    """(key, band, id, comp, n) of the buckets that still hold more than one component."""
+    """(key, band, id, comp, n) of the buckets that still hold more than one component; the tables before go."""
     labelled = buckets.select("key", "band", "id").join(components.select(F.col("vertex").alias("id"), "component"), "id", "left")
     labelled = stash(labelled.select("key", "band", "id", F.coalesce("component", "id").alias("comp")))
     open_ = labelled.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("n")).where("_lo < _hi")
-    return stash(join_facts(labelled, stash(open_.select("key", "n")), "key", "n", "inner", TASK_ROWS).select("key", "band", "id", "comp", "n"))
+    open_ = stash(open_.select("key", "n"))
+    out = stash(join_facts(labelled, open_, "key", "n", "inner", TASK_ROWS).select("key", "band", "id", "comp", "n"))
+    release(buckets, labelled, open_)
+    return out
 
 
 def keep_one(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
