@@ -1,13 +1,14 @@
 """What is stashed and shuffled on the way goes when nothing reads it any more."""
 
 import os
+from collections import Counter
 from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
 from weftgraph.functions.columns import packed, reaction_key, unpacked
+from weftgraph.operators import algorithms, linkpred
 from weftgraph.operators import components as cc
-from weftgraph.operators import linkpred
 from weftgraph.operators.algorithms import components
 from weftgraph.operators.bitmaps import distinct_rows
 from weftgraph.operators.components import connected_components
@@ -97,3 +98,36 @@ def test_ends_of_edges_move_as_short_keys(spark, monkeypatch):
     pairs = edges.where("kind in ('x', 'y')").select("source", "target")
     free = {(r["source"], r["target"]) for r in linkpred.negative_pairs(pairs, nodes).collect()}
     assert free == {("a", "c"), ("c", "n_" + "0f" * 32)}
+
+
+def test_communities_and_sizes_move_no_ids(spark, monkeypatch):
+    ids = [(i, f"name of {i}", "x") for i in ("a", "b", "c", "d", "e", "lone", "n_" + "0f" * 32)] + [("a", "again", "x"), (None, "none", "x"), ("lone", "more", "x")]
+    links = [("a", "b", "functional"), ("c", "b", "functional"), ("d", "gone", "functional"), ("n_" + "0f" * 32, "c", "ontological"), ("e", "e", "ontological")]
+    edges = spark.createDataFrame([(s, t, "R", "r", k) for s, t, k in links], "source_id string, target_id string, relationship string, reaction_id string, type string")
+    g = PropertyGraph(spark.createDataFrame(ids, "id string, name string, type string"), edges)
+    labels = algorithms.label_propagation(g, 5)
+    assert sorted(r["id"] or "" for r in labels.collect()) == sorted(i or "" for i, *_ in ids)
+    parts = algorithms.components(g)
+    whole = algorithms.communities(labels, parts).drop("community_count").collect()
+    sizes = Counter(r["community"] for r in whole)  # with a vertex's rows times its labels
+    kept = []
+    monkeypatch.setattr(algorithms, "stash", lambda df: kept.append(df.columns) or stash(df))
+    found = algorithms.communities_of_graph(g, 5).collect()
+    assert not any("id" in c and "label" not in c and "_rows" not in c and c != ["id"] for c in kept)
+    assert Counter(map(tuple, found)) == Counter((*r, sizes[r["community"]]) for r in whole)
+    assert {tuple(r) for r in algorithms.sizes_of_components(g).collect()} == Counter(r["component_id"] for r in parts.collect()).items()
+    per = {c: (len({r["community"] for r in whole if r["component_id"] == c}), n) for c, n in Counter(r["component_id"] for r in whole).items()}
+    assert {r["component_id"]: (r["communities"], r["vertices"]) for r in algorithms.communities_per_component(g, 5).collect()} == per
+    first = min(per)
+    assert dict(map(tuple, algorithms.first_component_communities(g, 5).collect())) == Counter(r["community"] for r in whole if r["component_id"] == first)
+    assert tuple(algorithms.largest_of_graph(g).first()) == tuple(algorithms.largest_component(parts).first())
+
+
+def test_labels_of_rounds_are_numbers(spark, monkeypatch):
+    kept = []
+    keep = algorithms.Rounds.keep
+    monkeypatch.setattr(algorithms.Rounds, "keep", lambda self, number, **tables: kept.append(tables["labels"].schema) or keep(self, number, **tables))
+    edges = spark.createDataFrame([("a", "b", "functional"), ("c", "b", "functional")], "source_id string, target_id string, type string")
+    labels = algorithms.label_propagation(PropertyGraph(spark.createDataFrame([("a",), ("b",), ("c",), ("z",)], "id string"), edges), 1)
+    assert {tuple(r) for r in labels.collect()} == {("a", "b"), ("b", "a"), ("c", "b"), ("z", "z")}
+    assert kept and all(f.dataType.typeName() == "long" for schema in kept for f in schema)
