@@ -6,8 +6,9 @@ from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
+from weftgraph import session
 from weftgraph.functions.columns import packed, reaction_key, unpacked
-from weftgraph.operators import algorithms, linkpred
+from weftgraph.operators import algorithms, canonical, graph, linkpred, prepare, triples
 from weftgraph.operators import components as cc
 from weftgraph.operators.algorithms import components
 from weftgraph.operators.bitmaps import distinct_rows
@@ -131,3 +132,61 @@ def test_labels_of_rounds_are_numbers(spark, monkeypatch):
     labels = algorithms.label_propagation(PropertyGraph(spark.createDataFrame([("a",), ("b",), ("c",), ("z",)], "id string"), edges), 1)
     assert {tuple(r) for r in labels.collect()} == {("a", "b"), ("b", "a"), ("c", "b"), ("z", "z")}
     assert kept and all(f.dataType.typeName() == "long" for schema in kept for f in schema)
+
+
+def test_rounds_see_each_key_once_and_leave_one_table(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROUND_ROWS", 100)
+    before, seen = _folders(spark), []
+    rows = stash(spark.range(450).select((F.col("id") % 50).cast("string").alias("k")).unionByName(spark.createDataFrame([(None,)], "k string")))
+
+    def make(part):
+        seen.append(_shuffle_files(spark))
+        return stash(part).groupBy("k").count()
+
+    found = session.in_rounds(make, "k", rows)
+    assert {tuple(r) for r in found.collect()} == {(str(k), 9) for k in range(50)} | {(None, 1)}
+    assert len(seen) == 5 and max(seen) == seen[0]
+    release(rows)
+    assert len(_folders(spark) - before) == 1
+    release(found)
+    assert _folders(spark) == before
+
+
+def test_folded_texts_come_back(spark):
+    index = "0f" * 16
+    rows = [(index, f"main-action_{index}", f"chemical_{index}_1", "S1 protein", "S1"), ("1", "a1\x1f1\x1e", "\x1em1\x1ee", "\x1f", "x"), (None, None, "\x1f", None, None), ("", "s", "i", "", ""), ("e", "\x1ee\x1em", "me", "o", "\x1f")]
+    table = spark.createDataFrame([(*r, r[3]) for r in rows], "index string, subject string, id string, object string, gene_symbol string, chem_name string")
+    small = triples.slim_names(triples.slim(table))
+    assert sorted(map(str, triples.full(small).collect())) == sorted(map(str, table.collect()))
+    first = small.where("object = 'S1 protein'").first()
+    assert len(first["index"]["key"]) == 16 and (first["subject"], first["id"], first["gene_symbol"], first["chem_name"]) == ("main-action_\x1f", "chemical_\x1f_1", "\x1f", "\x1f")
+
+
+def test_triples_are_named_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROUND_ROWS", 3)
+    text = lambda a: [("m", "has_agent", a, "chemical"), ("m", "has_action", "binds to", "action"), ("m", "has_target", "S1 protein", "protein")]
+    rows = [(i, f"main-action_{i}", p, o, k, n, f"{k}_{i}_{n}", f"text {o}") for i, a in (("s1", "x"), ("s2", "x"), ("s3", "y")) for n, (_, p, o, k) in enumerate(text(a))]
+    rows.append(("s4", "main-action_s4", "has_agent", "x", "chemical", 0, "chemical_0", "bad"))  # no whole statement
+    table = spark.createDataFrame(rows, "index string, subject string, predicate string, object string, triple_object_type string, pred_numb int, id string, Interaction string")
+    table = stash(table.withColumns({c: F.lit(None).cast("string") for c in ("chem_ID", "chem_name", "gene_ID", "gene_name", "gene_symbol")}))
+    named = canonical.named_triples(table, whole=True)
+    nodes = sorted(map(str, graph.nodes_of_named(named).collect()))
+    found = stash(canonical.of_named(named))
+    assert found.count() == 7 and {r["id"] for r in found.where("object = 'S1 protein'").collect()} == {"protein_s1_2"}
+    assert nodes == sorted(map(str, graph.define_nodes(found).collect())) and len(nodes) == 5
+
+
+def test_repeated_main_actions_meet_no_texts(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(canonical, "stash", lambda df: kept.append(df.schema) or stash(df))
+    rows = [("t", f"main-action_{k}", "has_agent", o) for k, o in enumerate(("a", "a", "b"))] + [(None, "main-action_5", "p", None), (None, "main-action_4", "p", None), ("t", "n_reaction", "p", "o"), ("u", "main-action_1", "p", "z")]
+    table = stash(spark.createDataFrame(rows, "Interaction string, subject string, predicate string, object string"))
+    got = sorted(r["subject"] for r in canonical.drop_repeated_main_actions(table).collect())
+    assert got == ["main-action_0", "main-action_1", "main-action_1", "main-action_2", "main-action_4", "n_reaction"]  # one that stays with one text stays with all
+    assert not any(f.name == "Interaction" for schema in kept for f in schema)
+
+
+def test_statements_in_place_are_the_same(spark):
+    rows = stash(spark.createDataFrame([("a", "b", "c "), ("a", "b", "c"), (None, "b", "d"), ("x", "y", "z")], "ChemicalName string, GeneSymbol string, Interaction string"))
+    found = prepare.statements(rows, in_place=True)
+    assert sorted(map(str, found.collect())) == sorted(map(str, prepare.statements(rows).collect())) and found.count() == 3
