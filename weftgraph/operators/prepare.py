@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.columns import content_key
+from weftgraph.operators.bitmaps import distinct_rows
 
 
 def of_organism(observations: DataFrame, organism: str) -> DataFrame:
@@ -24,10 +25,12 @@ def canonical_only(observations: DataFrame, form: str = "protein") -> DataFrame:
     return observations.where(~text.contains("modified") & ~text.contains("alternative"))
 
 
-def statements(observations: DataFrame) -> DataFrame:
+def statements(observations: DataFrame, in_place: bool = False) -> DataFrame:
     """index, ChemicalName, GeneSymbol, Interaction, trimmed. The index is a hash of the row, so it is the same wherever
-    and in whatever order rows are read; equal rows are one statement."""
-    rows = observations.select(*[F.trim(c).alias(c) for c in ("ChemicalName", "GeneSymbol", "Interaction")]).distinct()
+    and in whatever order rows are read; equal rows are one statement. ``in_place`` moves texts only where another row may
+    be equal; it reads ``observations`` three times and keeps their partitions."""
+    rows = observations.select(*[F.trim(c).alias(c) for c in ("ChemicalName", "GeneSymbol", "Interaction")])
+    rows = distinct_rows(rows) if in_place else rows.distinct()
     return rows.select(content_key(F.col("ChemicalName"), F.col("GeneSymbol"), F.col("Interaction")).alias("index"), "ChemicalName", "GeneSymbol", "Interaction")
 
 
