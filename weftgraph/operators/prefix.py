@@ -28,9 +28,9 @@ def starts_of(totals: DataFrame, part: str, *values: str) -> DataFrame:
 def numbered(rows: DataFrame, place: str, *order: Column) -> DataFrame:
     """``rows`` with ``place``, from 0 in the order given, which must tell all rows apart.
 
-    Range partitions are counted and numbered within; no task sorts more than its range."""
+    Range partitions are numbered where they are sorted, and counted; no task sorts more than its range, and rows move once."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stash(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
-    starts = starts_of(ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")), "_part", "_n")
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn("_own", own).join(starts, "_part").select(*rows.columns, (F.col("_n") + F.col("_own")).cast("long").alias(place))
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = stash(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), within.alias("_own")))
+    starts = starts_of(ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")), "_part", "_n")  # one row for each range
+    return ranged.join(F.broadcast(starts), "_part").select(*rows.columns, (F.col("_n") + F.col("_own")).cast("long").alias(place))
