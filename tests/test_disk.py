@@ -16,6 +16,7 @@ from weftgraph.operators.components import connected_components
 from weftgraph.operators.graph import PropertyGraph, edges_of_reactions
 from weftgraph.operators.prefix import numbered
 from weftgraph.session import release, shared_dir, staged, stash
+from weftgraph.sources import tables
 
 
 def _folders(spark):
@@ -250,3 +251,20 @@ def test_undirected_pairs_move_once_and_packed(spark):
     assert len(got) == len(set(got)) and set(got) == set(odd) | {(b, a) for a, b in odd}
     numbers = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (None, 1)], "source_id long, target_id long")
     assert sorted(map(str, algorithms.undirected(numbers).collect())) == sorted(map(str, [*spark.createDataFrame([(1, 2), (2, 1), (3, 3), (None, 1), (1, None)], "src long, dst long").collect()]))
+
+
+def test_a_graph_of_few_types_is_loaded_without_moving_its_edges(spark):
+    folder = session.scratch(spark)
+    rows = spark.range(5000).select(F.concat(F.lit("c"), F.col("id") % 300).alias("agent"), F.lit("binds to").alias("action"), F.concat(F.lit("p"), F.col("id") % 701).alias("target"))
+    edges = stash(edges_of_reactions(rows.select(reaction_key(F.col("agent"), F.col("action"), F.col("target")).alias("reaction_id"), "*")))
+    kind = F.when(F.col("id").startswith("c"), "chemical").when(F.col("id").startswith("p"), "protein").otherwise("reaction")
+    ids = edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct().where("id <> 'p7'")
+    none = F.lit(None).cast("string")
+    vertices = stash(ids.select("id", F.col("id").alias("name"), kind.alias("type"), none.alias("chem_ID"), none.alias("gene_ID"), none.alias("action")))
+    tables.save_graph(PropertyGraph(vertices, edges), folder)
+    assert tables.load_graph(spark, folder).edges.count() == edges.where("source_id <> 'p7' and target_id <> 'p7'").count()
+    before = _shuffle_bytes(spark)
+    got = tables.load_graph(spark, folder, ["chemical", "protein"]).edges.collect()
+    want = edges.where("type = 'functional' and target_id <> 'p7'").collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, want))
+    assert _shuffle_bytes(spark) - before < 300_000  # edges as they are have over a million

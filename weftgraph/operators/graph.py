@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.columns import relationship, short_key
-from weftgraph.operators.bitmaps import distinct_rows
+from weftgraph.operators.bitmaps import distinct_rows, split, thin
 from weftgraph.operators.canonical import entity_name, least_ids
 from weftgraph.operators.skew import join_facts
 from weftgraph.operators.triples import ACTION, AGENT, MAIN, NESTED, TARGET
@@ -100,11 +100,23 @@ def build_graph(triples: DataFrame) -> PropertyGraph:
 def matched(graph: PropertyGraph) -> PropertyGraph:
     """Edges with an end that is no vertex are left out, as a load by matching both ends does.
 
-    The ends that are no vertex are found by keys of 16 bytes. Edges are joined with those alone, which are few."""
+    The ends that are no vertex are found by keys of 16 bytes. Only edges that may have one are joined with those; a bitmap
+    tells, so others stay where they are."""
     there = graph.edges.where("source_id is not null and target_id is not null")
     ends = there.select(F.explode(F.array(short_key(F.col("source_id")), short_key(F.col("target_id")))).alias("_end")).distinct()
     missing = stash(ends.join(graph.vertices.select(short_key(F.col("id")).alias("_end")), "_end", "left_anti"))
     if not missing.isEmpty():
         for end in ("source_id", "target_id"):
-            there = there.withColumn("_end", short_key(F.col(end))).join(missing, "_end", "left_anti")
+            some, others = split(there, short_key(F.col(end)), missing)
+            some = some.withColumn("_end", short_key(F.col(end))).join(missing, "_end", "left_anti").drop("_end")
+            there = some.unionByName(others)
     return PropertyGraph(graph.vertices, there.select(*graph.edges.columns))
+
+
+def between(graph: PropertyGraph) -> PropertyGraph:
+    """``matched`` where most edges have an end that is no vertex: a bitmap of the vertices' keys leaves those out before any
+    end is compared or moved."""
+    keys, edges = stash(graph.vertices.select(short_key(F.col("id")).alias("_end"))), graph.edges
+    for end in ("source_id", "target_id"):
+        edges = thin(edges.withColumn("_end", short_key(F.col(end))), keys, "_end").drop("_end")
+    return matched(PropertyGraph(graph.vertices, stash(edges)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.functions.columns import short_key
-from weftgraph.operators.graph import PropertyGraph, matched
+from weftgraph.operators.graph import PropertyGraph, between, matched
 from weftgraph.session import freeing
 from weftgraph.sources.store import Versions
 
@@ -126,7 +126,7 @@ def load_graph(spark: SparkSession, folder: str, types: list[str] | None = None)
     edges = spark.read.schema(schema(EDGE_COLUMNS)).parquet(f"{current}/edges").select(*EDGE_COLUMNS)
     if types is None:
         return PropertyGraph(vertices, edges)
-    return matched(PropertyGraph(vertices.where(F.col("type").isin(types)), edges))
+    return between(PropertyGraph(vertices.where(F.col("type").isin(types)), edges))
 
 
 def _log_row(nodes_file: str, edges_file: str, organism: str, status: str) -> dict[str, str]:
