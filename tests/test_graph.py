@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from weftgraph.operators import algorithms, canonical, explore, graph, resolve, triples, validate
+from weftgraph.operators import algorithms, canonical, explore, graph, resolve, skew, triples, validate
 from weftgraph.operators.components import connected_components
 from weftgraph.session import stash
 
@@ -183,3 +183,16 @@ def test_whole_graph_queries(spark, tmp_path):
     joined = {(s, t) for s, _, t, *_ in edges}
     free = {(r["source"], r["target"]) for r in run("lp_negatives")}
     assert free and not free & joined and all(s in links and t in links and s != t for s, t in free)
+
+
+def test_labels_of_many_vertices_are_not_broadcast(spark, monkeypatch):
+    edges = [(f"v{k % 40}", f"v{(k * 7) % 41}", "A", None, "functional") for k in range(200)]
+    edges = spark.createDataFrame(edges, "source_id string, target_id string, relationship string, reaction_id string, type string")
+    vertices = spark.createDataFrame([(f"v{k}", "n", "x") for k in range(45)], "id string, name string, type string")
+    g = graph.PropertyGraph(vertices, edges)
+    few = {tuple(r) for r in algorithms.label_propagation(g, 3).collect()}
+    monkeypatch.setattr(skew, "MOST_SENT", 10)
+    heard, _ = algorithms._labels(g, 3)
+    plan = heard._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert {tuple(r) for r in algorithms.label_propagation(g, 3).collect()} == few and len(few) == 45

@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 #: At most this many keys are hot: a hot key holds more than one part in HOT_KEYS of the counted rows.
 HOT_KEYS = 1000
+#: Tables of more rows are joined by shuffle, however small their compressed files are.
+MOST_SENT = 1_000_000
+
+
+def not_sent(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, which number ``n``, with a hint against their broadcast if that is more than MOST_SENT.
+
+    Spark takes the bytes of Parquet files for the size of what they hold. Ids and numbers in order take one or two there and
+    some 60 as a broadcast, so that files under its threshold of 10 MB can fill a driver."""
+    return rows.hint("merge") if n > MOST_SENT else rows
 
 
 def join_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, how: str = "left", least: int = 0) -> DataFrame:
